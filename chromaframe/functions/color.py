@@ -24,7 +24,18 @@ def _c(v) -> Column:
 
 
 def clip(v, lo, hi) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), _c(v)))
+    """Clamp; null stays null."""
+    c = _c(v)
+    return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
+
+
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once inside one expression: ``body`` sees it as a variable.
+
+    Keeps deep formulas linear in size. Stages of ``withColumns`` do the same for
+    per-pixel work and stay inside generated code, so use those there.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def half_up(v) -> Column:
@@ -48,6 +59,7 @@ def hex_to_rgb(value) -> tuple[Column, Column, Column]:
 
 
 def rgb_to_hex(r, g, b) -> Column:
+    """Clamped channels as ``#rrggbb``; null when a channel is null."""
     def two(v):
         return F.lpad(F.lower(F.hex(clip(_c(v).cast("int"), 0, 255))), 2, "0")
     return F.concat(F.lit("#"), two(r), two(g), two(b))
@@ -56,7 +68,7 @@ def rgb_to_hex(r, g, b) -> Column:
 # --- grey, HSV, HLS ----------------------------------------------------------
 
 def rgb_to_gray(r, g, b) -> Column:
-    return half_up(_c(r) * 0.299 + _c(g) * 0.587 + _c(b) * 0.114).cast("int")
+    return F.floor((_c(r) * 299 + _c(g) * 587 + _c(b) * 114 + 500) / 1000).cast("int")
 
 
 def luma_fast(r, g, b) -> Column:
@@ -123,7 +135,8 @@ _LINEAR_SQL = "array(" + ",".join(f"{_linear_rule(i / 255.0)!r}D" for i in range
 
 
 def linear_channel(c) -> Column:
-    return F.get(F.expr(_LINEAR_SQL), clip(_c(c).cast("int"), 0, 255))
+    """Linear light of an 8-bit channel; null outside 0..255."""
+    return F.get(F.expr(_LINEAR_SQL), _c(c).cast("int"))
 
 
 def _f(t: Column) -> Column:
@@ -153,22 +166,57 @@ def with_lab(df: DataFrame, rgb=("r", "g", "b"), out=("lab_l", "lab_a", "lab_b")
     return df.withColumns(dict(zip(out, lab))).drop(*tmp)
 
 
-def lab_to_rgb(l, a, b) -> tuple[Column, Column, Column]:
-    """8-bit Lab to 8-bit RGB."""
+def _fxyz(l, a, b) -> tuple[Column, Column, Column]:
     light = _c(l) * (100.0 / 255.0)
     fy = F.when(light > LAB_EPS * LAB_KAPPA, (light + 16.0) / 116.0).otherwise(
         light / LAB_KAPPA * 7.787 + 16.0 / 116.0)
-    fx, fz = (_c(a) - 128.0) / 500.0 + fy, fy - (_c(b) - 128.0) / 200.0
+    return (_c(a) - 128.0) / 500.0 + fy, fy, fy - (_c(b) - 128.0) / 200.0
 
+
+def _xyz(fx, fy, fz) -> tuple[Column, Column, Column]:
     def inverse(t):
         return F.when(t > 0.206893, t * t * t).otherwise((t - 16.0 / 116.0) / 7.787)
-    x, y, z = inverse(fx) * WHITE_X, inverse(fy), inverse(fz) * WHITE_Z
+    return inverse(fx) * WHITE_X, inverse(fy), inverse(fz) * WHITE_Z
+
+
+def _rgb_linear(x, y, z) -> tuple[Column, Column, Column]:
+    return tuple(clip(x * m[0] + y * m[1] + z * m[2], 0.0, 1.0) for m in TO_RGB)
+
+
+def _encode(c) -> Column:
+    v = F.when(c <= 0.0031308, c * 12.92).otherwise(F.pow(c, F.lit(1 / 2.4)) * 1.055 - 0.055)
+    return half_up(v * 255.0).cast("int")
+
 
-    def gamma(row):
-        c = clip(x * row[0] + y * row[1] + z * row[2], 0.0, 1.0)
-        v = F.when(c <= 0.0031308, c * 12.92).otherwise(F.pow(c, F.lit(1 / 2.4)) * 1.055 - 0.055)
-        return half_up(v * 255.0).cast("int")
-    return tuple(gamma(row) for row in TO_RGB)
+def with_rgb(df: DataFrame, lab=("lab_l", "lab_a", "lab_b"), out=("back_r", "back_g", "back_b")) -> DataFrame:
+    """Add 8-bit RGB columns from 8-bit Lab ones, in stages."""
+    names = ("__t0", "__t1", "__t2")
+    cols = tuple(F.col(c) for c in names)
+    df = df.withColumns(dict(zip(names, _fxyz(*lab))))
+    df = df.withColumns(dict(zip(names, _xyz(*cols))))
+    df = df.withColumns(dict(zip(names, _rgb_linear(*cols))))
+    return df.withColumns(dict(zip(out, [_encode(c) for c in cols]))).drop(*names)
+
+
+def _s(cols) -> Column:
+    return F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)])
+
+
+def _u(s) -> tuple[Column, Column, Column]:
+    return s["c0"], s["c1"], s["c2"]
+
+
+def lab_to_rgb_struct(l, a, b) -> Column:
+    """8-bit Lab to 8-bit RGB as struct<c0, c1, c2>, in one expression."""
+    return let(_s(_fxyz(l, a, b)), lambda f: let(_s(_xyz(*_u(f))), lambda x: let(
+        _s(_rgb_linear(*_u(x))), lambda c: _s([_encode(v) for v in _u(c)]))))
+
+
+def hex_lab_struct(value) -> Column:
+    """8-bit Lab of a hex colour as struct<c0, c1, c2>; null when invalid."""
+    return F.when(_c(value).rlike(HEX_RULE), let(
+        _s([linear_channel(c) for c in hex_to_rgb(value)]),
+        lambda c: _s(_lab_from_linear(*_u(c), True))))
 
 
 def chroma(a, b) -> Column:
@@ -186,15 +234,20 @@ def delta_e(rgb_a, rgb_b) -> Column:
 
 def hex_distance(a, b) -> Column:
     """Lab distance of two hex colours; null when either is missing or invalid."""
-    return delta_e(hex_to_rgb(a), hex_to_rgb(b))
+    return let(F.struct(hex_lab_struct(a).alias("p"), hex_lab_struct(b).alias("q")),
+               lambda v: lab_distance(_u(v["p"]), _u(v["q"])))
 
 
 def blend_hex(a, b, weight_b=0.35) -> Column:
     """Mix two hex colours in 8-bit Lab (the mix is truncated to whole numbers)."""
     w = _c(weight_b)
-    la, lb = rgb_to_lab(*hex_to_rgb(a)), rgb_to_lab(*hex_to_rgb(b))
-    mixed = [F.floor(clip(p * (F.lit(1.0) - w) + q * w, 0.0, 255.0)) for p, q in zip(la, lb)]
-    return rgb_to_hex(*lab_to_rgb(*mixed))
+
+    def mix(v):
+        return _s([F.floor(clip(p * (F.lit(1.0) - w) + q * w, 0.0, 255.0)) for p, q in zip(_u(v["p"]), _u(v["q"]))])
+    pair = F.struct(hex_lab_struct(a).alias("p"), hex_lab_struct(b).alias("q"))
+    out = let(pair, lambda v: let(mix(v), lambda m: let(
+        lab_to_rgb_struct(*_u(m)), lambda c: rgb_to_hex(*_u(c)))))
+    return F.when(_c(a).rlike(HEX_RULE) & _c(b).rlike(HEX_RULE), out).otherwise(_c(b))
 
 
 # --- hue circle --------------------------------------------------------------
