@@ -125,15 +125,17 @@ FROM {embeddings}""",
     "votes": """
 SELECT item_id, source, class_id,
        CAST((item_id * 31 + source * 17 + class_id * 53) % 101 AS DOUBLE) / 100 AS prob
-FROM (SELECT item_id, source, CAST(@series(0, 9) AS INT) AS class_id
-      FROM (SELECT vec_id AS item_id, CAST(@series(0, 3) AS INT) AS source FROM {embeddings}) s) c""",
+FROM (SELECT item_id, CAST(si AS INT) AS source, CAST(ci AS INT) AS class_id
+      FROM (SELECT item_id, si, @series(0, 9) AS ci
+            FROM (SELECT vec_id AS item_id, @series(0, 3) AS si FROM {embeddings}) s) c) n""",
     "panels": """
 SELECT page_id, idx,
        CAST((page_id * 13 + idx * 331) % 700 AS INT) AS x,
        CAST(floor(idx / 2) * 400 + (page_id * 7 + idx * 29) % 180 AS INT) AS y,
        CAST(200 + (idx * 37) % 120 AS INT) AS width,
        CAST(260 + (page_id * 11 + idx * 17) % 100 AS INT) AS height
-FROM (SELECT CAST(s_suppkey AS INT) AS page_id, CAST(@series(0, 5) AS INT) AS idx FROM {supplier}) p""",
+FROM (SELECT page_id, CAST(i AS INT) AS idx
+      FROM (SELECT CAST(s_suppkey AS INT) AS page_id, @series(0, 5) AS i FROM {supplier}) q) p""",
     # Per-region identity assignments of a page.
     "assignments": """
 SELECT page_id, region_id, CAST((page_id + region_id) % 8 AS INT) AS char_id, label AS attribute,

@@ -101,3 +101,28 @@ def point_cell(df: DataFrame, x: Column, y: Column, size: float) -> DataFrame:
 
 def null_safe_key(*cols: str) -> Column:
     return F.struct(*[F.col(c) for c in cols])
+
+
+def join_library(df: DataFrame, library: DataFrame, keys: Sequence[str], spread: Column, how: str = "inner",
+                 salts: int = 32) -> DataFrame:
+    """Join rows to their (small) library by ``keys``, whatever share of rows one key holds.
+
+    A library within the measured bound is broadcast. A larger one is repeated per
+    salt and ``spread`` (any well-mixed row column) sends each row to one of them.
+    """
+    hinted = measured_broadcast(library)
+    if hinted is not library:
+        return df.join(hinted, list(keys), how)
+    copies = library.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
+
+
+def id_blocks(library: DataFrame, keys: Sequence[str], id_col: str, fields: Sequence[Column],
+              size: int = 64) -> tuple[DataFrame, int]:
+    """Pack library rows into arrays of at most ``size`` ids; also the most blocks a key has."""
+    packed = (library.withColumn("__block", F.floor(F.col(id_col) / size))
+              .groupBy(*keys, "__block")
+              .agg(F.array_sort(F.collect_list(F.struct(F.col(id_col), *fields))).alias("block")))
+    top = packed.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    return packed.drop("__block"), int(top or 0)
