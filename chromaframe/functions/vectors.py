@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chromaframe.functions.color import _c, clip
+from chromaframe.functions.color import _c, let
 
 
 def _fold(arr) -> Column:
@@ -34,7 +34,7 @@ def hellinger(a, b) -> Column:
 def cosine_half(a, b, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
     """(1 - cos) / 2 in 0..1, null when either vector is missing or zero."""
     scale = (norm_a if norm_a is not None else norm(a)) * (norm_b if norm_b is not None else norm(b))
-    half = clip(F.lit(1.0) - dot(a, b) / scale, 0.0, 2.0) / 2.0
+    half = F.greatest(F.lit(0.0), F.least(F.lit(2.0), F.lit(1.0) - dot(a, b) / scale)) / 2.0
     return F.when(_comparable(a, b), F.when(scale > 1e-8, half))
 
 
@@ -69,8 +69,12 @@ def feature_distance(query, profile) -> Column:
     area = log_ratio(q["area_frac"], p["area_frac"], 1e-6, 3.2)
     seen = cosine_half(p["embedding"], q["embedding"], p.get("embedding_norm"), q.get("embedding_norm"))
     line = cosine_half(p["lineart"], q["lineart"], p.get("lineart_norm"), q.get("lineart_norm"))
-    both = seen * 0.42 + line * 0.28 + tone * 0.10 + hist * 0.10 + aspect * 0.06 + area * 0.04
-    seen_only = seen * 0.56 + tone * 0.14 + hist * 0.15 + aspect * 0.10 + area * 0.05
-    line_only = line * 0.55 + tone * 0.16 + hist * 0.16 + aspect * 0.08 + area * 0.05
-    plain = tone * 0.30 + hist * 0.35 + aspect * 0.22 + area * 0.13
-    return F.coalesce(both, seen_only, line_only, plain)
+    terms = F.struct(tone.alias("t"), hist.alias("h"), aspect.alias("a"), area.alias("f"), seen.alias("s"), line.alias("l"))
+
+    def mix(v):
+        t, h, a, f, s, l = (v[k] for k in "thafsl")
+        return (F.when(s.isNotNull() & l.isNotNull(), s * 0.42 + l * 0.28 + t * 0.10 + h * 0.10 + a * 0.06 + f * 0.04)
+                .when(s.isNotNull(), s * 0.56 + t * 0.14 + h * 0.15 + a * 0.10 + f * 0.05)
+                .when(l.isNotNull(), l * 0.55 + t * 0.16 + h * 0.16 + a * 0.08 + f * 0.05)
+                .otherwise(t * 0.30 + h * 0.35 + a * 0.22 + f * 0.13))
+    return let(terms, mix)

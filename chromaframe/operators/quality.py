@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chromaframe.functions import color as C
+from chromaframe.scale import cover_cells, point_cell
 
 HUE_BINS = 12
 
@@ -185,8 +186,7 @@ def review_queue(quality: DataFrame, blobs: DataFrame, drift: DataFrame, key: st
 def ring_contrast(points: DataFrame, px: DataFrame, width: int, height: int, threshold: float = 14.0) -> DataFrame:
     """Per hint: Lab distance between the medians of its disc and its ring.
 
-    Each point expands to the pixels around it (radius is at most 8), so the join is
-    an equi-join on (page, x, y) and a busy page spreads over its pixels.
+    Points and pixels meet on (page, grid cell), so a busy page spreads over its cells.
     """
     base = points.where(~F.col("source").isin("manual", "eyedropper_hint", "style_only"))
     p = base.select("page_id", "hint_id",
@@ -194,19 +194,16 @@ def ring_contrast(points: DataFrame, px: DataFrame, width: int, height: int, thr
                     C.clip(F.bround(F.col("y_norm") * height), 0.0, height - 1.0).cast("int").alias("cy"),
                     C.clip(F.bround(F.col("radius_norm") * width), 2.0, 8.0).cast("int").alias("rad"))
     reach = F.col("rad") * 3
-    # Patches below 5 pixels a side are skipped.
+
     def side(c, size):
         return F.least(F.lit(size), F.col(c) + reach + 1) - F.greatest(F.lit(0), F.col(c) - reach)
+    # Patches below 5 pixels a side are skipped.
     p = p.where((side("cx", width) >= 5) & (side("cy", height) >= 5))
-    around = (p.withColumn("dx", F.explode(F.sequence(-reach, reach)))
-              .withColumn("dy", F.explode(F.sequence(-reach, reach)))
-              .withColumn("dist", F.sqrt((F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).cast("double")))
-              .withColumns({"core": F.col("dist") <= F.greatest(F.lit(1.5), F.col("rad") * 0.8),
-                            "ring": (F.col("dist") >= F.col("rad") * 1.35) & (F.col("dist") <= F.col("rad") * 2.5)})
-              .where("core OR ring").select("page_id", "hint_id", "core", (F.col("cx") + F.col("dx")).alias("x"),
-                                            (F.col("cy") + F.col("dy")).alias("y")))
+    dist = F.sqrt(F.col("d2").cast("double"))
+    core = dist <= F.greatest(F.lit(1.5), F.col("rad") * 0.8)
+    ring = (dist >= F.col("rad") * 1.35) & (dist <= F.col("rad") * 2.5)
     lab = C.with_lab(px).select("page_id", "x", "y", "lab_l", "lab_a", "lab_b")
-    hit = around.join(lab, ["page_id", "x", "y"])
+    hit = _around(p, lab, F.floor(F.col("rad") * 2.5), core, ring)
     med = [F.expr(f"percentile({c}, 0.5) FILTER (WHERE {w})").alias(f"{n}_{c}")
            for c in ("lab_l", "lab_a", "lab_b") for n, w in (("in", "core"), ("out", "NOT core"))]
     s = hit.groupBy("page_id", "hint_id").agg(F.count_if("core").alias("n_in"), F.count_if(~F.col("core")).alias("n_out"), *med)
@@ -215,6 +212,15 @@ def ring_contrast(points: DataFrame, px: DataFrame, width: int, height: int, thr
     return s.select("page_id", "hint_id", dist.alias("contrast"), (dist >= threshold).alias("suspicious"))
 
 
+def _around(points: DataFrame, px: DataFrame, bound, core, ring, cell: int = 8) -> DataFrame:
+    """Pixels in a point's core or ring. ``points``: cx, cy, rad; the rules read ``d2`` and ``rad``."""
+    p = cover_cells(points, F.col("cx") - bound, F.col("cy") - bound, bound * 2, bound * 2, cell)
+    q = point_cell(px, F.col("x"), F.col("y"), cell)
+    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+    d = p.join(q, ["page_id", "__cx", "__cy"]).withColumn("d2", dx * dx + dy * dy)
+    return d.withColumn("core", core).where(F.col("core") | ring).drop("__cx", "__cy", "d2", "cx", "cy", "rad", "x", "y")
+
+
 def blob_report(contrast: DataFrame, keys: Sequence[str] = ("page_id",), threshold: float = 14.0) -> DataFrame:
     """80th percentile of the page's contrasts, suspicious count, and the retry flag."""
     s = contrast.groupBy(*keys).agg(F.expr("percentile(round(contrast, 4), 0.8)").alias("blob_score"),
@@ -231,19 +237,14 @@ def spot_risk(points: DataFrame, px: DataFrame, width: int, height: int) -> Data
         "page_id", "hint_id", F.bround(F.col("x_norm") * (width - 1)).cast("int").alias("cx"),
         F.bround(F.col("y_norm") * (height - 1)).cast("int").alias("cy"),
         F.greatest(F.lit(2), F.bround(F.col("radius_norm") * width).cast("int")).alias("rad"))
-    bound = F.ceil(F.col("rad") * 2.20).cast("int")
-    around = (p.withColumn("dx", F.explode(F.sequence(-bound, bound))).withColumn("dy", F.explode(F.sequence(-bound, bound)))
-              .withColumn("d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-              .withColumns({"core": F.col("d2") <= F.pow(F.col("rad") * 0.70, F.lit(2.0)),
-                            "ring": (F.col("d2") >= F.pow(F.col("rad") * 1.35, F.lit(2.0)))
-                            & (F.col("d2") <= F.pow(F.col("rad") * 2.20, F.lit(2.0)))})
-              .where("core OR ring").select("page_id", "hint_id", "core", (F.col("cx") + F.col("dx")).alias("x"),
-                                            (F.col("cy") + F.col("dy")).alias("y")))
     lab = C.with_lab(C.with_lab(px), ("r2", "g2", "b2"), ("n_l", "n_a", "n_b"))
     da, db = F.col("n_a") - F.col("lab_a"), F.col("n_b") - F.col("lab_b")
     lab = lab.select("page_id", "x", "y", F.sqrt(da * da + db * db).alias("chroma"),
                      F.abs(F.col("n_l") - F.col("lab_l")).alias("light"))
-    s = around.join(lab, ["page_id", "x", "y"]).groupBy("page_id", "hint_id").agg(
+    d2 = F.col("d2")
+    core = d2 <= F.pow(F.col("rad") * 0.70, F.lit(2.0))
+    ring = (d2 >= F.pow(F.col("rad") * 1.35, F.lit(2.0))) & (d2 <= F.pow(F.col("rad") * 2.20, F.lit(2.0)))
+    s = _around(p, lab, F.ceil(F.col("rad") * 2.20), core, ring).groupBy("page_id", "hint_id").agg(
         *[F.expr(f"avg({c}) FILTER (WHERE {w})").alias(f"{n}_{c}") for c in ("chroma", "light")
           for n, w in (("core", "core"), ("ring", "NOT core"))])
     s = s.where("core_chroma IS NOT NULL AND ring_chroma IS NOT NULL")

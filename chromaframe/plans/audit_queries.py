@@ -8,7 +8,8 @@ from chromaframe.operators import audit as X
 from chromaframe.plans.registry import query
 
 # The given documents hold assignments rather than vendor keys, so one pattern is added.
-ASSIGNED = ("assigned secret", r"(?i)(?:token|secret|password|api_key|apikey)\s*[=:]\s*[\"'][^\"'\s]{8,}[\"']")
+ASSIGNED = ("assigned secret", r"(?i)(?:token|secret|password|api_key|apikey)\s*[=:]\s*[\"'][^\"'\s]{8,}[\"']",
+            ("token", "secret", "password", "api_key", "apikey"))
 _PATTERNS = (*X.SECRET_PATTERNS, ASSIGNED)
 
 
@@ -18,7 +19,7 @@ def _re2(rule: str) -> str:
             .replace("(?![A-Z0-9])", "(?:$|[^A-Z0-9])").replace("'", "''"))
 
 
-_SECRETS = " UNION ".join(f"SELECT doc_id, '{n}' AS category FROM documents WHERE regexp_matches(text, '{_re2(r)}')" for n, r in _PATTERNS)
+_SECRETS = " UNION ".join(f"SELECT doc_id, '{n}' AS category FROM documents WHERE regexp_matches(text, '{_re2(r)}')" for n, r, _ in _PATTERNS)
 
 
 @query("secret_scan", _SECRETS)

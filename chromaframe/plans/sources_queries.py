@@ -79,7 +79,7 @@ def _(t):
 @query("load_project_children", """
 WITH c AS (SELECT conv_id AS project_id, turn, role, text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS page_ord FROM conversations),
 h AS (SELECT *, CAST(unnest(generate_series(0, turn % 3)) AS INT) AS hint_ord FROM c)
-SELECT 'hint' AS part, project_id, page_ord, hint_ord AS a, length(text) % 256 AS b FROM h
+SELECT 'hint' AS part, project_id, page_ord, hint_ord AS a, CAST(length(text) % 256 AS INT) AS b FROM h
 UNION ALL SELECT 'forced', project_id, page_ord, CAST(turn * 7 AS INT), CAST(project_id % 24 AS INT) FROM c
 UNION ALL SELECT 'character', conv_id, NULL, CAST(turn % 2 AS INT), CAST(count(*) AS INT) FROM conversations GROUP BY conv_id, turn % 2""")
 def _(t):

@@ -55,26 +55,20 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     ``bucket`` must grow with ``order``. Rows are ranked inside (key, bucket) and
     shifted by the count of earlier buckets, so only bucket counts meet per key.
     """
-    keys = list(keys)
-    tagged = df.withColumn("__bucket", bucket)
-    counts = tagged.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col("__bucket").alias("__b"),
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
-        F.sum("__n").over(W.partitionBy(*keys)).alias("__total"))
-    inside = W.partitionBy(*keys, "__bucket").orderBy(*order)
-    cond = F.col("__bucket").eqNullSafe(F.col("__b"))
-    for i, k in enumerate(keys):
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    # Structs compare null-safely, and one pair of columns serves window and join alike,
+    # so the rows are shuffled once.
+    tagged = df.withColumns({"__key": F.struct(*keys), "__bucket": F.struct(bucket.alias("b"))})
+    counts = tagged.groupBy("__key", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy("__key").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("__key", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
+                            F.sum("__n").over(W.partitionBy("__key")).alias("__total"))
+    inside = W.partitionBy("__key", "__bucket").orderBy(*order)
     out = (tagged.withColumn("__pos", F.row_number().over(inside))
-           .join(offsets, cond)
+           .join(offsets, ["__key", "__bucket"])
            .withColumn(rank, (F.col("__before") + F.col("__pos")).cast("long")))
     if total:
         out = out.withColumn(total, F.col("__total").cast("long"))
-    return out.drop("__bucket", "__b", "__pos", "__before", "__total",
-                    *[f"__k{i}" for i in range(len(keys))])
+    return out.drop("__key", "__bucket", "__pos", "__before", "__total")
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int = 1,
@@ -99,10 +93,6 @@ def point_cell(df: DataFrame, x: Column, y: Column, size: float) -> DataFrame:
                            "__cy": F.floor(y / size).cast("long")})
 
 
-def null_safe_key(*cols: str) -> Column:
-    return F.struct(*[F.col(c) for c in cols])
-
-
 def join_library(df: DataFrame, library: DataFrame, keys: Sequence[str], spread: Column, how: str = "inner",
                  salts: int = 32) -> DataFrame:
     """Join rows to their (small) library by ``keys``, whatever share of rows one key holds.
