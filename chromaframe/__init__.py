@@ -1 +1,8 @@
 """Colour, identity and quality analytics over page collections, as Spark tables."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

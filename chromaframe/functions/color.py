@@ -43,6 +43,11 @@ def half_up(v) -> Column:
     return F.floor(_c(v) + 0.5).cast("double")
 
 
+def round_even(v, digits: int) -> Column:
+    """Round to ``digits`` decimals, halves to even, on the binary value itself."""
+    return F.rint(_c(v) * float(10 ** digits)) / float(10 ** digits)
+
+
 # --- codec -------------------------------------------------------------------
 
 HEX_RULE = "^#[0-9a-fA-F]{6}$"

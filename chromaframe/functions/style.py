@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chromaframe.functions.color import (_c, clip, hsv_to_rgb, lab_to_rgb_struct, rgb_to_hsv, with_lab)
+from chromaframe.functions.color import (_c, clip, hsv_to_rgb, lab_to_rgb_struct, rgb_to_hsv, round_even, with_lab)
 from chromaframe.scale import measured_broadcast
 
 DESCRIPTOR_FIELDS = {"warm_bias": 0.0, "shadow_bias": 0.0, "shadow_desat": 0.0, "shadow_hue_rotate": 0.0,
@@ -97,14 +97,14 @@ def profile_to_descriptor(df: DataFrame, extra_warm=0.0, sat_mult=1.0) -> DataFr
     """Relative rendering language of a style profile, for one region class."""
     warm = temperature_shift("temperature", 4.0)
     sat, con, grad = F.col("saturation"), F.col("contrast"), F.col("gradient")
-    out = {"warm_bias": F.bround(warm + _c(extra_warm), 2), "shadow_bias": F.bround(warm * -0.3, 2),
-           "shadow_desat": F.bround((F.lit(1.0) - grad) * 0.3, 3), "highlight_bias": F.bround(warm * 0.2, 2),
-           "saturation_scale": F.bround(sat * 1.2 * _c(sat_mult), 3), "region_gradient": F.bround(grad, 3),
-           "region_contrast": F.bround(F.greatest(F.lit(0.7), con * 1.2), 3),
-           "global_warm_cool": F.bround(warm * 0.3, 2), "global_saturation": F.bround(sat * 1.2, 3),
-           "global_contrast": F.bround(con * 1.2, 3),
-           "global_shadow_lift": F.bround(F.col("shadow_strength") * 0.3, 3),
-           "cel_flatten": F.bround(F.greatest(F.lit(0.0), F.lit(1.0) - grad * 1.5), 3)}
+    out = {"warm_bias": round_even(warm + _c(extra_warm), 2), "shadow_bias": round_even(warm * -0.3, 2),
+           "shadow_desat": round_even((F.lit(1.0) - grad) * 0.3, 3), "highlight_bias": round_even(warm * 0.2, 2),
+           "saturation_scale": round_even(sat * 1.2 * _c(sat_mult), 3), "region_gradient": round_even(grad, 3),
+           "region_contrast": round_even(F.greatest(F.lit(0.7), con * 1.2), 3),
+           "global_warm_cool": round_even(warm * 0.3, 2), "global_saturation": round_even(sat * 1.2, 3),
+           "global_contrast": round_even(con * 1.2, 3),
+           "global_shadow_lift": round_even(F.col("shadow_strength") * 0.3, 3),
+           "cel_flatten": round_even(F.greatest(F.lit(0.0), F.lit(1.0) - grad * 1.5), 3)}
     return df.select("*", *[v.alias(k) for k, v in out.items()])
 
 

@@ -46,9 +46,13 @@ def release_gate(d: DataFrame, target_class: int, leak_classes: dict[str, int],
 def label_coverage(d: DataFrame, label: str = "label", keys: Sequence[str] = ()) -> DataFrame:
     """Count per class (255 counts as ignored), with the labelled total."""
     per = d.groupBy(*keys, F.col(label).alias("class_id")).agg(F.count(F.lit(1)).alias("items"))
-    total = per.groupBy(*keys).agg(F.sum(F.when(F.col("class_id") != IGNORE, F.col("items")).otherwise(0)).alias("labelled"),
-                                   F.sum(F.when(F.col("class_id") == IGNORE, F.col("items")).otherwise(0)).alias("ignored"))
-    return per.join(total, list(keys) if keys else F.lit(True)).where(F.col("class_id") != IGNORE)
+    labelled = F.sum(F.when(F.col("class_id") != IGNORE, F.col("items")).otherwise(0)).alias("labelled")
+    ignored = F.sum(F.when(F.col("class_id") == IGNORE, F.col("items")).otherwise(0)).alias("ignored")
+    if keys:
+        d = per.join(per.groupBy(*keys).agg(labelled, ignored), list(keys))
+    else:
+        d = per.withColumns({"labelled": per.agg(labelled).scalar(), "ignored": per.agg(ignored).scalar()})
+    return d.where(F.col("class_id") != IGNORE)
 
 
 def tversky_score(probs: DataFrame, truth: DataFrame, special: dict[int, tuple[float, float]], eps: float = 1.0,

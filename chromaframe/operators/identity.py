@@ -308,7 +308,7 @@ def drift_report(assignments: DataFrame, observed: DataFrame, profiles: DataFram
     drift = drift_rows(assignments, observed).groupBy(*group).agg(
         F.count_if("alert").alias("drift_alerts"), F.max("delta_e").alias("max_delta_e"))
     d = act.join(drift, group, "left").fillna({"drift_alerts": 0, "max_delta_e": 0.0})
-    d = d.join(lib, "char_id").withColumn("max_delta_e", F.bround("max_delta_e", 1))
+    d = d.join(lib, "char_id").withColumn("max_delta_e", C.round_even("max_delta_e", 1))
     order = [F.desc("drift_alerts"), F.desc("locked_regions"), F.desc("active_regions"), F.asc("char_id")]
     if keys:
         return first_per_group(d, keys, order, n)

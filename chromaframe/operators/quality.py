@@ -74,8 +74,8 @@ def quality_report(px: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFra
         F.when(F.col("bleed"), F.lit("colored_ink_or_edge_bleed"))), lambda v: v.isNotNull())
     return d.select(
         *keys, C.clip(F.lit(100) - penalty, 0, 100).cast("int").alias("score"),
-        F.bround("colorfulness", 2).alias("colorfulness"), F.bround("hue_diversity", 3).alias("hue_diversity"),
-        F.bround("dominant_hue_ratio", 3).alias("dominant_hue_ratio"), F.bround("ink_chroma", 2).alias("ink_chroma"),
+        C.round_even("colorfulness", 2).alias("colorfulness"), C.round_even("hue_diversity", 3).alias("hue_diversity"),
+        C.round_even("dominant_hue_ratio", 3).alias("dominant_hue_ratio"), C.round_even("ink_chroma", 2).alias("ink_chroma"),
         F.col("wash").alias("wash_detected"), F.col("bleed").alias("line_bleed_detected"),
         reasons.alias("reasons"))
 

@@ -89,7 +89,7 @@ def identity_delta(samples: DataFrame) -> DataFrame:
     total = groups.agg((F.sum(F.col("delta_e_mean") * F.col("samples")) / F.sum("samples")).alias("same_mean"),
                        F.max("delta_e_max").alias("same_max"), F.count(F.lit(1)).alias("sample_groups"))
     apart = identity_separation(groups).agg(F.min("min_distance").alias("different_min"))
-    return total.join(apart, F.lit(True))
+    return total.withColumn("different_min", apart.scalar())
 
 
 def assignment_metrics(diag: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -196,15 +196,15 @@ def tone_tier_stats(px: DataFrame, keys: Sequence[str], global_mid_b: float = 0.
         "gradient": clip(F.col("std_l") / 60.0, 0.0, 1.0)})
     for n in ("a", "b"):
         s = s.withColumns({f"hi_{n}": F.coalesce(f"hi_{n}", f"mid_{n}"), f"sh_{n}": F.coalesce(f"sh_{n}", f"mid_{n}")})
-    shift = lambda side, n: F.bround(clip(F.col(f"{side}_{n}") - F.col(f"mid_{n}"), -12.0, 12.0), 2)
+    shift = lambda side, n: C.round_even(clip(F.col(f"{side}_{n}") - F.col(f"mid_{n}"), -12.0, 12.0), 2)
     return s.select(
         *keys, "count", "mid_a", "mid_b", "hi_a", "hi_b", "sh_a", "sh_b", F.col("mid_c").alias("chroma_mid"),
         "gradient", "sh_desat", "hi_desat",
-        F.bround(clip(F.col("mid_b") - global_mid_b, -15.0, 15.0), 2).alias("warm_bias"),
+        C.round_even(clip(F.col("mid_b") - global_mid_b, -15.0, 15.0), 2).alias("warm_bias"),
         shift("sh", "b").alias("shadow_bias"), shift("sh", "a").alias("shadow_hue_rotate"),
         shift("hi", "b").alias("highlight_bias"), shift("hi", "a").alias("highlight_hue_rotate"),
-        F.bround(clip(base / 18.0, 0.4, 2.0) * saturation_scale, 3).alias("saturation_scale"),
-        F.bround(clip(base / 14.0, 0.7, 1.8), 3).alias("region_contrast"))
+        C.round_even(clip(base / 18.0, 0.4, 2.0) * saturation_scale, 3).alias("saturation_scale"),
+        C.round_even(clip(base / 14.0, 0.7, 1.8), 3).alias("region_contrast"))
 
 
 def global_color_stats(px: DataFrame, keys=PAGE, gradient: Column | None = None) -> DataFrame:
@@ -336,7 +336,7 @@ def merge_style_globals(refs: DataFrame, fields: Sequence[str], keys: Sequence[s
     """Weighted means of numeric fields and the weighted mode of ``temperature``."""
     keys = list(keys)
     means = refs.groupBy(*keys).agg(*[
-        F.bround(F.sum(F.col(f) * F.col(weight)) / F.when(F.sum(weight) != 0, F.sum(weight)).otherwise(1.0), 3).alias(f)
+        C.round_even(F.sum(F.col(f) * F.col(weight)) / F.when(F.sum(weight) != 0, F.sum(weight)).otherwise(1.0), 3).alias(f)
         for f in fields])
     votes = refs.groupBy(*keys, "temperature").agg(F.sum(weight).alias("__v"), F.min(ord_col).alias("__o"))
     mode = votes.groupBy(*keys).agg(
@@ -350,7 +350,7 @@ def merge_style_regions(regions: DataFrame, fields: Sequence[str], keys: Sequenc
     d = regions.where(F.col("samples") > 0).withColumn(
         "__w", F.col(weight) * F.greatest(F.lit(1.0), F.sqrt(F.col("samples") / 500.0)))
     out = d.groupBy(*keys, "region").agg(
-        *[F.bround(F.sum(F.col(f) * F.col("__w")) / F.sum("__w"), 3).alias(f) for f in fields],
+        *[C.round_even(F.sum(F.col(f) * F.col("__w")) / F.sum("__w"), 3).alias(f) for f in fields],
         F.sum("samples").alias("samples"), F.sum("__w").alias("__t"))
     return out.where(F.col("__t") > 0).drop("__t")
 
@@ -417,13 +417,18 @@ def tone_histogram(px: DataFrame, keys=("page_id", "region_id"), bins: int = 12)
 
 def circular_mean(df: DataFrame, keys: Sequence[str], hue: str = "hue", weight: str = "weight") -> DataFrame:
     """Weighted mean on the circle; 0 without weight, the plain median when directions cancel."""
+    keys = list(keys)
     rad = F.radians(F.col(hue))
     s = df.groupBy(*keys).agg(F.sum(F.cos(rad) * F.col(weight)).alias("__x"), F.sum(F.sin(rad) * F.col(weight)).alias("__y"),
-                              F.sum(weight).alias("__w"), F.expr(f"percentile({hue}, 0.5)").alias("__m"))
-    mean = (F.when(F.coalesce("__w", F.lit(0.0)) <= 1e-6, 0.0)
-            .when(F.abs("__x") + F.abs("__y") <= 1e-8, F.col("__m"))
+                              F.sum(weight).alias("__w"))
+    empty = F.coalesce("__w", F.lit(0.0)) <= 1e-6
+    flat = ~empty & (F.abs("__x") + F.abs("__y") <= 1e-8)
+    # Only groups whose directions cancel need a median at all.
+    mid = (df.join(s.where(flat).select(*keys), keys, "left_semi").groupBy(*keys)
+           .agg(F.expr(f"percentile({hue}, 0.5)").alias("__m")))
+    mean = (F.when(empty, 0.0).when(flat, F.col("__m"))
             .otherwise(F.pmod(F.degrees(F.atan2("__y", "__x")), F.lit(360.0))))
-    return s.select(*keys, mean.alias("circular_mean"))
+    return s.join(mid, keys, "left").select(*keys, mean.alias("circular_mean"))
 
 
 def percentile_normalize(df: DataFrame, value: str, p: float = 97.0, keys=PAGE, approx: bool = False) -> DataFrame:

@@ -15,9 +15,9 @@ c(id, component) USING KEY (id) AS (SELECT p_partkey, p_partkey FROM part
   UNION (SELECT n.id, min(l.component) FROM c l JOIN u ON l.id = u.a JOIN recurring.c n ON n.id = u.b GROUP BY n.id, n.component HAVING min(l.component) < n.component))
 SELECT id, component FROM c""")
 def _(t):
-    top = t.part.agg(F.max("p_partkey").alias("top"))
+    top = t.part.agg(F.max("p_partkey")).scalar()
     e = t.part.where("p_size % 3 = 0").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + F.col("p_size")).alias("dst"))
-    e = e.join(top, F.col("dst") <= F.col("top")).select("src", "dst")
+    e = e.where(F.col("dst") <= top)
     return G.connected_components(t.part.select(F.col("p_partkey").alias("id")), e)
 
 

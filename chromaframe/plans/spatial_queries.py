@@ -26,12 +26,12 @@ def _(t):
 
 
 @query("hints_to_tiles", """
-SELECT h.hint_id, idx AS tile_id, round((x_norm * 1000 - x) / width, 6) AS x_norm, round((y_norm * 1400 - y) / height, 6) AS y_norm,
-  round(radius_norm * 1000 / width, 6) AS radius_norm FROM hints h JOIN panels p ON h.page_id = p.page_id
+SELECT h.hint_id, idx AS tile_id, round((x_norm * 1000 - x) / width, 9) AS x_norm, round((y_norm * 1400 - y) / height, 9) AS y_norm,
+  round(radius_norm * 1000 / width, 9) AS radius_norm FROM hints h JOIN panels p ON h.page_id = p.page_id
   AND x_norm * 1000 >= x AND x_norm * 1000 < x + width AND y_norm * 1400 >= y AND y_norm * 1400 < y + height""")
 def _(t):
     d = S.hints_to_tiles(t.hints, t.panels.withColumnRenamed("idx", "tile_id"), 1000, 1400)
-    return d.select("hint_id", "tile_id", r6("x_norm", "x_norm"), r6("y_norm", "y_norm"), r6("radius_norm", "radius_norm"))
+    return d.select("hint_id", "tile_id", *[F.round(c, 9).alias(c) for c in ("x_norm", "y_norm", "radius_norm")])
 
 
 @query("suppress_near", """
