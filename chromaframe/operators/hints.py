@@ -11,7 +11,7 @@ from chromaframe.functions.color import clip
 from chromaframe.functions.points import (MANUAL_SOURCES, effective_strength, source_priority,
                                           source_strength)
 from chromaframe.operators.spatial import suppress_near
-from chromaframe.scale import first_per_group, rank_within
+from chromaframe.scale import cut_lineage, first_per_group, rank_within
 
 
 def normalize_hints(df: DataFrame, default_source: str = "auto_instance") -> tuple[DataFrame, DataFrame]:
@@ -63,8 +63,8 @@ def limit_density(hints: DataFrame, regions: DataFrame | None, page_cap: int = 1
     """Greedy spaced pick of 1, 2 or 3 hints per (region, source, semantic, character).
 
     At most three hints survive per group, so the greedy pass is three rounds of "best
-    hint far enough from those chosen", each an ordinary grouped maximum. Automatic
-    hints are then capped per page. ``regions``: page_id, region_id, frac.
+    hint far enough from those chosen", each an ordinary grouped maximum over rows that
+    are written once. Automatic hints are then capped per page. ``regions``: page_id, region_id, frac.
     """
     keys = ["page_id", "region_id", "source", "semantic", "character_id"]
     if regions is not None:
@@ -81,7 +81,7 @@ def limit_density(hints: DataFrame, regions: DataFrame | None, page_cap: int = 1
         dx, dy = F.col("x_norm") - F.col(f"__c{i}.x_norm"), F.col("y_norm") - F.col(f"__c{i}.y_norm")
         return dx * dx + dy * dy > spacing * spacing
     # Null-safe group keys travel as one struct so that missing values still group.
-    d = d.withColumn("__key", F.struct(*keys))
+    d = cut_lineage(d.withColumn("__key", F.struct(*keys)))
     chosen = d.groupBy("__key").agg(F.max_by(point, best).alias("__c1"))
     for i in (2, 3):
         cond = F.lit(True)

@@ -170,8 +170,8 @@ def assign_to_owner(regions: DataFrame, matches: DataFrame, min_conf: float = 0.
 
 def zero_shot_label(vectors: DataFrame, prototypes: DataFrame, id_col: str = "item_id", scale: float = 100.0) -> DataFrame:
     """Softmax over scaled dot products with the prototypes; best label and its probability."""
-    blocks, most = id_blocks(prototypes.withColumn("__all", F.lit(1)), ["__all"], "label_id", [F.col("embedding")])
-    d = join_library(vectors.withColumn("__all", F.lit(1)), blocks, ["__all"], F.col(id_col))
+    blocks, most = id_blocks(prototypes, [], "label_id", [F.col("embedding")])
+    d = join_library(vectors, blocks, [], F.col(id_col))
     sims = F.transform("block", lambda p: F.struct(
         (V.dot(F.col("embedding"), p["embedding"]) * scale).alias("s"), (-p["label_id"]).alias("neg")))
     d = d.select(id_col, sims.alias("sims")).withColumn("best", F.array_max("sims"))

@@ -16,7 +16,7 @@ from chromaframe.functions import geometry as G
 from chromaframe.functions import vectors as V
 from chromaframe.functions.color import clip
 from chromaframe.functions.points import MANUAL_SOURCES, remap_to_crop
-from chromaframe.scale import cover_cells, first_per_group, point_cell
+from chromaframe.scale import cover_cells, cut_lineage, first_per_group, point_cell
 
 
 def points_to_regions(points: DataFrame, labels: DataFrame, radius: int = 24, near: int = 4) -> DataFrame:
@@ -27,7 +27,7 @@ def points_to_regions(points: DataFrame, labels: DataFrame, radius: int = 24, ne
     cannot settle look through the whole window. ``points``: page_id, point_id, x, y.
     """
     area = labels.where("region_id > 0").groupBy("page_id", "region_id").agg(F.count(F.lit(1)).alias("area"))
-    under = points.join(labels.select("page_id", "x", "y", "region_id"), ["page_id", "x", "y"])
+    under = cut_lineage(points.join(labels.select("page_id", "x", "y", "region_id"), ["page_id", "x", "y"]))
     on = under.where("region_id > 0").select("page_id", "point_id", "region_id")
     off = under.where("region_id = 0").select("page_id", "point_id", "x", "y")
     solid = labels.where("region_id > 0").select("page_id", F.col("x").alias("px"), F.col("y").alias("py"), "region_id")
@@ -41,12 +41,13 @@ def points_to_regions(points: DataFrame, labels: DataFrame, radius: int = 24, ne
                 .agg(F.min("d2").alias("d2")))
 
     def settle(best):
+        best = cut_lineage(best)
         floor = best.groupBy("page_id", "point_id").agg(F.min("d2").alias("__d"))
         pick = best.join(floor, ["page_id", "point_id"]).where(F.col("d2") <= F.col("__d") + 4)
         pick = pick.join(area, ["page_id", "region_id"])
         return pick.groupBy("page_id", "point_id").agg(
             F.min_by("region_id", F.struct("area", "region_id")).alias("region_id"), F.min("__d").alias("__d"))
-    close = settle(around(off, near)).where(F.col("__d") + 4 <= near * near).select("page_id", "point_id", "region_id")
+    close = cut_lineage(settle(around(off, near)).where(F.col("__d") + 4 <= near * near).select("page_id", "point_id", "region_id"))
     rest = off.join(close, ["page_id", "point_id"], "left_anti")
     far = settle(around(rest, radius)).select("page_id", "point_id", "region_id")
     found = on.unionByName(close).unionByName(far)

@@ -120,7 +120,7 @@ def _(t):
 @query("choose_color_source", f"""
 WITH i AS (SELECT page_id, region_id, {hex_sql('t_r', 't_g', 't_b')} AS c, char_id, match_score FROM assignments WHERE lock_allowed AND region_id % 2 = 0),
 m AS (SELECT page_id, region_id, {hex_sql('t_b', 't_g', 't_r')} AS c FROM assignments WHERE region_id % 3 = 0),
-s AS (SELECT 'sky' AS label, {hex_sql('max(hair_r)', 'max(hair_g)', 'max(hair_b)')} AS c FROM profiles),
+s AS (SELECT label, {hex_sql('max(x) % 256', 'max(y) % 256', 'max(w) % 256')} AS c FROM regions WHERE label = 'sky' GROUP BY label),
 j AS (SELECT r.page_id, r.region_id, r.label, conf, i.c AS ic, m.c AS mc, s.c AS sc, i.char_id, i.match_score FROM regions r
    LEFT JOIN i ON r.page_id = i.page_id AND r.region_id = i.region_id LEFT JOIN m ON r.page_id = m.page_id AND r.region_id = m.region_id
    LEFT JOIN s ON r.label = s.label WHERE conf >= 0.25 AND mean_gray < 242 AND mean_gray >= 55)
@@ -130,7 +130,7 @@ SELECT page_id, region_id, label, coalesce(ic, mc, sc) AS color, CASE WHEN ic IS
 def _(t):
     hexes = t.assignments.withColumns({"color": C.rgb_to_hex("t_r", "t_g", "t_b"), "alt": C.rgb_to_hex("t_b", "t_g", "t_r")})
     memory = hexes.where("region_id % 3 = 0").select("page_id", "region_id", F.col("alt").alias("color"))
-    scene = t.profiles.agg(F.lit("sky").alias("label"), C.rgb_to_hex(F.max("hair_r"), F.max("hair_g"), F.max("hair_b")).alias("color"))
+    scene = t.regions.groupBy("label").agg(C.rgb_to_hex(F.max("x") % 256, F.max("y") % 256, F.max("w") % 256).alias("color"))
     d = I.choose_color_source(t.regions, hexes.where("region_id % 2 = 0"), memory, scene)
     return d.withColumns({"confidence": F.round("confidence", 6), "strength": F.round("strength", 6)})
 

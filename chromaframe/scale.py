@@ -99,10 +99,12 @@ def join_library(df: DataFrame, library: DataFrame, keys: Sequence[str], spread:
 
     A library within the measured bound is broadcast. A larger one is repeated per
     salt and ``spread`` (any well-mixed row column) sends each row to one of them.
+    Without keys every row meets the whole library, by salt.
     """
     hinted = measured_broadcast(library)
-    if hinted is not library:
+    if hinted is not library and keys:
         return df.join(hinted, list(keys), how)
+    library = hinted
     copies = library.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
