@@ -100,6 +100,23 @@ def rgb_to_hsv(r, g, b) -> tuple[Column, Column, Column]:
     return hue.cast("int"), sat.cast("int"), hi.cast("int")
 
 
+def with_hsv(df: DataFrame, rgb=("r", "g", "b"), out=("hue", "sat", "val")) -> DataFrame:
+    """Add 8-bit HSV columns in stages.
+
+    Per-pixel work is best cut into short projections: each becomes a method of its own
+    in the generated code, small enough for the JVM to compile.
+    """
+    r, g, b = (F.col(c) for c in rgb)
+    hi, span, sext = F.col("__hi"), F.col("__span"), F.col("__sext")
+    df = df.withColumns({"__hi": F.greatest(r, g, b), "__lo": F.least(r, g, b)})
+    df = df.withColumn("__span", hi - F.col("__lo"))
+    df = df.withColumn("__sext", _hue_sextant(r, g, b, hi, span))
+    df = df.withColumn("__sext", half_up(sext * 30.0))
+    df = df.withColumns({out[0]: F.when(sext < 0, sext + 180.0).otherwise(sext).cast("int"),
+                         out[1]: F.when(hi == 0, F.lit(0.0)).otherwise(half_up(span * 255.0 / hi)).cast("int"), out[2]: hi.cast("int")})
+    return df.drop("__hi", "__lo", "__span", "__sext")
+
+
 def rgb_to_hls(r, g, b) -> tuple[Column, Column, Column]:
     """Hue in degrees 0..360, lightness and saturation 0..1."""
     r, g, b = _c(r), _c(g), _c(b)
@@ -113,20 +130,26 @@ def rgb_to_hls(r, g, b) -> tuple[Column, Column, Column]:
     return hue, light, sat
 
 
-def hsv_to_rgb(h, s, v) -> tuple[Column, Column, Column]:
-    """8-bit HSV (hue 0..179) to 8-bit RGB."""
-    h, s, v = _c(h) / 30.0, _c(s) / 255.0, _c(v).cast("double")
-    sector = F.floor(h)
-    frac = h - sector
-    p, q, t = v * (1.0 - s), v * (1.0 - s * frac), v * (1.0 - s * (1.0 - frac))
-    table = ((v, t, p), (q, v, p), (p, v, t), (p, q, v), (t, p, v), (v, p, q))
+def with_hsv_rgb(df: DataFrame, hsv=("hue", "sat", "val"), out=("back_r", "back_g", "back_b")) -> DataFrame:
+    """Add 8-bit RGB columns from 8-bit HSV ones, in stages."""
+    h, s, v = (F.col(c) for c in hsv)
+    sec, frac, sat, val = F.col("__sec"), F.col("__frac"), F.col("__sat"), F.col("__val")
+    df = df.withColumns({"__h": h / 30.0, "__sat": s / 255.0, "__val": v.cast("double")})
+    df = df.withColumn("__sec", F.floor("__h").cast("int"))
+    df = df.withColumn("__frac", F.col("__h") - sec)
+    one = F.lit(1.0)
+    df = df.withColumns({"__p": val * (one - sat), "__q": val * (one - sat * frac), "__t": val * (one - sat * (one - frac))})
+    p, q, t = F.col("__p"), F.col("__q"), F.col("__t")
+    table = ((val, t, p), (q, val, p), (p, val, t), (p, q, val), (t, p, val), (val, p, q))
 
     def pick(i):
-        out = F.when(sector == 0, table[0][i])
+        c = F.when(sec == 0, table[0][i])
         for k in range(1, 5):
-            out = out.when(sector == k, table[k][i])
-        return half_up(out.otherwise(table[5][i])).cast("int")
-    return pick(0), pick(1), pick(2)
+            c = c.when(sec == k, table[k][i])
+        return c.otherwise(table[5][i])
+    df = df.withColumns({n: pick(i) for i, n in enumerate(out)})
+    df = df.withColumns({n: half_up(n).cast("int") for n in out})
+    return df.drop("__h", "__sat", "__val", "__sec", "__frac", "__p", "__q", "__t")
 
 
 # --- Lab ---------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chromaframe.functions.color import (_c, clip, hsv_to_rgb, lab_to_rgb_struct, rgb_to_hsv, round_even, with_lab)
+from chromaframe.functions.color import (_c, clip, lab_to_rgb_struct, round_even, with_hsv, with_hsv_rgb, with_lab)
 from chromaframe.scale import measured_broadcast
 
 DESCRIPTOR_FIELDS = {"warm_bias": 0.0, "shadow_bias": 0.0, "shadow_desat": 0.0, "shadow_hue_rotate": 0.0,
@@ -51,8 +51,7 @@ def adapt_to_style(df: DataFrame, presets: DataFrame, on: str = "style_key") ->
     """
     d = df.join(measured_broadcast(presets), on, "left")
     boost = clip(F.col("saturation_boost"), 0.05, 3.0)
-    h, s, v = rgb_to_hsv("r", "g", "b")
-    d = with_lab(d, out=("__l", "__a", "__b")).withColumns({"__boost": boost, "__h": h, "__s": s, "__v": v})
+    d = with_hsv(with_lab(d, out=("__l", "__a", "__b")), out=("__h", "__s", "__v")).withColumn("__boost", boost)
     boost = F.col("__boost")
     factor = F.when(boost < 1.0, clip(boost * 0.90 + 0.10, 0.08, 1.0)).otherwise(
         clip((boost - 1.0) * 0.10 + 0.94, 0.90, 1.18))
@@ -65,7 +64,8 @@ def adapt_to_style(df: DataFrame, presets: DataFrame, on: str = "style_key") ->
     d = d.withColumns({"__s2": F.floor(clip(F.col("__s") * factor, 0.0, 255.0)), "__v2": F.floor(value),
                        "__l2": lab[0], "__a2": lab[1], "__b2": lab[2]})
     d = d.withColumn("__rgb", lab_to_rgb_struct("__l2", "__a2", "__b2"))
-    one, two = hsv_to_rgb("__h", "__s2", "__v2"), [F.col(f"__rgb.c{i}") for i in range(3)]
+    d = with_hsv_rgb(d, ("__h", "__s2", "__v2"), ("__hr", "__hg", "__hb"))
+    one, two = [F.col(f"__h{c}") for c in "rgb"], [F.col(f"__rgb.c{i}") for i in range(3)]
     share = F.when(boost < 1.0, 0.62).otherwise(0.40)
     plain = F.col("saturation_boost").isNull() | (F.col(on) == "none")
     out = {n: F.when(plain, F.col(c)).otherwise(

@@ -31,19 +31,19 @@ def normalize_hints(df: DataFrame, default_source: str = "auto_instance") -> tup
     source = F.when(is_t, F.lit(default_source)).otherwise(F.coalesce("source", F.lit(default_source)))
     d = d.withColumns({"__rgb": rgb, "__src": source})
     strength = F.when(is_t, source_strength("__src")).otherwise(F.coalesce("strength", source_strength("__src")))
-    one = lambda i: clip(F.get("__rgb", F.lit(i)), 0, 255)
     drop = {"kind", "items", "color", "rgb", "x_norm", "y_norm", "radius_norm", "strength", "source", "confidence",
             "priority", "__ok", "__rgb", "__src"}
     keep = [c for c in df.columns if c not in drop]
     good = d.where("__ok").select(
-        *keep, clip(F.when(is_t, item(0).cast("double")).otherwise(F.col("x_norm")), 0.0, 1.0).alias("x_norm"),
-        clip(F.when(is_t, item(1).cast("double")).otherwise(F.col("y_norm")), 0.0, 1.0).alias("y_norm"),
-        one(0).alias("r"), one(1).alias("g"), one(2).alias("b"),
-        F.greatest(F.lit(0.0005), F.coalesce(F.when(is_t, item(3).cast("double")).otherwise(F.col("radius_norm")),
-                                             F.lit(0.004))).alias("radius_norm"),
-        clip(strength, 0.0, 1.0).alias("strength"), F.col("__src").alias("source"),
-        clip(F.coalesce(F.when(~is_t, F.col("confidence")), F.lit(1.0)), 0.0, 1.0).alias("confidence"),
+        *keep, F.when(is_t, item(0).cast("double")).otherwise(F.col("x_norm")).alias("x_norm"),
+        F.when(is_t, item(1).cast("double")).otherwise(F.col("y_norm")).alias("y_norm"),
+        *[F.get("__rgb", F.lit(i)).alias(c) for i, c in enumerate("rgb")],
+        F.coalesce(F.when(is_t, item(3).cast("double")).otherwise(F.col("radius_norm")), F.lit(0.004)).alias("radius_norm"),
+        strength.alias("strength"), F.col("__src").alias("source"),
+        F.coalesce(F.when(~is_t, F.col("confidence")), F.lit(1.0)).alias("confidence"),
         F.coalesce(F.when(~is_t, F.col("priority")), source_priority("__src")).alias("priority"))
+    good = good.withColumns({**{c: clip(c, 0.0, 1.0) for c in ("x_norm", "y_norm", "strength", "confidence")},
+                             **{c: clip(c, 0, 255) for c in "rgb"}, "radius_norm": F.greatest(F.lit(0.0005), "radius_norm")})
     return good, d.where(~F.col("__ok")).select(*df.columns)
 
 

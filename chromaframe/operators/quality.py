@@ -30,12 +30,11 @@ def quality_report(px: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFra
     hot page over many groups; level two reads percentiles off those counts.
     """
     keys = list(keys)
-    hue, sat, _ = C.rgb_to_hsv("r", "g", "b")
     da, db = F.col("lab_a") - 128.0, F.col("lab_b") - 128.0
-    level1 = (C.with_lab(px).select(
+    level1 = (C.with_hsv(C.with_lab(px), out=("hue", "sat", "val")).select(
         *keys,
         C.is_content("gray").alias("content"), (F.col("gray") < 55).alias("ink"),
-        F.when(sat >= 24, F.floor(hue / 15).cast("int")).otherwise(-1).alias("bin"),
+        F.when(F.col("sat") >= 24, F.floor(F.col("hue") / 15).cast("int")).otherwise(-1).alias("bin"),
         (da * da + db * db).cast("int").alias("chroma2"))
         .groupBy(*keys, "content", "ink", "bin", "chroma2").agg(F.count(F.lit(1)).alias("n"))
         .withColumn("chroma", F.sqrt("chroma2")))
@@ -140,7 +139,8 @@ def rank_candidates(px: DataFrame, keys: Sequence[str] = ("page_id",), candidate
 
     One row per (page, candidate, pixel); ``r2, g2, b2`` carry the coloured result.
     """
-    hue, sat, val = C.rgb_to_hsv("r2", "g2", "b2")
+    px = C.with_hsv(px, ("r2", "g2", "b2"), ("__hue", "__sat", "__val"))
+    hue, sat, val = F.col("__hue"), F.col("__sat"), F.col("__val")
     warm = ((hue <= 24) | (hue >= 170)) & (sat >= 72) & (val >= 24)
     d = px.withColumns({"__m": F.col(mask) > 0, "__warm": warm})
     s = d.groupBy(*keys, candidate).agg(
@@ -190,9 +190,10 @@ def ring_contrast(points: DataFrame, px: DataFrame, width: int, height: int, thr
     """
     base = points.where(~F.col("source").isin("manual", "eyedropper_hint", "style_only"))
     p = base.select("page_id", "hint_id",
-                    C.clip(F.bround(F.col("x_norm") * width), 0.0, width - 1.0).cast("int").alias("cx"),
-                    C.clip(F.bround(F.col("y_norm") * height), 0.0, height - 1.0).cast("int").alias("cy"),
-                    C.clip(F.bround(F.col("radius_norm") * width), 2.0, 8.0).cast("int").alias("rad"))
+                    F.rint(F.col("x_norm") * width).cast("int").alias("cx"), F.rint(F.col("y_norm") * height).cast("int").alias("cy"),
+                    F.rint(F.col("radius_norm") * width).cast("int").alias("rad"))
+    pin = lambda c, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), F.col(c)))
+    p = p.withColumns({"cx": pin("cx", 0, width - 1), "cy": pin("cy", 0, height - 1), "rad": pin("rad", 2, 8)})
     reach = F.col("rad") * 3
 
     def side(c, size):

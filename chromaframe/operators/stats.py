@@ -147,8 +147,8 @@ def scene_palette(px: DataFrame, regions: DataFrame, keys: Sequence[str] = (), m
     labelled = regions.where(F.col("label").isin(*ENVIRONMENT) & (F.col("conf") >= min_conf)).select(
         "page_id", "region_id", "label", *keys,
         F.greatest(F.lit(1.0), F.col("area") * F.col("conf")).alias("weight"))
-    _, sat, val = C.rgb_to_hsv("r", "g", "b")
-    mid = robust_median(px.where("region_id > 0"), ["page_id", "region_id"], C.is_usable(sat, val, 18, 20, 248))
+    d = C.with_hsv(px.where("region_id > 0"), out=("__h", "__s", "__v"))
+    mid = robust_median(d, ["page_id", "region_id"], C.is_usable("__s", "__v", 18, 20, 248))
     d = mid.where(F.col("n") >= min_pixels).join(labelled, ["page_id", "region_id"])
     mean = {m: (F.sum(F.col(f"med_{m}") * F.col("weight")) / F.sum("weight")).cast("int") for m in "rgb"}
     out = d.groupBy(*keys, "label").agg(*[v.alias(m) for m, v in mean.items()],
@@ -209,8 +209,7 @@ def tone_tier_stats(px: DataFrame, keys: Sequence[str], global_mid_b: float = 0.
 
 def global_color_stats(px: DataFrame, keys=PAGE, gradient: Column | None = None) -> DataFrame:
     """Page-wide saturation, contrast, temperature, shadow and Lab signature in one pass."""
-    hue, sat, val = C.rgb_to_hsv("r", "g", "b")
-    d = C.with_lab(px).withColumns({"__h": hue, "__s": sat, "__v": val})
+    d = C.with_hsv(C.with_lab(px), out=("__h", "__s", "__v"))
     d = d.withColumns({"chromatic": C.is_chromatic("__s", "__v"),
                        "nonpaper": (F.col("gray") > 20) & (F.col("gray") < 245)})
 
@@ -252,8 +251,8 @@ def corpus_palette(px: DataFrame, max_colors: int = 8, seed: int = 7) -> DataFra
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    _, sat, val = C.rgb_to_hsv("r", "g", "b")
-    spots = (px.where(C.is_usable(sat, val, 28, 24, 248)).groupBy("r", "g", "b")
+    d = C.with_hsv(px, out=("__h", "__s", "__v"))
+    spots = (d.where(C.is_usable("__s", "__v", 28, 24, 248)).groupBy("r", "g", "b")
              .agg(F.count(F.lit(1)).cast("double").alias("n")))
     total = spots.agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0]
     if total < 16:

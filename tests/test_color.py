@@ -28,10 +28,10 @@ def test_lab_and_hex_agree_with_scalar_rules(spark):
 
 def test_hsv_matches_standard_library(spark):
     h, s, v = C.rgb_to_hsv("r", "g", "b")
-    back = C.hsv_to_rgb(h, s, v)
-    df = spark.createDataFrame(_rgbs(), "r int, g int, b int").select(
-        "r", "g", "b", h.alias("h"), s.alias("s"), v.alias("v"), *[c.alias(f"b{i}") for i, c in enumerate(back)])
+    df = C.with_hsv(spark.createDataFrame(_rgbs(), "r int, g int, b int"), out=("h", "s", "v"))
+    df = C.with_hsv_rgb(df, ("h", "s", "v"), ("b0", "b1", "b2")).withColumns({"h2": h, "s2": s, "v2": v})
     for r in df.collect():
+        assert (r.h, r.s, r.v) == (r.h2, r.s2, r.v2)
         hh, ss, vv = colorsys.rgb_to_hsv(r.r / 255, r.g / 255, r.b / 255)
         assert abs((r.h - hh * 180 + 90) % 180 - 90) <= 0.51 and abs(r.s - ss * 255) <= 0.51 and r.v == round(vv * 255)
         assert max(abs(r.b0 - r.r), abs(r.b1 - r.g), abs(r.b2 - r.b)) <= 8
