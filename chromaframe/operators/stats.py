@@ -119,14 +119,22 @@ def separation_retention(px: DataFrame, keys=PAGE, region: str = "region_id",
 
 def robust_median(px: DataFrame, keys: Sequence[str], usable: Column, min_n: int = 8,
                   min_share: float = 0.0, rgb=("r", "g", "b"), min_chroma: float | None = None) -> DataFrame:
-    """Per-channel median over usable pixels, or over all when too few are usable."""
-    d = px.withColumn("__ok", usable)
-    aggs = [F.count(F.lit(1)).alias("n"), F.count_if("__ok").alias("n_ok")]
-    for c in rgb:
-        aggs += [F.expr(f"percentile({c}, 0.5) FILTER (WHERE __ok)").alias(f"__ok_{c}"),
-                 F.expr(f"percentile({c}, 0.5)").alias(f"__all_{c}")]
+    """Per-channel median over usable pixels, or over all when too few are usable.
+
+    Equal channel values are counted first (at most 256 per channel and group), so the
+    medians see a bounded number of rows however large the group is.
+    """
+    keys = list(keys)
+    channels = F.array(*[F.struct(F.lit(i).alias("__ch"), F.col(c).alias("__v")) for i, c in enumerate(rgb)])
+    d = px.select(*keys, F.coalesce(usable, F.lit(False)).alias("__ok"), F.inline(channels))
+    level = d.groupBy(*keys, "__ok", "__ch", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    aggs = [F.expr("sum(__n) FILTER (WHERE __ch = 0)").alias("n"),
+            F.expr("coalesce(sum(__n) FILTER (WHERE __ch = 0 AND __ok), 0L)").alias("n_ok")]
+    for i, c in enumerate(rgb):
+        aggs += [F.expr(f"percentile(__v, 0.5, __n) FILTER (WHERE __ch = {i} AND __ok)").alias(f"__ok_{c}"),
+                 F.expr(f"percentile(__v, 0.5, __n) FILTER (WHERE __ch = {i})").alias(f"__all_{c}")]
     need = F.greatest(F.lit(min_n), F.floor(F.col("n") * min_share))
-    out = d.groupBy(*keys).agg(*aggs).withColumn("__use", F.col("n_ok") >= need)
+    out = level.groupBy(*keys).agg(*aggs).withColumn("__use", F.col("n_ok") >= need)
     out = out.select(*keys, "n", "n_ok", *[
         F.when(F.col("__use"), F.col(f"__ok_{c}")).otherwise(F.col(f"__all_{c}")).alias(f"med_{m}")
         for c, m in zip(rgb, "rgb")])
