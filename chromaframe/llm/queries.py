@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from chromaframe.llm.exact import exact_groups
 from chromaframe.llm.mixing import mix_styles
+from chromaframe.llm.secrets import BASE, confirm_secrets
 from chromaframe.llm.shards import shard_pages
+from chromaframe.llm.simhash import fingerprint_hex, similar_styles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +79,20 @@ SELECT doc_id, source, copy, substr(md5('{MIX_SEED}-place:' || coalesce(CAST(doc
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mix_styles(docs, MIX_WEIGHTS, 1.0, "doc_id", "source", seed=MIX_SEED)
+
+
+@query("op7_simhash")
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = similar_styles(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op4_secret_scan")
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = confirm_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = found.select("doc_id", "findings")
+    base = F.filter("findings", lambda f: f["kind"].isin(*BASE))
+    count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
+    line = lambda fs: F.array_join(F.transform(fs, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+                        F.sha2(line(base), 256).alias("base_sha256"), line(F.col("findings")).alias("spans"))

@@ -1,0 +1,48 @@
+import base64
+import json
+
+from chromaframe.llm.secrets import confirm_secrets, der_private_key
+
+
+def der(tag, body):
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+KEY = der(0x30, der(2, b"\x00") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, bytes(range(32)))))
+URL = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).decode().rstrip("=")
+JWT = f"{URL({'alg': 'HS256', 'typ': 'JWT'})}.{URL({'sub': 'page-1'})}.c2lnbmF0dXJl"
+
+
+def spans(spark, *texts):
+    df = spark.createDataFrame([(str(i), t, 1) for i, t in enumerate(texts)], "path string, text string, findings int")
+    got = {r.path: [(f.kind, f.start, f.end) for f in r.findings] for r in confirm_secrets(df).collect()}
+    return [got[str(i)] for i in range(len(texts))]
+
+
+def test_base_patterns(spark):
+    hex24 = "0123456789abcdef01234567"
+    long = "é" * 300_000
+    a, b, c, d, e, f, g = spans(spark, 'ü Password" : "abcdef" token=abc', f"AKIA{'A' * 16} AKIA123", f"x{hex24}x deadbeef", None, "",
+                                f"{long} api_key={hex24}", "secret=token:abcdefgh")
+    assert a == [("assign", 2, 21)]
+    assert b == [("access", 0, 20)] and c == [("hex", 1, 25)] and d == e == []
+    assert f == [("assign", 300_001, 300_033), ("hex", 300_009, 300_033)]
+    assert g == []  # the short first match uses the second word up
+
+
+def test_confirmed_structures(spark):
+    pem = "-----BEGIN PRIVATE KEY-----\n" + base64.b64encode(KEY).decode() + "\n-----END PRIVATE KEY-----"
+    fake = "-----BEGIN PRIVATE KEY-----\n" + base64.b64encode(b"not a key" * 6).decode() + "\n-----END PRIVATE KEY-----"
+    wrapped = base64.b64encode(b"password = hunter2hunter2 and more").decode()
+    a, b, c, d, e, f, g = spans(spark, pem, fake, f"see {JWT}", "see eyJhbGciOjF9.eyJhIjoxfQ.x", f"k {KEY.hex()}", f"w {wrapped}", "Q" * 64)
+    assert ("pem", 0, len(pem)) in a and any(k == "key64" for k, *_ in a)
+    assert b == [] and c == [("token", 4, 4 + len(JWT))] and d == []
+    assert ("keyhex", 2, 2 + len(KEY.hex())) in e
+    assert ("wrapped", 2, 2 + len(wrapped)) in f and g == []
+
+
+def test_nested_lengths():
+    assert der_private_key(KEY)
+    assert not der_private_key(KEY[:-1]) and not der_private_key(KEY + b"\x00") and not der_private_key(b"\x30\x80" + bytes(40))
