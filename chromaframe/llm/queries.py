@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chromaframe.llm.exact import exact_groups
+from chromaframe.llm.language import fit_languages, mixed_languages
 from chromaframe.llm.mixing import mix_styles
 from chromaframe.llm.secrets import BASE, confirm_secrets
 from chromaframe.llm.shards import shard_pages
 from chromaframe.llm.simhash import fingerprint_hex, similar_styles
+from chromaframe.llm.toxicity import fit_lexicon, score_styles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +98,24 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda fs: F.array_join(F.transform(fs, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
                         F.sha2(line(base), 256).alias("base_sha256"), line(F.col("findings")).alias("spans"))
+
+
+def _crc_part(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(_crc_part(3) != 1).select("doc_id", "toxic").where("toxic IS NOT NULL")
+    lexicon = fit_lexicon(docs.join(labels, "doc_id"), "doc_id", "text", "toxic")
+    out = score_styles(docs, lexicon, "text")
+    return out.select("doc_id", (_crc_part(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "hits")
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_languages(docs.where(_crc_part(4) != 2), "text", "lang", "doc_id")
+    out = mixed_languages(docs.drop("lang"), model, "text")
+    return out.select("doc_id", (_crc_part(4) == 2).alias("held_out"), "lang_pred", "score", F.to_json("mixture").alias("mixture"))
