@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from chromaframe.llm.exact import exact_groups
 from chromaframe.llm.language import fit_languages, mixed_languages
 from chromaframe.llm.mixing import mix_styles
+from chromaframe.llm.packing import pack_styles
 from chromaframe.llm.secrets import BASE, confirm_secrets
 from chromaframe.llm.shards import shard_pages
 from chromaframe.llm.simhash import fingerprint_hex, similar_styles
+from chromaframe.llm.spotsigs import fingerprint_files, likeness, with_next
 from chromaframe.llm.toxicity import fit_lexicon, score_styles
+from chromaframe.llm.wrappers import extract_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +122,37 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_languages(docs.where(_crc_part(4) != 2), "text", "lang", "doc_id")
     out = mixed_languages(docs.drop("lang"), model, "text")
     return out.select("doc_id", (_crc_part(4) == 2).alias("held_out"), "lang_pred", "score", F.to_json("mixture").alias("mixture"))
+
+
+@query("op5_fingerprints")
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_next(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text")
+    docs = docs.withColumn("n_chars", F.char_length("text").cast("long"))
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
+    docs = docs.withColumn("edited", edited)
+    docs = docs.withColumn("edited_sha256", F.sha2("edited", 256))
+    for text, name in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("next_text", "next_fingerprint")):
+        docs = fingerprint_files(docs, text, name)
+    return docs.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+                       likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+                       likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack_styles(table(spark, sf_dir, "documents"), tokenizer_path(), "doc_id", "text")
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"),
+                      "sequence_id", "offset", "sequence_tokens")
+
+
+@query("op9_html_extraction")
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "url", "html", "text")
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
