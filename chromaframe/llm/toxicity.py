@@ -84,8 +84,9 @@ def _counted(sample: DataFrame, description: str, toxic: str, keys) -> pd.DataFr
 
         def flush():
             for y, c in sums.items():
-                yield pd.DataFrame({"key": list(c), "toxic": y, "n": list(c.values())})
-                c.clear()
+                if c:
+                    yield pd.DataFrame({"key": list(c), "toxic": y, "n": list(c.values())})
+                    c.clear()
         for part in parts:
             for text, y in zip(part["text"], part["toxic"]):
                 sums[y].update(set(keys(fold(text))))
