@@ -46,7 +46,7 @@ def test_folding():
 
 def test_toxicity_and_exceptions(spark):
     bad = [(i, f"what an utter {w} you are", 1, 0.0) for i, w in enumerate(["idiot", "1diot", "id!ot"] * 10)]
-    good = [(100 + i, "a calm page of trees and water", 0, 0.0) for i in range(60)] + [(300 + i, "an idiot proof brush", 0, 0.0) for i in range(30)]
+    good = [(100 + i, "a calm page of trees and water", 0, 0.0) for i in range(200)] + [(300 + i, "an idiot proof brush", 0, 0.0) for i in range(4)]
     df = spark.createDataFrame(bad + good + [(900, None, 0, 0.0), (901, "", None, 0.0)], "style_key long, description string, toxic int, score double")
     lexicon = fit_lexicon(df, exceptions=("idiot proof",))
     got = {r.style_key: r for r in score_styles(df, lexicon).collect()}
