@@ -20,7 +20,7 @@ class Encoder:
     Words are cut at ASCII white space, which the tokenizer drops, so a text's ids are its words' ids.
     """
 
-    def __init__(self, path: str, end_id: int, remember: int = 400_000):
+    def __init__(self, path: str, end_id: int, remember: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -48,14 +48,15 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         import re
 
-        words = re.split("[ \t\n\r\x0b\x0c]+", text) if re.search("[\x1c-\x1f]", text) else text.split()
+        # str.split also cuts at four separators that the tokenizer keeps.
+        words = re.split("[ \t\n\r\x0b\x0c]+", text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
         if len(self.known) > self.remember:
             self.known.clear()
         known = self.known
-        missing = [w for w in set(words) if w not in known]
+        missing = set(words) - known.keys()
         if missing:
-            self.learn(missing)
-        return b"".join([known[w] for w in words]) + self.end
+            self.learn(sorted(missing))
+        return b"".join(map(known.__getitem__, words)) + self.end
 
 
 class Lexical:
@@ -183,7 +184,7 @@ def pack_styles(styles: DataFrame, tokenizer_path: str, style_key: str = "style_
     """
     rows = styles.select(F.col(style_key).alias("key"), text_of(description).alias("text"))
     # Only the dealing uses this; whatever it is, every token is packed.
-    word = F.array_max(F.split("text", "[^\\p{L}\\p{N}]+"))
+    word = F.array_max(F.split("text", " "))
     rows = rows.withColumns({"__word": F.substring(word, 1, 24), "__mix": F.xxhash64("key", "text")})
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     shards = rows.repartitionByRange(max(1, -(-size // shard_bytes)), "__word", "__mix").sortWithinPartitions("__word", "__mix", "key")
