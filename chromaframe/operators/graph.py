@@ -13,8 +13,7 @@ from chromaframe.operators.windows import dense_relabel
 from chromaframe.scale import cover_cells, cut_lineage
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", src: str = "src", dst: str = "dst",
-                         max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", src: str = "src", dst: str = "dst") -> DataFrame:
     """Smallest reachable node per node, by alternating large-star and small-star rounds.
 
     Both steps are grouped minima plus one join; every round starts from checkpointed
@@ -27,9 +26,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", s
         r = d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return tuple(r)
     before = signature(e)
-    for _ in range(max_rounds):
-        if before[0] == 0:
-            break
+    while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -42,8 +39,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", s
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     root = e.groupBy("a").agg(F.min("b").alias("__root"))
     return nodes.join(root, F.col(node) == F.col("a"), "left").select(
         *nodes.columns, F.coalesce("__root", node).alias("component"))

@@ -291,9 +291,9 @@ def drift_rows(assignments: DataFrame, observed: DataFrame) -> DataFrame:
     return d.withColumn("delta_e", dist).withColumn("alert", dist > limit).drop("tl", "ta", "tb", "ol", "oa", "ob")
 
 
-def drift_report(assignments: DataFrame, observed: DataFrame, profiles: DataFrame, n: int = 8,
+def drift_report(assignments: DataFrame, observed: DataFrame, profiles: DataFrame, n: int | None = None,
                  keys: Sequence[str] = ()) -> DataFrame:
-    """Per character: activity, attributes, part counts, alerts, worst drift; the top ``n``.
+    """Per character: activity, attributes, part counts, alerts, worst drift, in rank order; ``n`` keeps the first.
 
     Without any assignment the profiles are listed plainly.
     """
@@ -310,10 +310,11 @@ def drift_report(assignments: DataFrame, observed: DataFrame, profiles: DataFram
     d = act.join(drift, group, "left").fillna({"drift_alerts": 0, "max_delta_e": 0.0})
     d = d.join(lib, "char_id").withColumn("max_delta_e", C.round_even("max_delta_e", 1))
     order = [F.desc("drift_alerts"), F.desc("locked_regions"), F.desc("active_regions"), F.asc("char_id")]
+    cut = lambda rows: rows if n is None else rows.limit(n)
     if keys:
-        return first_per_group(d, keys, order, n)
+        return d if n is None else first_per_group(d, keys, order, n)
     if d.isEmpty():
         blank = [F.lit(0).cast(d.schema[c].dataType).alias(c) if c != "attributes" else
                  F.array().cast("array<string>").alias(c) for c in d.columns if c not in ("char_id", "name")]
-        return profiles.select("char_id", "name", *blank).orderBy("char_id").limit(n)
-    return d.orderBy(*order).limit(n)
+        return profiles.select("char_id", "name", *blank).select(*d.columns).orderBy("char_id").transform(cut)
+    return d.orderBy(*order).transform(cut)

@@ -25,7 +25,8 @@ def closest_pair(points: DataFrame, keys: Sequence[str], coords: Sequence[str],
 
     Equal points collapse first (distance 0). The rest meet only inside neighbouring
     grid cells of side ``reach``; a key with no pair within one reach moves to the
-    next, where its points are by then known to lie that far apart. Each round starts
+    next, where its points are by then known to lie that far apart. After the last given
+    reach it grows fourfold up to the extent of the points. Each round starts
     from checkpointed rows, and the loop ends as soon as no key is left.
     """
     keys, coords = list(keys), list(coords)
@@ -36,10 +37,17 @@ def closest_pair(points: DataFrame, keys: Sequence[str], coords: Sequence[str],
     lone = found.where("__m = 1 AND __d = 1").select(*keys, F.lit(None).cast("double").alias("min_distance"))
     out = same.unionByName(lone)
     todo = todo.join(out.select(*keys), keys, "left_anti")
-    for step in reach:
+    steps, step, extent = list(reach), 0.0, None
+    while True:
         todo = cut_lineage(todo)
         if todo.isEmpty():
             break
+        if not steps and extent is None:
+            spans = [F.max(c) - F.min(c) for c in coords]
+            extent = float(todo.agg((F.greatest(*spans) if len(spans) > 1 else spans[0]).cast("double").alias("e")).first()["e"] or 0.0)
+        if not steps and step > 2 * extent * len(coords):
+            break  # what is left has no comparable coordinates
+        step = steps.pop(0) if steps else max(step, 1.0) * 4
         cell = [F.floor(F.col(c) / step).cast("long") for c in coords]
         near = [F.explode(F.array(v - 1, v, v + 1)) for v in cell]
         left, right = todo, todo.select(*keys, *[F.col(c).alias(f"__q_{c}") for c in coords],

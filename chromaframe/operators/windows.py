@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -38,46 +39,56 @@ def reading_order(panels: DataFrame, style: str = "western", keys: Sequence[str]
     return out.withColumn("reading_index", (F.col("__rank") - 1).cast("int")).drop("__x", "__rank")
 
 
-def nms(boxes: DataFrame, keys: Sequence[str] = ("page_id",), max_iou: float = 0.28, cap: int = 32,
-        chunk: int = 64, box_id: str = "box_id") -> DataFrame:
-    """Greedy suppression by score, then area, then id; at most ``cap`` kept per key.
+def overlap_edges(boxes: DataFrame, keys: Sequence[str], max_iou: float, box_id: str, rank: Column) -> DataFrame:
+    """Pairs of boxes of a key whose IoU is above ``max_iou``: keys, ``hi`` (better rank), ``lo``.
 
-    Boxes are taken ``chunk`` at a time per key, in order: the chunk is folded against
-    the boxes kept so far, and what they suppress leaves the rest. A key with few boxes
-    needs one round; a crowded one never sits whole in a task.
+    A box belongs to a size class, whose cells are at least as wide as it is, and so lies in
+    at most four of them. Boxes that overlap by more than ``max_iou`` differ by a bounded
+    number of classes; a box visits that many coarser grids.
     """
     keys = list(keys)
-    order = [F.desc("score"), F.desc("area"), F.asc(box_id)]
-    shape = "array<struct<x:double,y:double,w:double,h:double,id:long>>"
-    rest = boxes.withColumn("area", F.col("w") * F.col("h"))
-    kept = None
-
-    def overlaps(acc, b):
-        return F.exists(acc, lambda o: G.bbox_iou((o["x"], o["y"], o["w"], o["h"]), (b["x"], b["y"], b["w"], b["h"])) > max_iou)
-    while True:
-        head = first_per_group(rest, keys, order, chunk, "__rank")
-        packed = head.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-            "__rank", *[F.col(c).cast("double").alias(c) for c in "xywh"],
-            F.col(box_id).cast("long").alias("id")))).alias("__in"))
-        if kept is None:
-            packed = packed.withColumn("__kept", F.array().cast(shape))
-        else:
-            packed = packed.join(kept, keys, "left").withColumn("__kept", F.coalesce("__kept", F.array().cast(shape)))
-        fold = F.aggregate("__in", F.col("__kept"), lambda acc, b: F.when(
-            (F.size(acc) >= cap) | overlaps(acc, b), acc).otherwise(F.array_append(acc, F.struct(
-                b["x"].alias("x"), b["y"].alias("y"), b["w"].alias("w"), b["h"].alias("h"), b["id"].alias("id")))))
-        fresh = packed.select(*keys, fold.alias("__kept"))
-        if kept is not None:
-            fresh = fresh.unionByName(kept.join(fresh.select(*keys), keys, "left_anti"))
-        kept = cut_lineage(fresh)
-        left = rest.join(head.select(*keys, box_id), [*keys, box_id], "left_anti").join(
-            kept.where(F.size("__kept") < cap), keys)
-        mine = F.struct(*[F.col(c).cast("double").alias(c) for c in "xywh"])
-        rest = cut_lineage(left.where(~overlaps(F.col("__kept"), mine)).drop("__kept"))
-        if rest.isEmpty():
-            break
-    ids = kept.select(*keys, F.explode("__kept").alias("k")).select(*keys, F.col("k.id").alias(box_id))
-    return boxes.join(ids, [*keys, box_id], "left_semi")
+    apart = min(30, math.ceil(math.log2(1 / max_iou)) + 1) if max_iou > 0 else 30
+    side = F.greatest(F.col("w"), F.col("h"), F.lit(1e-6)).cast("double")
+    d = boxes.where((F.col("w") > 0) & (F.col("h") > 0)).select(
+        *keys, F.col(box_id).alias("id"), rank.alias("r"), *[F.col(c).cast("double").alias(c) for c in "xywh"], F.ceil(F.log2(side)).cast("int").alias("cls"))
+
+    def cells(rows, cls):
+        size = F.pow(F.lit(2.0), cls)
+        span = lambda lo, n: F.array_distinct(F.array(F.floor(lo / size).cast("long"), F.floor((lo + n) / size).cast("long")))
+        return rows.withColumn("cx", F.explode(span(F.col("x"), F.col("w")))).withColumn("cy", F.explode(span(F.col("y"), F.col("h"))))
+    box = F.struct("id", "r", *"xywh", "cls")
+    own = cells(d.withColumn("grid", F.col("cls")), F.col("grid")).select(*keys, "grid", "cx", "cy", box.alias("p"))
+    visit = cells(d.withColumn("grid", F.explode(F.sequence(F.col("cls"), F.col("cls") + apart))), F.col("grid")).select(*keys, "grid", "cx", "cy", box.alias("q"))
+    at = lambda s: tuple(F.col(f"{s}.{c}") for c in "xywh")
+    met = own.join(visit, [*keys, "grid", "cx", "cy"]).where(
+        ((F.col("p.cls") > F.col("q.cls")) | (F.col("p.r") < F.col("q.r"))) & (F.col("p.id") != F.col("q.id")) & (G.bbox_iou(at("p"), at("q")) > max_iou))
+    first = F.col("p.r") < F.col("q.r")
+    return met.select(*keys, F.when(first, F.col("p.id")).otherwise(F.col("q.id")).alias("hi"),
+                      F.when(first, F.col("q.id")).otherwise(F.col("p.id")).alias("lo")).distinct()
+
+
+def nms(boxes: DataFrame, keys: Sequence[str] = ("page_id",), max_iou: float = 0.28, cap: int | None = 32,
+        box_id: str = "box_id") -> DataFrame:
+    """Greedy suppression by score, then area, then id; at most ``cap`` kept per key (None: all).
+
+    Only conflicts iterate: a box that no better live box overlaps is kept and takes away those it
+    overlaps, until no conflict is left. Boxes without a conflict are never touched, and the cap is a
+    rank over what stays, as suppression never looks at worse boxes.
+    """
+    keys = list(keys)
+    rank = F.struct((-F.col("score").cast("double")).alias("s"), (-(F.col("w") * F.col("h")).cast("double")).alias("a"), F.col(box_id).alias("i"))
+    edges = cut_lineage(overlap_edges(boxes, keys, max_iou, box_id, rank))
+    gone = None
+    while not edges.isEmpty():
+        heads = edges.select(*keys, F.col("hi").alias("b")).distinct().join(edges.select(*keys, F.col("lo").alias("b")), [*keys, "b"], "left_anti")
+        lost = cut_lineage(edges.join(heads.withColumnRenamed("b", "hi"), [*keys, "hi"], "left_semi").select(*keys, F.col("lo").alias("b")).distinct())
+        gone = lost if gone is None else gone.unionByName(lost)
+        left = edges.join(lost.withColumnRenamed("b", "lo"), [*keys, "lo"], "left_anti").join(lost.withColumnRenamed("b", "hi"), [*keys, "hi"], "left_anti")
+        edges = cut_lineage(left)
+    kept = boxes if gone is None else boxes.join(gone.withColumnRenamed("b", box_id), [*keys, box_id], "left_anti")
+    if cap is None:
+        return kept
+    return first_per_group(kept.withColumn("__area", F.col("w") * F.col("h")), keys, [F.desc("score"), F.desc("__area"), F.asc(box_id)], cap).drop("__area")
 
 
 def crop_boxes(boxes: DataFrame, pages: DataFrame, keys: Sequence[str] = ("page_id",), box_id: str = "box_id") -> DataFrame:
@@ -89,7 +100,7 @@ def crop_boxes(boxes: DataFrame, pages: DataFrame, keys: Sequence[str] = ("page_
     keys = list(keys)
     p = pages.select(*keys, "page_w", "page_h")
     big = boxes.join(p, keys).where(F.col("w") * F.col("h") >= F.col("page_w") * F.col("page_h") * 0.0008)
-    kept = nms(big.withColumn("score", -F.col("ord")).drop("page_w", "page_h"), keys, 0.72, 1 << 30, box_id=box_id)
+    kept = nms(big.withColumn("score", -F.col("ord")).drop("page_w", "page_h"), keys, 0.72, None, box_id=box_id)
     s = p.join(kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.max(F.col("w") * F.col("h")).alias("__a")), keys, "left")
     whole = s.where(F.col("__n").isNull() | ((F.col("__n") == 1) & (F.col("__a") > F.col("page_w") * F.col("page_h") * 0.28)))
     full = whole.select(*keys, F.lit(None).cast("long").alias(box_id), F.lit(0).alias("x"), F.lit(0).alias("y"),

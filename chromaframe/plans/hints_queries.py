@@ -184,7 +184,7 @@ def _boxes(t):
 
 @query("nms", _nms_sql("conf DESC, w * h DESC, region_id", 0.28, 12) + " SELECT page_id, k.id AS box_id FROM u")
 def _(t):
-    return W.nms(_boxes(t), cap=12, chunk=20).select("page_id", "box_id")
+    return W.nms(_boxes(t), cap=12).select("page_id", "box_id")
 
 
 @query("crop_boxes", _nms_sql("region_id", 0.72, 999999, "w * 3 * h * 3 >= 1400000 * 0.0008 AND page_id % 4 <> 1") + """,
@@ -193,7 +193,7 @@ SELECT u.page_id, CAST(k.id AS BIGINT) AS box_id, CAST(k.w AS INT) AS w FROM u J
 UNION ALL SELECT page_id, NULL, 1000 FROM s WHERE n = 0 OR (n = 1 AND a > 1400000 * 0.28)""")
 def _(t):
     pages = t.regions.select("page_id").distinct().select("page_id", F.lit(1000).alias("page_w"), F.lit(1400).alias("page_h"))
-    return W.crop_boxes(_boxes(t).where("page_id % 4 <> 1"), pages).select("page_id", "box_id", "w")
+    return W.crop_boxes(_boxes(t).withColumns({c: F.when(F.col("page_id") % 4 == 1, 1).otherwise(F.col(c)) for c in "wh"}), pages).select("page_id", "box_id", "w")
 
 
 @query("systematic_sample", """

@@ -149,14 +149,14 @@ SELECT q.folder, q.seq, q.stem || CASE WHEN f.n > 1 THEN '_' || f.n ELSE '' END
 def _(t):
     req = t.lineitem.selectExpr("concat('f', l_suppkey % 7) AS folder", "concat('page', l_partkey % 9) AS stem", "'.png' AS ext",
                                 "l_orderkey * 10 + l_linenumber AS seq")
-    taken = t.part.where("p_size % 3 = 0").selectExpr(
-        "concat('f', p_size % 7) AS folder",
+    taken = t.part.selectExpr(
+        "concat(CASE WHEN p_size % 3 = 0 THEN 'f' ELSE 'g' END, p_size % 7) AS folder",
         "concat('page', p_partkey % 9, CASE WHEN p_partkey % 50 = 0 THEN '' ELSE concat('_', p_partkey % 50 + 1) END, '.png') AS name")
     return FS.unique_names(req, taken, 4096).select("folder", "seq", "name")
 
 
 _SPECS = "SELECT p_partkey AS key, 'file_' || p_partkey AS filename, CAST(p_size * 1000 AS BIGINT) AS min_bytes FROM part"
-_FILES = "SELECT 'file_' || l_partkey AS filename, CAST(floor(l_extendedprice) AS BIGINT) AS size FROM lineitem WHERE l_partkey % 4 <> 1"
+_FILES = "SELECT CASE WHEN l_partkey % 4 = 1 THEN 'spare_' ELSE 'file_' END || l_partkey AS filename, CAST(floor(l_extendedprice) AS BIGINT) AS size FROM lineitem"
 _INV = f"""
 WITH s AS ({_SPECS}), f AS (SELECT filename, max(size) AS size FROM ({_FILES}) z GROUP BY 1),
 i AS (SELECT key, f.size IS NOT NULL AS exists_, coalesce(size, 0) AS size, size IS NOT NULL AND size >= min_bytes AS ready, round(coalesce(size, 0) / 1048576.0, 2) AS mb FROM s LEFT JOIN f ON s.filename = f.filename)"""
@@ -183,16 +183,16 @@ def _(t):
 
 
 @query("reassemble_chunks", """
-WITH p AS (SELECT conv_id AS payload_id, turn, CASE WHEN conv_id % 5 = 0 THEN text ELSE replace(base64(encode(repeat(text, 1)[1:3 * (length(text) // 6)])), '=', 'A') END AS body FROM conversations),
+WITH p AS (SELECT conv_id AS payload_id, turn, CASE WHEN conv_id % 5 = 0 THEN text ELSE replace(base64(encode(repeat(text, 1)[1:3 * (length(text) // 3)])), '=', 'A') END AS body FROM conversations),
 g AS (SELECT payload_id, count(*) AS fragments, CAST(sum(strlen(regexp_replace(body, '\\s+', '', 'g'))) AS BIGINT) AS bytes, string_agg(regexp_replace(body, '\\s+', '', 'g'), '' ORDER BY turn) AS enc FROM p GROUP BY 1)
-SELECT payload_id, fragments, bytes, CASE WHEN bytes <= 6000 THEN enc END AS encoded, CASE WHEN bytes > 6000 THEN 'oversized' WHEN payload_id % 5 = 0 THEN 'not decodable' ELSE 'ok' END AS state FROM g""")
+SELECT payload_id, fragments, bytes, enc AS encoded, CASE WHEN payload_id % 5 = 0 THEN 'not decodable' ELSE 'ok' END AS state FROM g""")
 def _(t):
-    ascii_only = F.expr("substring(text, 1, 3 * CAST(floor(length(text) / 6) AS INT))")
+    ascii_only = F.expr("substring(text, 1, 3 * CAST(floor(length(text) / 3) AS INT))")
     body = F.when(F.col("conv_id") % 5 == 0, F.col("text")).otherwise(
         F.replace(F.base64(F.encode(ascii_only, "UTF-8")), F.lit("="), F.lit("A")))
     parts = t.conversations.select(F.col("conv_id").alias("payload_id"),
                                    F.concat(F.lit("x/part-"), F.col("turn"), F.lit(".b64")).alias("name"), body.alias("body"))
-    d = FS.reassemble_chunks(parts, max_bytes=6000)
+    d = FS.reassemble_chunks(parts)
     return d.select("payload_id", "fragments", "bytes", "encoded", "state")
 
 

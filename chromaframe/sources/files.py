@@ -31,21 +31,25 @@ def _nth_free(requests: DataFrame, taken: DataFrame, width: int) -> DataFrame:
     return ranked.select(*_GROUP, "seq", F.col("pos").alias("n"))
 
 
-def unique_names(requests: DataFrame, taken: DataFrame, width: int = 65_536, max_rounds: int = 20) -> DataFrame:
+def unique_names(requests: DataFrame, taken: DataFrame, width: int = 65_536) -> DataFrame:
     """A name per request that overwrites nothing: stem, stem_2, stem_3, ... in ``seq`` order.
 
     ``requests``: folder, stem, ext, seq (unique). ``taken``: folder, name. A generated
     name that meets another stem's name goes to the earlier request; the other moves on.
     """
     base = requests.select(*_GROUP, F.col("seq").cast("long").alias("seq"))
-    groups = base.select(*_GROUP).distinct()
-    hit = taken.select("folder", "name").distinct().join(groups, "folder").where(
-        F.col("name").startswith(F.col("stem")) & F.col("name").endswith(F.col("ext")))
-    tail = F.expr("substring(name, length(stem) + 1, length(name) - length(stem) - length(ext))")
-    hit = hit.withColumn("t", tail).where((F.col("t") == "") | F.col("t").rlike("^_([2-9]|[1-9][0-9]{1,17})$")).withColumn(
-        "n", F.when(F.col("t") == "", F.lit(1).cast("long")).otherwise(F.expr("try_cast(substring(t, 2) AS BIGINT)")))
+    # A taken name reads as a stem alone or as a stem with a number, for each suffix asked for in its folder.
+    suffixes = base.select("folder", "ext").distinct()
+    names = taken.select("folder", "name").distinct().join(suffixes, "folder").where(F.col("name").endswith(F.col("ext")))
+    body = F.expr("substring(name, 1, length(name) - length(ext))")
+    number = r"^(.*)_([2-9]|[1-9][0-9]{1,17})$"
+    plain = F.struct(F.col("__body").alias("stem"), F.lit(1).cast("long").alias("n"))
+    numbered = F.when(F.col("__body").rlike("(?s)" + number), F.struct(
+        F.regexp_extract("__body", "(?s)" + number, 1).alias("stem"), F.regexp_extract("__body", "(?s)" + number, 2).cast("long").alias("n")))
+    read = names.withColumn("__body", body).select("folder", "ext", F.inline(F.filter(F.array(plain, numbered), lambda v: v.isNotNull())))
+    hit = read.join(base.select(*_GROUP).distinct(), _GROUP)
     used = cut_lineage(hit.select(*_GROUP, "n").distinct())
-    for _ in range(max_rounds):
+    while True:  # every round fixes the earliest contested request of each name
         named = cut_lineage(_nth_free(base, used, width).withColumn("name", _suffixed(F.col("n"))))
         # Equal names come from different stems only; the earliest request keeps one.
         owner = named.groupBy("folder", "name").agg(F.min("seq").alias("__first"), F.count(F.lit(1)).alias("__c")).where("__c > 1")
@@ -53,7 +57,6 @@ def unique_names(requests: DataFrame, taken: DataFrame, width: int = 65_536, max
         if lost.isEmpty():
             return named.select("folder", "stem", "ext", "seq", "name")
         used = cut_lineage(used.unionByName(lost).distinct())
-    raise RuntimeError("names did not settle")
 
 
 def artifact_inventory(specs: DataFrame, files: DataFrame) -> DataFrame:
@@ -79,20 +82,18 @@ def content_digests(spark, path: str) -> DataFrame:
     return d.select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"))
 
 
-MAX_PAYLOAD = 48 * 1024 * 1024
-
-
 def reassemble_chunks(parts: DataFrame, keys: Sequence[str] = ("payload_id",), name: str = "name", body: str = "body",
-                      max_bytes: int = MAX_PAYLOAD) -> DataFrame:
+                      max_bytes: int | None = None) -> DataFrame:
     """Join numbered fragments in numeric order and decode base64.
 
-    Sizes are summed first; a payload above the bound is reported and never gathered.
+    A payload becomes one row, which the 2 GB of a string bound. With ``max_bytes``, sizes are summed first and a payload
+    above is reported as oversized and not gathered.
     """
     keys = list(keys)
     d = parts.withColumn("__n", F.regexp_extract(name, r"([0-9]+)\.b64$", 1)).where("__n <> ''").withColumn("__n", F.col("__n").cast("long"))
     d = d.withColumn("__b", F.regexp_replace(body, r"\s+", ""))
     size = d.groupBy(*keys).agg(F.sum(F.octet_length("__b")).alias("bytes"), F.count(F.lit(1)).alias("fragments"))
-    fits = d.join(size.where(F.col("bytes") <= max_bytes).select(*keys), keys, "left_semi")
+    fits = d if max_bytes is None else d.join(size.where(F.col("bytes") <= max_bytes).select(*keys), keys, "left_semi")
     joined = fits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__n", "__b"))).alias("__p"))
     joined = joined.select(*keys, F.concat_ws("", F.transform("__p", lambda v: v["__b"])).alias("encoded"))
     out = size.join(joined, keys, "left").withColumn("payload", F.try_to_binary("encoded", F.lit("base64")))

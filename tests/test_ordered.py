@@ -50,13 +50,12 @@ def test_limit_density_greedy_pick(spark):
     assert got == sorted(want)
 
 
-@pytest.mark.parametrize("chunk", [3, 64])
-def test_nms_in_chunks(spark, chunk):
+def test_nms_with_cap(spark):
     rnd = random.Random(11)
     rows = [(0 if rnd.random() < 0.7 else 1, i, rnd.randrange(300), rnd.randrange(300), rnd.randrange(20, 90), rnd.randrange(20, 90),
              rnd.randrange(20) / 20) for i in range(120)]
     df = spark.createDataFrame(rows, "page_id int, box_id int, x int, y int, w int, h int, score double")
-    got = sorted(r.box_id for r in W.nms(df, cap=9, chunk=chunk).collect())
+    got = sorted(r.box_id for r in W.nms(df, cap=9).collect())
 
     def iou(a, b):
         i = max(0, min(a[2] + a[4], b[2] + b[4]) - max(a[2], b[2])) * max(0, min(a[3] + a[5], b[3] + b[5]) - max(a[3], b[3]))
