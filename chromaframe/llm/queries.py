@@ -14,7 +14,7 @@ from chromaframe.llm.packing import pack_styles
 from chromaframe.llm.secrets import BASE, confirm_secrets
 from chromaframe.llm.shards import shard_pages
 from chromaframe.llm.simhash import fingerprint_hex, similar_styles
-from chromaframe.llm.spotsigs import fingerprint_files, likeness, with_next
+from chromaframe.llm.spotsigs import fingerprint_against, with_next
 from chromaframe.llm.toxicity import fit_lexicon, score_styles
 from chromaframe.llm.wrappers import extract_pages
 
@@ -132,11 +132,9 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
     docs = docs.withColumn("edited", edited)
     docs = docs.withColumn("edited_sha256", F.sha2("edited", 256))
-    for text, name in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("next_text", "next_fingerprint")):
-        docs = fingerprint_files(docs, text, name)
-    return docs.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-                       likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-                       likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    docs = fingerprint_against(docs, "text", ("edited", "next_text"))
+    return docs.select("doc_id", "n_chars", "edited_sha256", "fingerprint", F.col("against")[0]["fingerprint"].alias("edited_fingerprint"),
+                       F.col("against")[0]["near"].alias("near_edited"), F.col("against")[1]["near"].alias("near_next"))
 
 
 def tokenizer_path() -> str:

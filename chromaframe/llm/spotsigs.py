@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -71,13 +71,14 @@ def jaccard(a: np.ndarray, b: np.ndarray, floor: float = 0.0) -> float:
     return value if value >= floor else 0.0
 
 
+def written(s: np.ndarray) -> str:
+    """Length partition, then the signature set: ``p<partition>:<8 hex digits each, ascending>``."""
+    return f"p{partition_of(len(s))}:{s.astype('>u4').tobytes().hex()}"
+
+
 @F.pandas_udf(T.StringType())
 def spot_fingerprint(texts: pd.Series) -> pd.Series:
-    """Length partition, then the signature set: ``p<partition>:<8 hex digits each, ascending>``."""
-    def one(t):
-        s = signatures(t)
-        return f"p{partition_of(len(s))}:{s.astype('>u4').tobytes().hex()}"
-    return pd.Series([one(t) for t in texts], dtype=object)
+    return pd.Series([written(signatures(t)) for t in texts], dtype=object)
 
 
 def likeness(a: Column, b: Column, floor: float = 0.0) -> Column:
@@ -108,6 +109,27 @@ def fingerprint_files(files: DataFrame, text: str = "text", fingerprint: str = "
     return files.withColumn(fingerprint, spot_fingerprint(text_of(text)))
 
 
+def fingerprint_against(files: DataFrame, text: str, others: Sequence[str], floor: float = 0.0) -> DataFrame:
+    """Audited files with the ``fingerprint`` of ``text``, and ``against``: fingerprint and likeness of each other text.
+
+    Like ``fingerprint_files`` and ``likeness`` on every pair, but each text is read once and no
+    fingerprint travels back to be compared. Columns named like the new ones are replaced.
+    """
+    near = T.StructType([T.StructField("fingerprint", T.StringType()), T.StructField("near", T.DoubleType())])
+    kind = T.StructType([T.StructField("fingerprint", T.StringType()), T.StructField("against", T.ArrayType(near))])
+
+    @F.pandas_udf(kind)
+    def compare(own: pd.Series, rest: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for t, *other in zip(own, *(rest[c] for c in rest.columns)):
+            s, sets = signatures(t), [signatures(o) for o in other]
+            out.append((written(s), [{"fingerprint": written(o), "near": jaccard(s, o, floor)} for o in sets]))
+        return pd.DataFrame(out, columns=kind.names)
+    keep = [c for c in files.columns if c not in kind.names]
+    made = compare(text_of(text), F.struct(*[text_of(o).alias(f"o{i}") for i, o in enumerate(others)]))
+    return files.withColumn("__made", made).select(*keep, "__made.*")
+
+
 def range_part(key: Column, bounds: list) -> Column:
     """How many of the ascending bounds are not above the key, by a search in two steps."""
     if not bounds:
@@ -145,4 +167,5 @@ def with_next(files: DataFrame, key: str, text: str, name: str = "next_text") ->
     dealt = own.select(*files.columns, "__order", F.inline(F.filter(seats, lambda s: s["part"].isNotNull())))
     # A guest comes after its host range, also where the first row visits the last.
     turn = W.partitionBy("part").orderBy("guest", "__order", text)
-    return dealt.withColumn(name, F.lead(text_of(text)).over(turn)).where("NOT guest").select(*files.columns, name)
+    # The plain column is led: an expression would travel through the shuffle beside it.
+    return dealt.withColumn(name, F.lead(text).over(turn)).where("NOT guest").select(*files.columns, F.coalesce(name, F.lit("")).alias(name))

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from chromaframe.llm.packing import Encoder, Lexical, pack_styles
 from chromaframe.llm.queries import tokenizer_path
-from chromaframe.llm.spotsigs import fingerprint_files, jaccard, likeness, partition_of, signatures, with_next
+from chromaframe.llm.spotsigs import fingerprint_against, fingerprint_files, jaccard, likeness, partition_of, signatures, with_next
 
 
 def test_signatures_and_likeness(spark):
@@ -23,6 +23,8 @@ def test_signatures_and_likeness(spark):
     two = fingerprint_files(fingerprint_files(df.withColumnRenamed("fingerprint", "other")), "other", "fp2")
     got = {r.path: r for r in two.withColumn("near", likeness(F.col("fingerprint"), F.col("fp2"))).collect()}
     assert got["a"].near == 1 and got["a"].fingerprint == got["d"].fingerprint and got["b"].near == 1 and got["d"].near == 0
+    both = {r.path: r for r in fingerprint_against(df.withColumnRenamed("fingerprint", "other"), "text", ("other", "text")).collect()}
+    assert all(both[p].fingerprint == got[p].fingerprint and both[p].against[0].near == got[p].near and both[p].against[1].near == 1 for p in got)
     assert fingerprint_files(df.limit(0)).count() == 0
 
 
