@@ -132,7 +132,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
     docs = docs.withColumn("edited", edited)
     docs = docs.withColumn("edited_sha256", F.sha2("edited", 256))
-    docs = fingerprint_against(docs, "text", ("edited", "next_text"))
+    docs = fingerprint_against(docs, "text", ("edited", "next_text"), shown=("edited",))
     return docs.select("doc_id", "n_chars", "edited_sha256", "fingerprint", F.col("against")[0]["fingerprint"].alias("edited_fingerprint"),
                        F.col("against")[0]["near"].alias("near_edited"), F.col("against")[1]["near"].alias("near_next"))
 

@@ -109,21 +109,24 @@ def fingerprint_files(files: DataFrame, text: str = "text", fingerprint: str = "
     return files.withColumn(fingerprint, spot_fingerprint(text_of(text)))
 
 
-def fingerprint_against(files: DataFrame, text: str, others: Sequence[str], floor: float = 0.0) -> DataFrame:
+def fingerprint_against(files: DataFrame, text: str, others: Sequence[str], floor: float = 0.0,
+                        shown: Sequence[str] | None = None) -> DataFrame:
     """Audited files with the ``fingerprint`` of ``text``, and ``against``: fingerprint and likeness of each other text.
 
     Like ``fingerprint_files`` and ``likeness`` on every pair, but each text is read once and no
-    fingerprint travels back to be compared. Columns named like the new ones are replaced.
+    fingerprint travels back to be compared; with ``shown``, only the texts named there give theirs. Columns named like the new ones are replaced.
     """
     near = T.StructType([T.StructField("fingerprint", T.StringType()), T.StructField("near", T.DoubleType())])
     kind = T.StructType([T.StructField("fingerprint", T.StringType()), T.StructField("against", T.ArrayType(near))])
 
+    show = [shown is None or o in shown for o in others]
+
     @F.pandas_udf(kind)
     def compare(own: pd.Series, rest: pd.DataFrame) -> pd.DataFrame:
         out = []
         for t, *other in zip(own, *(rest[c] for c in rest.columns)):
             s, sets = signatures(t), [signatures(o) for o in other]
-            out.append((written(s), [{"fingerprint": written(o), "near": jaccard(s, o, floor)} for o in sets]))
+            out.append((written(s), [{"fingerprint": written(o) if seen else None, "near": jaccard(s, o, floor)} for o, seen in zip(sets, show)]))
         return pd.DataFrame(out, columns=kind.names)
     keep = [c for c in files.columns if c not in kind.names]
     made = compare(text_of(text), F.struct(*[text_of(o).alias(f"o{i}") for i, o in enumerate(others)]))
