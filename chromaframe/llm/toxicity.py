@@ -42,13 +42,15 @@ def make_folder():
     """The function that gives a text's folded words."""
     glyphs = str.maketrans({**HOMOGLYPHS, **{k: None for k in map(chr, range(0x300, 0x370))}, "​": None, "‌": None, "‍": None, "﻿": None, "­": None})
     digits = str.maketrans({**DIGITS, **ALIKE})
-    alike = str.maketrans(ALIKE)
     signs = str.maketrans(SIGNS)
     inner = re.compile(r"(?<=[a-z0-9])[@$!|€£]+(?=[a-z0-9])|(?<![^\s])[@$€£](?=[a-z0-9])")
     spelled = re.compile(r"(?<![^\W_])[^\W_](?:([.\-_*~])[^\W_])(?:\1[^\W_])+(?![^\W_])")
     word = re.compile(r"[^\W_]+")
-    run = re.compile(r"(.)\1{2,}")
+    single = re.compile(r"[.\-_*~][^\W_][.\-_*~]")
+    mixed = re.compile(r"(?<![^\W_])[^\W\d_]*+\d[^\W_]*")
+    run = re.compile(r"([^\W\d_])\1\1+")
     apart = re.compile(r"[.\-_*~]")
+    digit = re.compile(r"\d")
 
     def fold(text: str | None) -> list[str]:
         t = (text or "").lower()
@@ -56,16 +58,15 @@ def make_folder():
             t = unicodedata.normalize("NFKD", t).lower().translate(glyphs)
         if any(s in t for s in SIGNS):
             t = inner.sub(lambda m: m[0].translate(signs), t)
-        t = spelled.sub(lambda m: apart.sub("", m[0]), t)
-        words = word.findall(t)
-        out = []
-        for w in words:
-            if w.isdecimal():
-                out.append(w)
-            else:
-                w = w.translate(alike if w.isalpha() else digits)
-                out.append(run.sub(r"\1", w) if len(w) > 3 and run.search(w) else w)
-        return out
+        if single.search(t):
+            t = spelled.sub(lambda m: apart.sub("", m[0]), t)
+        if digit.search(t):  # numbers stay numbers
+            t = mixed.sub(lambda m: m[0] if m[0].isdecimal() else m[0].translate(digits), t)
+        for letter, other in ALIKE.items():
+            t = t.replace(letter, other)
+        if any(c * 3 in t for c in set(t) if c.isalpha()):
+            t = run.sub(r"\1", t)
+        return word.findall(t)
     return fold
 
 
