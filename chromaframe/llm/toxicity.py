@@ -70,7 +70,7 @@ def make_folder():
     return fold
 
 
-def _sample(labelled: DataFrame, style_key: str, toxic: str, max_rows: int) -> DataFrame:
+def sample_labels(labelled: DataFrame, style_key: str, toxic: str, max_rows: int) -> DataFrame:
     """About ``max_rows`` rows of each class, picked by a hash of the key."""
     n = {r[toxic]: r["count"] for r in labelled.groupBy(toxic).count().collect()}
     pick = F.pmod(F.xxhash64(F.col(style_key).cast("string"), F.lit(23)), F.lit(1_000_003)) / F.lit(1_000_003.0)
@@ -110,7 +110,7 @@ def fit_lexicon(labelled: DataFrame, style_key: str = "style_key", description:
     as toxic ones, is an exception, besides those given.
     """
     rows = labelled.where(F.col(toxic).isNotNull()).select(style_key, description, toxic)
-    sample = _sample(rows, style_key, toxic, max_rows)
+    sample = sample_labels(rows, style_key, toxic, max_rows)
     totals = {r["y"]: r["n"] for r in sample.groupBy((F.col(toxic) == 1).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     bad_all, good_all = totals.get(True, 0), totals.get(False, 0)
     weight = F.log((F.col("bad") + 0.5) / (bad_all + 1.0)) - F.log((F.col("good") + 0.5) / (good_all + 1.0))
