@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,35 +29,38 @@ class Encoder:
         self.end = int(end_id).to_bytes(4, "little")
         self.mark = next((t.content for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items(), reverse=True) if t.special), None)
         self.mark_id = self.tokenizer.token_to_id(self.mark) if self.mark else None
-        self.odd = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.odd = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if not any(o in w for o in self.odd)] if self.mark else []
-        for at in range(0, len(plain), 2000):
-            some = plain[at:at + 2000]
-            ids = np.array(self._ids(self.mark.join(some)), dtype="<u4")
-            ends = np.flatnonzero(ids == self.mark_id)
-            for w, part in zip(some, np.split(ids, ends)):
-                self.known[w] = (part[1:] if len(part) and part[0] == self.mark_id else part).tobytes()
+        if self.mark:
+            plain = [w for w in words if not self.odd.search(w)]
+            for at in range(0, len(plain), 4000):
+                some = plain[at:at + 4000]
+                ids = self._ids(self.mark + self.mark.join(some))
+                marks = np.flatnonzero(np.frombuffer(ids, "<u4") == self.mark_id)
+                starts, ends = (marks * 4 + 4).tolist(), [*(marks[1:] * 4).tolist(), len(ids)]
+                self.known.update((w, ids[a:b]) for w, a, b in zip(some, starts, ends))
         for w in words:
             if w not in self.known:
-                self.known[w] = np.array(self._ids(w), dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        import re
+                self.known[w] = self._ids(w)
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; words not seen before are encoded together."""
         # str.split also cuts at four separators that the tokenizer keeps.
-        words = re.split("[ \t\n\r\x0b\x0c]+", text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        texts = [re.split("[ \t\n\r\x0b\x0c]+", t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
         if len(self.known) > self.remember:
             self.known.clear()
         known = self.known
-        missing = [w for w in set(words) if w not in known]
+        missing = {w for words in texts for w in words if w not in known}
         if missing:
-            self.learn(sorted(missing))
-        return b"".join(map(known.__getitem__, words)) + self.end
+            self.learn(list(missing))
+        return [b"".join(map(known.__getitem__, words)) + self.end for words in texts]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 class Lexical:
@@ -194,6 +198,12 @@ def pack_styles(styles: DataFrame, tokenizer_path: str, style_key: str = "style_
         from pyspark import TaskContext
 
         encoder, windows = Encoder(tokenizer_path, end_id), Windows(window, TaskContext.get().partitionId() << 32)
+
+        def handfuls(part):
+            """Texts of about a million characters at a time, and one text more."""
+            sizes = part["text"].str.len()
+            for _, some in part.groupby((sizes.cumsum() - sizes) // 1_000_000):
+                yield some
         names = ["key", *[c.split()[0] for c in PIECES.split(", ")]]
         keys, docs, held = [], [], 0
 
@@ -202,15 +212,15 @@ def pack_styles(styles: DataFrame, tokenizer_path: str, style_key: str = "style_
             for at in range(0, len(done), 2000):
                 yield pd.DataFrame(done[at:at + 2000], columns=names)
         for part in parts:
-            for key, text in zip(part["key"], part["text"]):
-                ids = np.frombuffer(encoder.encode(text), "<u4")
-                keys.append(None if pd.isna(key) else key)
-                docs.append(ids)
-                held += len(ids)
-                if held >= block_tokens or len(docs) >= block_docs:
-                    pack_block(keys, docs, windows)
-                    keys, docs, held = [], [], 0
-                    yield from ready()
+            for some in handfuls(part):
+                for key, ids in zip(some["key"], encoder.encode_all(list(some["text"]))):
+                    keys.append(None if pd.isna(key) else key)
+                    docs.append(np.frombuffer(ids, "<u4"))
+                    held += len(docs[-1])
+                    if held >= block_tokens or len(docs) >= block_docs:
+                        pack_block(keys, docs, windows)
+                        keys, docs, held = [], [], 0
+                        yield from ready()
         pack_block(keys, docs, windows)
         windows.close()
         yield from ready()
