@@ -35,7 +35,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not sc.master.startswith("local"):
+        if sc.master.split("[")[0] != "local":  # "local-cluster" has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         path = tempfile.mkdtemp(prefix="chromaframe-checkpoint-")
     sc.setCheckpointDir(path)
