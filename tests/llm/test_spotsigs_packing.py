@@ -54,6 +54,16 @@ def test_encoder_equals_tokenizer():
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == [*tk.encode(text, add_special_tokens=False).ids, 2], repr(text)
 
 
+def test_encoder_learns_words_of_many_texts_together():
+    plain = Tokenizer.from_file(tokenizer_path())
+    enc = Encoder(tokenizer_path(), 2, remember=3)
+    texts = ["", "  ", "One two", "two<|endoftext|>three one", "It's\x1cISN'T\u00a0so", "\u00c9a\u0301 \u4f60\u597d", "One two"]
+    for _ in range(2):
+        got = [np.frombuffer(b, "<u4").tolist() for b in enc.encode_all(texts)]
+        assert got == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert enc.encode_all([]) == []
+
+
 def test_neighbours_share_rare_terms():
     docs = [np.array(d) for d in ([1, 2, 3, 9], [4, 5, 9], [3, 2, 9, 7], [8, 9], [6, 9], [10, 9])]
     assert Lexical(docs).neighbours(0)[0] == 2 and 0 not in Lexical(docs).neighbours(0)
