@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -262,67 +261,65 @@ def global_color_stats(px: DataFrame, keys=PAGE, gradient: Column | None = None)
 
 # --- palettes by clustering --------------------------------------------------
 
-def corpus_palette(px: DataFrame, max_colors: int = 8, seed: int = 7) -> DataFrame:
-    """k-means over all non-neutral pixels (distributed), largest cluster first."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    d = C.with_hsv(px, out=("__h", "__s", "__v"))
-    spots = (d.where(C.is_usable("__s", "__v", 28, 24, 248)).groupBy("r", "g", "b")
-             .agg(F.count(F.lit(1)).cast("double").alias("n")))
-    total = spots.agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0]
-    if total < 16:
-        return spots.sparkSession.createDataFrame([], "rank int, color string, pixels long")
-    data = VectorAssembler(inputCols=["r", "g", "b"], outputCol="features").transform(spots)
-    k = int(max(1, min(max_colors, total // 64)))
-    model = KMeans(k=k, seed=seed, weightCol="n", maxIter=25, tol=1e-3).fit(data)
-    sizes = model.transform(data).groupBy("prediction").agg(F.sum("n").cast("long").alias("pixels"))
-    rows = [(i, *[int(max(0, min(255, v))) for v in c]) for i, c in enumerate(model.clusterCenters())]
-    centers = px.sparkSession.createDataFrame(rows, "prediction int, r int, g int, b int")
-    colors = (sizes.join(F.broadcast(centers), "prediction")
-              .groupBy(C.rgb_to_hex("r", "g", "b").alias("color")).agg(F.sum("pixels").alias("pixels")))
+def corpus_palette(px: DataFrame, max_colors: int = 8) -> DataFrame:
+    """Clusters of all non-neutral pixels, largest first."""
+    d = C.with_hsv(px, out=("__h", "__s", "__v")).where(C.is_usable("__s", "__v", 28, 24, 248))
+    found = color_clusters(d.select(F.lit(0).alias("__all"), "r", "g", "b"), "__all", max_colors, one_key=True)
+    colors = found.groupBy("color").agg(F.sum("pixels").alias("pixels"))
     rank = F.row_number().over(W.orderBy(F.desc("pixels"), "color"))  # at most max_colors rows
     return colors.select(rank.alias("rank"), "color", "pixels")
 
 
-def _kmeans(points, k: int, rounds: int = 25):
-    """Plain Lloyd steps from farthest-first seeds; deterministic."""
-    import numpy as np
-    centers = [points.mean(axis=0)]
-    gap = ((points - centers[0]) ** 2).sum(axis=1)
-    for _ in range(k):
-        centers.append(points[int(gap.argmax())])
-        gap = np.minimum(gap, ((points - centers[-1]) ** 2).sum(axis=1))
-    centers = np.array(centers[1:])
+def color_clusters(px: DataFrame, key: str, max_colors: int, rounds: int = 25, still: float = 0.5, one_key: bool = False) -> DataFrame:
+    """k-means per key over all pixels: ``key``, ``cluster``, ``color``, ``pixels``.
+
+    A key with fewer than 16 pixels has no row; it gets a cluster per 64 pixels, at most ``max_colors``. Pixels
+    are first counted by colour, so a key has at most 2^24 weighted points. Seeds are picked farthest
+    first from the mean (ties: the smallest colour); the steps end for a key when no centre
+    moves by ``still``, or after ``rounds``. Sums are whole numbers: the result does not
+    depend on the partitioning. ``one_key``: ``key`` is a constant, so the centres are one row.
+    """
+    spots = cut_lineage(px.groupBy(key, "r", "g", "b").agg(F.count(F.lit(1)).alias("n")))
+    weigh = [F.sum("n").alias("n"), *[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in "rgb"]]
+    center = F.struct(*[F.col(c).cast("double").alias(c) for c in "rgb"])
+    k = F.greatest(F.lit(1), F.least(F.lit(max_colors), F.floor(F.col("n") / 64))).cast("int")
+    state = cut_lineage(spots.groupBy(key).agg(*weigh).where("n >= 16").select(key, k.alias("k"), F.array(center).alias("centers")))
+
+    def nearest(state: DataFrame) -> DataFrame:
+        near = F.array_min(F.transform("centers", lambda c, i: F.struct(
+            sum((F.pow(F.col(x) - c[x], 2) for x in "rgb"), F.lit(0.0)).alias("gap"), i.alias("i"))))
+        return spots.join(F.broadcast(state) if one_key else state, key).withColumn("__near", near)
+
+    for _ in range(max_colors):
+        order = F.struct(F.col("__near.gap"), *[-F.col(c) for c in "rgb"])
+        far = nearest(state.where(F.size("centers") <= F.col("k"))).groupBy(key).agg(F.max_by(center, order).alias("far"))
+        grown = F.when(F.col("far").isNull(), F.col("centers")).otherwise(F.concat("centers", F.array("far")))
+        state = cut_lineage(state.join(far, key, "left").select(key, "k", grown.alias("centers")))
+    sizes = F.transform("centers", lambda c: F.lit(0).cast("long"))
+    state = state.select(key, F.slice(F.col("centers"), F.lit(2), F.col("k")).alias("centers")).select(key, "centers", sizes.alias("sizes"), F.lit(True).alias("moving"))
     for _ in range(rounds):
-        owner = ((points[:, None, :] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
-        fresh = np.array([points[owner == i].mean(axis=0) if (owner == i).any() else centers[i] for i in range(k)])
-        moved = float(abs(fresh - centers).max())
-        centers = fresh
-        if moved < 0.5:
+        sums = nearest(state.where("moving")).groupBy(key, F.col("__near.i").alias("i")).agg(*weigh)
+        sums = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct(center.alias("c"), "n")))).alias("sums"))
+        fresh = F.transform("centers", lambda c, i: F.coalesce(F.try_element_at("sums", i)["c"], c))
+        counts = F.transform("centers", lambda c, i: F.coalesce(F.try_element_at("sums", i)["n"], F.lit(0).cast("long")))
+        step = F.array_max(F.zip_with("centers", fresh, lambda a, b: F.greatest(*[F.abs(a[x] - b[x]) for x in "rgb"])))
+        known = F.col("sums").isNotNull()
+        state = cut_lineage(state.join(sums, key, "left").select(
+            key, F.when(known, fresh).otherwise(F.col("centers")).alias("centers"), F.when(known, counts).otherwise(F.col("sizes")).alias("sizes"),
+            (known & (step >= still)).alias("moving")))
+        if state.where("moving").isEmpty():
             break
-    return centers, owner
-
-
-def page_palettes(sampled: DataFrame, key: str = "page_id", max_colors: int = 8) -> DataFrame:
-    """Palette per page by cluster size. Feed it a bounded sample (``systematic_sample``)."""
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-        data = pdf.sort_values(["r", "g", "b"])[["r", "g", "b"]].to_numpy(dtype=float)
-        k = max(1, min(max_colors, len(data) // 64))
-        if len(data) < 16:
-            return pd.DataFrame({key: [], "rank": [], "color": [], "pixels": []})
-        centers, owner = _kmeans(data, k)
-        counts = np.bincount(owner, minlength=k)
-        rows, seen = [], set()
-        for i in np.argsort(-counts, kind="stable"):
-            color = "#{:02x}{:02x}{:02x}".format(*[int(v) for v in centers[i]])
-            if counts[i] and color not in seen:
-                seen.add(color)
-                rows.append((pdf[key].iloc[0], len(rows) + 1, color, int(counts[i])))
-        return pd.DataFrame(rows, columns=[key, "rank", "color", "pixels"])
-    typ = sampled.schema[key].dataType.simpleString()
-    return sampled.groupBy(key).applyInPandas(one, f"{key} {typ}, rank int, color string, pixels long")
+    out = state.select(key, F.posexplode(F.arrays_zip("centers", "sizes")).alias("cluster", "__c")).where("__c.sizes > 0")
+    out = out.select(key, "cluster", *[F.floor(F.col("__c.centers")[x]).cast("int").alias(x) for x in "rgb"], F.col("__c.sizes").alias("pixels"))
+    return out.select(key, "cluster", C.rgb_to_hex("r", "g", "b").alias("color"), "pixels")
+
+
+def page_palettes(px: DataFrame, key: str = "page_id", max_colors: int = 8) -> DataFrame:
+    """Palette of each page by cluster size; of clusters with one colour the largest counts."""
+    found = color_clusters(px, key, max_colors)
+    colors = found.groupBy(key, "color").agg(F.min_by(F.struct("pixels", "cluster"), F.struct(-F.col("pixels"), "cluster")).alias("best"))
+    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("best.pixels"), "best.cluster"))  # at most max_colors rows
+    return colors.select(key, rank.alias("rank"), "color", F.col("best.pixels").alias("pixels"))
 
 
 def score_clusters(clusters: DataFrame, keys: Sequence[str], skin: Sequence[float] | None = None,

@@ -209,14 +209,13 @@ def _(t):
     from chromaframe.operators.stats import page_palettes
     _, sat, val = C.rgb_to_hsv("r", "g", "b")
     usable = t.px.where(C.is_usable(sat, val, 28, 24, 248))
-    return page_palettes(W.systematic_sample(usable, ["page_id"], 30_000, ["y", "x"], F.col("y")))
+    return page_palettes(usable)
 
 
 @query("score_clusters")
 def _(t):
     from chromaframe.operators.stats import page_palettes, score_clusters
-    sample = W.systematic_sample(t.px, ["page_id"], 12_000, ["y", "x"], F.col("y"))
-    d = score_clusters(page_palettes(sample, max_colors=4), ["page_id"], (180, 145, 150), True)
+    d = score_clusters(page_palettes(t.px, max_colors=4), ["page_id"], (180, 145, 150), True)
     return d.withColumn("score", F.round("score", 6))
 
 

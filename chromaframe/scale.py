@@ -102,10 +102,11 @@ def join_library(df: DataFrame, library: DataFrame, keys: Sequence[str], spread:
     Without keys every row meets the whole library, by salt.
     """
     hinted = measured_broadcast(library)
-    if hinted is not library and keys:
-        return df.join(hinted, list(keys), how)
-    library = hinted
-    copies = library.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if hinted is not library:
+        if keys:
+            return df.join(hinted, list(keys), how)
+        salts = 1  # one copy is sent, not one per salt
+    copies = hinted.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
 

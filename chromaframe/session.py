@@ -11,6 +11,8 @@ SETTINGS = {
     # A skewed join is split even when that adds a shuffle further down.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Checkpoints of finished rounds go once nothing refers to them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     # Exact percentiles keep one value-count map per page; stay hash based.

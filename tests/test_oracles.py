@@ -9,6 +9,8 @@ import __spark_entry__ as entry
 from chromaframe.plans.fixtures import TABLES
 
 SF = "/root/testdata/sf0.001"
+NO_SQL = {"corpus_palette", "dedupe_points", "embed_with", "identity_match_strict", "learn_identity", "merge_palette", "merge_tiny", "page_palettes",
+          "profile_upsert", "score_clusters", "tone_memory", "undo_redo"}
 TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
@@ -36,6 +38,9 @@ def test_query(spark, duck, name):
     cols = sorted(df.columns)
     rows = [tuple(clean(r[c]) for c in cols) for r in df.collect()]
     if name not in entry.oracle_sql():
+        # Only these have no SQL; the corpus operators are compared in their own tests.
+        assert name in NO_SQL or name.startswith("op") or name == "pipeline"
+        assert rows
         return
     rel = duck.execute(entry.oracle_sql()[name])
     names = [d[0] for d in rel.description]

@@ -80,9 +80,43 @@ def test_palettes(spark):
     corpus = A.corpus_palette(df, 3).orderBy("rank").collect()
     assert sum(r.pixels for r in corpus) == 900 and [r["rank"] for r in corpus] == list(range(1, len(corpus) + 1))
     assert [r.pixels for r in corpus] == sorted((r.pixels for r in corpus), reverse=True)
-    page = A.page_palettes(W.systematic_sample(df, ["page_id"], 30_000, ["y", "x"], F.col("y")), max_colors=3).orderBy("rank").collect()
+    page = A.page_palettes(df, max_colors=3).orderBy("rank").collect()
     assert [r.pixels for r in page] == [500, 300, 100]
     near = lambda h, c: all(abs(int(h[1 + 2 * i:3 + 2 * i], 16) - c[i]) <= 6 for i in range(3))
     assert all(near(r.color, c) for r, c in zip(page, base))
     best = A.score_clusters(spark.createDataFrame(page).withColumn("page_id", F.lit(1)), ["page_id"], prefer_dark=False).first()
     assert near(best.color, base[0])
+
+
+def test_clusters_equal_sequential_steps(spark):
+    """Weighted steps over colour counts against plain steps over every pixel."""
+    rnd = random.Random(11)
+    rows = []
+    for page, n, spread in ((1, 700, 256), (2, 300, 6), (3, 64, 256), (4, 16, 40), (5, 15, 256), (6, 400, 1)):
+        rows += [(page, *[rnd.randrange(spread) for _ in range(3)]) for _ in range(n)]
+    want = {}
+    for page in sorted({r[0] for r in rows}):
+        pts = sorted(r[1:] for r in rows if r[0] == page)
+        if len(pts) < 16:
+            continue
+        gap = lambda p, c: sum((a - b) ** 2 for a, b in zip(p, c))
+        centers = [tuple(sum(p[i] for p in pts) / len(pts) for i in range(3))]
+        k = max(1, min(4, len(pts) // 64))
+        for _ in range(k):
+            centers.append(max(pts, key=lambda p: (min(gap(p, c) for c in centers), [-v for v in p])))
+        centers = centers[1:]
+        for _ in range(25):
+            owner = [min(range(k), key=lambda i: (gap(p, centers[i]), i)) for p in pts]
+            fresh = []
+            for i in range(k):
+                own = [p for p, o in zip(pts, owner) if o == i]
+                fresh.append(tuple(sum(p[j] for p in own) / len(own) for j in range(3)) if own else centers[i])
+            moved = max(abs(a - b) for f, c in zip(fresh, centers) for a, b in zip(f, c))
+            centers = fresh
+            if moved < 0.5:
+                break
+        want |= {(page, i): ("#%02x%02x%02x" % tuple(int(v) for v in centers[i]), owner.count(i)) for i in range(k) if i in owner}
+    df = spark.createDataFrame(rows, "page_id int, r int, g int, b int")
+    for parts in (1, 7):
+        got = {(r.page_id, r.cluster): (r.color, r.pixels) for r in A.color_clusters(df.repartition(parts), "page_id", 4).collect()}
+        assert got == want
