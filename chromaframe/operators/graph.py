@@ -44,27 +44,38 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", s
         *nodes.columns, F.coalesce("__root", node).alias("component"))
 
 
+def fill_runs(px: DataFrame, fill: str = "fillable") -> DataFrame:
+    """Horizontal runs of fillable pixels: page_id, y, x0, x1. One image row is sorted at a time."""
+    row = W.partitionBy("page_id", "y").orderBy("x")
+    p = px.where(F.col(fill) > 0).select("page_id", "x", "y", (F.col("x") - F.row_number().over(row)).alias("__g"))
+    return p.groupBy("page_id", "y", "__g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("__g")
+
+
+def run_contacts(runs: DataFrame, reach: int = 0, width: int = 64) -> DataFrame:
+    """Runs (``a`` above ``b``) of neighbouring rows that overlap, up to ``reach`` pixels apart.
+
+    An interval join: runs meet in the ``width``-pixel buckets both cover, and a pair counts in the first of them only.
+    """
+    low, high = F.floor((F.col("x0") - reach) / width), F.floor((F.col("x1") + reach) / width)
+    above = runs.select("page_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.explode(F.sequence(low, high)).alias("bucket"))
+    below = runs.select("page_id", "y", F.col("x0").alias("b0"), F.col("x1").alias("b1"),
+                        F.explode(F.sequence(F.floor(F.col("x0") / width), F.floor(F.col("x1") / width))).alias("bucket"))
+    first = F.floor(F.greatest(F.col("a0") - reach, F.col("b0")) / width)
+    met = above.join(below, ["page_id", "y", "bucket"]).where(
+        (F.col("a0") - reach <= F.col("b1")) & (F.col("b0") <= F.col("a1") + reach) & (F.col("bucket") == first))
+    return met.select(F.struct("page_id", (F.col("y") - 1).alias("y"), F.col("a0").alias("x0")).alias("a"), F.struct("page_id", "y", F.col("b0").alias("x0")).alias("b"))
+
+
 def label_regions(px: DataFrame, connectivity: int = 4, fill: str = "fillable") -> DataFrame:
     """Components of the fillable grid; a component is named by its first pixel in row order.
 
-    Pixels first shrink to horizontal runs (one image row at a time), so the graph has
-    runs for nodes and run contacts for edges.
+    Pixels first shrink to horizontal runs (one image row at a time). Runs are the nodes, an interval
+    join of neighbouring rows gives the edges, and pixels come back only at the end, from their runs.
     """
-    row = W.partitionBy("page_id", "y").orderBy("x")
-    p = px.where(F.col(fill) > 0).select("page_id", "x", "y")
-    start = F.when(F.coalesce(F.lag("x").over(row) != F.col("x") - 1, F.lit(True)), F.col("x"))
-    p = p.withColumn("__s", start).withColumn("x0", F.max("__s").over(row.rowsBetween(W.unboundedPreceding, 0))).drop("__s")
-    p = cut_lineage(p)
-    shifts = [0] if connectivity == 4 else [-1, 0, 1]
-    down = p.select("page_id", F.explode(F.array(*[F.col("x") + s for s in shifts])).alias("x"), (F.col("y") + 1).alias("y"),
-                    F.struct("page_id", "y", "x0").alias("src"))
-    edges = down.join(p.select("page_id", "x", "y", F.struct("page_id", "y", "x0").alias("dst")), ["page_id", "x", "y"]) \
-        .select("src", "dst").distinct()
-    nodes = p.select(F.struct("page_id", "y", "x0").alias("id")).distinct()
-    comp = connected_components(nodes, edges).select(
-        F.col("id.page_id").alias("page_id"), F.col("id.y").alias("y"), F.col("id.x0").alias("x0"),
-        F.col("component.y").alias("root_y"), F.col("component.x0").alias("root_x"))
-    return p.join(comp, ["page_id", "y", "x0"]).select("page_id", "x", "y", "root_y", "root_x")
+    runs = cut_lineage(fill_runs(px, fill))
+    edges = run_contacts(runs, 0 if connectivity == 4 else 1).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    comp = connected_components(runs.select(F.struct("page_id", "y", "x0").alias("id"), "x1"), edges)
+    return comp.select("id.page_id", F.explode(F.sequence("id.x0", "x1")).alias("x"), "id.y", F.col("component.y").alias("root_y"), F.col("component.x0").alias("root_x"))
 
 
 def cluster_boxes(boxes: DataFrame, cell: float = 256.0) -> DataFrame:
@@ -160,30 +171,75 @@ def grow_selection(labels: DataFrame, positive: str, negative: str, prior: str,
     return s.select("page_id", F.col("rid").alias(region), "area", "score", "status")
 
 
+def contact_patterns(labels: DataFrame, region: str = "region_id") -> DataFrame:
+    """Border pixels counted by what they touch: page_id, own, around (sorted other regions, at most 4), n.
+
+    Contact counts of merged regions follow from these patterns, as a pixel that touches both parts counts once.
+    """
+    p = labels.select("page_id", "x", "y", F.col(region).cast("long").alias("rid"))
+    beside = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))])
+    none = F.lit(None).cast("long")
+    sent = p.where("rid > 0").select("page_id", F.col("rid").alias("near"), F.inline(beside)).select("page_id", "x", "y", "near", none.alias("own"))
+    own = p.where("rid > 0").select("page_id", "x", "y", none.alias("near"), F.col("rid").alias("own"))
+    g = own.unionByName(sent).groupBy("page_id", "x", "y").agg(F.max("own").alias("own"), F.array_sort(F.collect_set("near")).alias("around"))
+    g = g.where("own IS NOT NULL").withColumn("around", F.array_remove("around", F.col("own"))).where(F.size("around") > 0)
+    return g.groupBy("page_id", "own", "around").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _moved(edges: DataFrame, moves: DataFrame) -> DataFrame:
+    """Edges with moved regions renamed: they are pending as the region that took them in."""
+    for side in ("own", "near"):
+        to = moves.select("page_id", F.col("rid").alias(side), F.col("to").alias("__to"))
+        edges = edges.join(to, ["page_id", side], "left").withColumns({
+            side: F.coalesce("__to.own", side), f"{side}_pending": F.coalesce("__to.waits", f"{side}_pending")}).drop("__to")
+    return edges.where("own <> near")
+
+
 def merge_tiny(labels: DataFrame, max_area: int = 220, max_rounds: int = 6, region: str = "region_id") -> DataFrame:
-    """Fragments up to ``max_area`` join the neighbour with most contact, then ids turn dense.
+    """Fragments up to ``max_area`` join the neighbour with most contact, one after another by id; then ids turn dense.
 
-    A round moves all fragments at once and contracts chains to their largest member;
-    the result equals one-at-a-time merging whenever no fragment leans on another.
+    In every round the fragments of its start merge in the order of their ids, each looking at the map as those
+    before have left it (ties: the lower neighbour). ``settled`` is false on pages where a fragment with a
+    neighbour is left after ``max_rounds``.
+
+    Pixels are read once, into border patterns; rounds work on those and on the map from old to
+    current ids. A fragment acts as soon as no waiting neighbour has a lower id: what is not its neighbour
+    changes neither its border nor its choice, so many act at once and the result is the sequential one.
     """
-    cur = cut_lineage(labels.select("page_id", "x", "y", F.col(region).alias("rid")))
-    for _ in range(max_rounds):
-        area = cur.where("rid > 0").groupBy("page_id", "rid").agg(F.count(F.lit(1)).alias("area"))
-        tiny = area.where(F.col("area") <= max_area).select("page_id", F.col("rid").alias("src"))
-        best = region_adjacency(cur, "rid").join(tiny, ["page_id", "src"]).groupBy("page_id", "src").agg(
-            F.max_by("dst", F.struct("contact", -F.col("dst"))).alias("dst"))
-        best = cut_lineage(best)
-        if best.isEmpty():
+    base = labels.select("page_id", "x", "y", F.col(region).cast("long").alias("rid"))
+    sizes = cut_lineage(base.where("rid > 0").groupBy("page_id", "rid").agg(F.count(F.lit(1)).alias("area")).withColumn("cur", F.col("rid")))
+    patterns = cut_lineage(contact_patterns(base, "rid").withColumn("pattern", F.struct("own", "around")))
+    edges = cut_lineage(patterns.select("page_id", "pattern", "n", "own", F.explode("around").alias("near")))
+    for turn in range(max_rounds + 1):
+        tiny = sizes.groupBy("page_id", "cur").agg(F.sum("area").alias("a")).where(F.col("a") <= max_area).select("page_id", "cur")
+        flag = lambda side: tiny.select("page_id", F.col("cur").alias(side), F.lit(True).alias(f"{side}_pending"))
+        marked = edges.join(flag("own"), ["page_id", "own"], "left").join(flag("near"), ["page_id", "near"], "left")
+        marked = cut_lineage(marked.fillna(False, ["own_pending", "near_pending"]))
+        if turn == max_rounds:
+            break
+        changed = False
+        while True:
+            # Both sums need the rows of (page, near) together: one shuffle serves them.
+            contact = marked.where("near_pending").repartition("page_id", "near").groupBy("page_id", "near", "own").agg(
+                F.sum("n").alias("c"), F.first("own_pending").alias("waits"))
+            best = contact.groupBy("page_id", "near").agg(
+                F.max_by(F.struct("own", "waits"), F.struct("c", -F.col("own"))).alias("to"), F.bool_or(F.col("waits") & (F.col("own") < F.col("near"))).alias("blocked"))
+            moves = cut_lineage(best.where("NOT blocked").select("page_id", F.col("near").alias("rid"), "to"))
+            if moves.isEmpty():
+                break
+            changed = True
+            marked = cut_lineage(_moved(marked, moves).groupBy("page_id", "pattern", "own", "near").agg(
+                *[F.first(c).alias(c) for c in ("n", "own_pending", "near_pending")]))
+            sizes = cut_lineage(sizes.join(moves.select("page_id", F.col("rid").alias("cur"), F.col("to.own").alias("to")), ["page_id", "cur"], "left")
+                                .withColumn("cur", F.coalesce("to", "cur")).drop("to"))
+        edges = marked.drop("own_pending", "near_pending")
+        if not changed:
             break
-        ident = lambda c: F.struct("page_id", F.col(c).alias("rid"))
-        nodes = area.select(ident("rid").alias("id"), "area")
-        comp = connected_components(nodes, best.select(ident("src").alias("src"), ident("dst").alias("dst")))
-        head = comp.groupBy("component").agg(F.max_by("id", F.struct("area", -F.col("id.rid"))).alias("head"))
-        moved = comp.join(head, "component").select(F.col("id.page_id").alias("page_id"), F.col("id.rid").alias("rid"),
-                                                    F.col("head.rid").alias("__new"))
-        cur = cut_lineage(cur.join(moved, ["page_id", "rid"], "left").select(
-            "page_id", "x", "y", F.coalesce("__new", "rid").alias("rid")))
-    return dense_relabel(cur, "rid").select("page_id", "x", "y", F.col("new_id").alias(region))
+    restless = marked.where("near_pending").select("page_id", F.lit(False).alias("settled")).distinct()
+    dense = dense_relabel(sizes.select("page_id", F.col("cur").alias("rid")).distinct(), "rid").select("page_id", F.col("rid").alias("cur"), "new_id")
+    names = sizes.join(dense, ["page_id", "cur"]).select("page_id", "rid", "new_id")
+    out = base.join(names, ["page_id", "rid"], "left").join(restless, "page_id", "left")
+    return out.select("page_id", "x", "y", F.coalesce("new_id", F.lit(0)).cast("int").alias(region), F.coalesce("settled", F.lit(True)).alias("settled"))
 
 
 # --- component rules ---------------------------------------------------------

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chromaframe.functions import color as C
@@ -19,26 +20,36 @@ from chromaframe.functions.points import MANUAL_SOURCES, remap_to_crop
 from chromaframe.scale import cover_cells, cut_lineage, first_per_group, point_cell
 
 
-def points_to_regions(points: DataFrame, labels: DataFrame, radius: int = 24, near: int = 4) -> DataFrame:
+def label_runs(labels: DataFrame) -> DataFrame:
+    """Horizontal runs of one region: page_id, y, region_id, x0, x1. One image row is sorted at a time."""
+    row = W.partitionBy("page_id", "y", "region_id").orderBy("x")
+    p = labels.where("region_id > 0").select("page_id", "y", "region_id", "x", (F.col("x") - F.row_number().over(row)).alias("__g"))
+    return p.groupBy("page_id", "y", "region_id", "__g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("__g")
+
+
+def points_to_regions(points: DataFrame, labels: DataFrame, radius: int = 24, near: int = 4, width: int = 64) -> DataFrame:
     """Region under a point; a point off every region snaps to the nearest one.
 
     Regions within +4 of the smallest squared distance compete by smaller area, then
-    lower id. Off-region points first look ``near`` pixels around; only those that this
-    cannot settle look through the whole window. ``points``: page_id, point_id, x, y.
+    lower id. ``points``: page_id, point_id, x, y.
+
+    The distance is separable: in one image row the nearest pixel of a run is known from its ends, so a point asks
+    its rows for runs in reach instead of asking for pixels. Off-region points first look ``near`` pixels around;
+    only those that this cannot settle look through the whole window.
     """
-    area = labels.where("region_id > 0").groupBy("page_id", "region_id").agg(F.count(F.lit(1)).alias("area"))
+    runs = cut_lineage(label_runs(labels))
+    area = runs.groupBy("page_id", "region_id").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
     under = cut_lineage(points.join(labels.select("page_id", "x", "y", "region_id"), ["page_id", "x", "y"]))
     on = under.where("region_id > 0").select("page_id", "point_id", "region_id")
     off = under.where("region_id = 0").select("page_id", "point_id", "x", "y")
-    solid = labels.where("region_id > 0").select("page_id", F.col("x").alias("px"), F.col("y").alias("py"), "region_id")
+    bucket = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
+    solid = runs.select("page_id", F.col("y").alias("py"), "region_id", "x0", "x1", bucket(F.col("x0"), F.col("x1")).alias("cell"))
 
     def around(p, r):
-        w = (p.withColumn("dx", F.explode(F.sequence(F.lit(-r), F.lit(r))))
-             .withColumn("dy", F.explode(F.sequence(F.lit(-r), F.lit(r)))))
-        w = w.select("page_id", "point_id", (F.col("x") + F.col("dx")).alias("px"), (F.col("y") + F.col("dy")).alias("py"),
-                     (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("d2"))
-        return (w.join(solid, ["page_id", "px", "py"]).groupBy("page_id", "point_id", "region_id")
-                .agg(F.min("d2").alias("d2")))
+        rows = p.withColumn("dy", F.explode(F.sequence(F.lit(-r), F.lit(r)))).withColumn("py", F.col("y") + F.col("dy"))
+        w = rows.withColumn("cell", bucket(F.col("x") - r, F.col("x") + r)).join(solid, ["page_id", "py", "cell"])
+        w = w.withColumn("dx", F.greatest(F.col("x0") - F.col("x"), F.col("x") - F.col("x1"), F.lit(0))).where(F.col("dx") <= r)
+        return w.groupBy("page_id", "point_id", "region_id").agg(F.min(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("d2"))
 
     def settle(best):
         best = cut_lineage(best)

@@ -93,13 +93,38 @@ def _(t):
     return G.grow_selection(d, "pos", "neg", "in_mask", 2).withColumn("score", F.round("score", 6))
 
 
-@query("merge_tiny")
+# Each page is a list of 32 x 32 labels; a recursion step merges one fragment, in id order within a round.
+_SIDES = "(p % 32 <> 1 AND l[p - 1] = {r}) OR (p % 32 <> 0 AND l[p + 1] = {r}) OR (p > 32 AND l[p - 32] = {r}) OR (p <= 992 AND l[p + 32] = {r})"
+
+
+def _border(r):
+    return f"list_transform(list_filter(range(1, 1025), lambda p: l[p] > 0 AND l[p] <> {r} AND ({_SIDES.format(r=r)})), lambda p: l[p])"
+
+
+_TINY = "list_filter(list_sort(list_distinct(list_filter(l, lambda v: v > 0))), lambda q: len(list_filter(l, lambda v: v = q)) <= 20)"
+_TARGET = "list_sort(list_transform(list_distinct(b), lambda v: {'c': -len(list_filter(b, lambda w: w = v)), 'v': v}))[1].v"
+
+
+@query("merge_tiny", f"""
+WITH RECURSIVE {_MAP},
+g AS (SELECT page_id, p FROM (SELECT DISTINCT page_id FROM m) z, range(1, 1025) r(p)),
+pg AS (SELECT g.page_id, list(coalesce(rid, 0) ORDER BY p) AS l FROM g LEFT JOIN m ON m.page_id = g.page_id AND m.y * 32 + m.x + 1 = p GROUP BY g.page_id),
+st(page_id, step, turn, changed, l, todo) AS (
+  SELECT page_id, 0, 1, false, l, {_TINY} FROM pg
+  UNION ALL
+  SELECT page_id, step + 1, CASE WHEN len(todo) = 0 THEN turn + 1 ELSE turn END, CASE WHEN len(todo) = 0 THEN false ELSE changed OR len(b) > 0 END,
+    CASE WHEN len(b) > 0 THEN list_transform(l, lambda v: CASE WHEN v = todo[1] THEN {_TARGET} ELSE v END) ELSE l END,
+    CASE WHEN len(todo) = 0 THEN {_TINY} ELSE todo[2:] END
+  FROM (SELECT *, CASE WHEN len(todo) > 0 THEN {_border('todo[1]')} ELSE [] END AS b FROM st WHERE len(todo) > 0 OR (changed AND turn < 6)) z),
+last AS (SELECT page_id, max_by(l, step) AS l FROM st GROUP BY page_id),
+fin AS (SELECT page_id, l, len(list_filter({_TINY}, lambda r: len({_border('r')}) > 0)) = 0 AS settled FROM last)
+SELECT m.page_id, m.x, m.y, CASE WHEN l[y * 32 + x + 1] > 0 THEN CAST(len(list_filter(list_distinct(l), lambda v: v > 0 AND v <= l[y * 32 + x + 1])) AS INT) ELSE 0 END AS region_id, settled
+FROM m JOIN fin ON m.page_id = fin.page_id""")
 def _(t):
     return G.merge_tiny(_map(t), 20)
 
 
 
-
 @query("filter_components", """
 WITH s AS (SELECT *, CAST(floor(area / 900) AS INT) AS a FROM regions)
 SELECT 'strokes' AS rule, page_id, region_id FROM s WHERE a >= 8 OR (greatest(w, h) >= 5 AND least(w, h) <= greatest(3, floor(greatest(w, h) / 3)))

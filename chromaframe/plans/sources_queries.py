@@ -182,18 +182,35 @@ def _(t):
     return FS.total_size_mb(_inventory(t))
 
 
-@query("reassemble_chunks", """
-WITH p AS (SELECT conv_id AS payload_id, turn, CASE WHEN conv_id % 5 = 0 THEN text ELSE replace(base64(encode(repeat(text, 1)[1:3 * (length(text) // 3)])), '=', 'A') END AS body FROM conversations),
-g AS (SELECT payload_id, count(*) AS fragments, CAST(sum(strlen(regexp_replace(body, '\\s+', '', 'g'))) AS BIGINT) AS bytes, string_agg(regexp_replace(body, '\\s+', '', 'g'), '' ORDER BY turn) AS enc FROM p GROUP BY 1)
-SELECT payload_id, fragments, bytes, enc AS encoded, CASE WHEN payload_id % 5 = 0 THEN 'not decodable' ELSE 'ok' END AS state FROM g""")
-def _(t):
+_PAYLOADS = """
+p AS (SELECT conv_id AS payload_id, turn, CASE WHEN conv_id % 5 = 0 THEN text ELSE replace(base64(encode(text[1:3 * (length(text) // 3)])), '=', 'A') END AS body FROM conversations),
+g AS (SELECT payload_id, count(*) AS fragments, string_agg(regexp_replace(body, '\\s+', '', 'g'), '' ORDER BY turn) AS enc FROM p GROUP BY 1)"""
+
+
+def _payload_parts(t):
     ascii_only = F.expr("substring(text, 1, 3 * CAST(floor(length(text) / 3) AS INT))")
     body = F.when(F.col("conv_id") % 5 == 0, F.col("text")).otherwise(
         F.replace(F.base64(F.encode(ascii_only, "UTF-8")), F.lit("="), F.lit("A")))
-    parts = t.conversations.select(F.col("conv_id").alias("payload_id"),
-                                   F.concat(F.lit("x/part-"), F.col("turn"), F.lit(".b64")).alias("name"), body.alias("body"))
-    d = FS.reassemble_chunks(parts)
-    return d.select("payload_id", "fragments", "bytes", "encoded", "state")
+    return t.conversations.select(F.col("conv_id").alias("payload_id"),
+                                  F.concat(F.lit("x/part-"), F.col("turn"), F.lit(".b64")).alias("name"), body.alias("body"))
+
+
+@query("reassemble_chunks", f"""
+WITH {_PAYLOADS}
+SELECT payload_id, fragments, CAST(strlen(enc) AS BIGINT) AS bytes, CAST(ceil(length(enc) / 512.0) AS BIGINT) AS pieces,
+  CASE WHEN payload_id % 5 <> 0 THEN CAST(octet_length(from_base64(enc)) AS BIGINT) END AS decoded_bytes, CASE WHEN payload_id % 5 = 0 THEN 'not decodable' ELSE 'ok' END AS state FROM g""")
+def _(t):
+    return FS.reassemble_chunks(_payload_parts(t), piece=512)
+
+
+@query("chunk_pieces", f"""
+WITH {_PAYLOADS}, s AS (SELECT payload_id, enc, unnest(range(CAST(ceil(length(enc) / 512.0) AS BIGINT))) AS piece FROM g),
+c AS (SELECT payload_id, piece, substr(enc, piece * 512 + 1, 512) AS encoded FROM s)
+SELECT payload_id, piece, piece * 384 AS "offset", encoded, CASE WHEN payload_id % 5 <> 0 THEN sha256(from_base64(encoded)) END AS digest FROM c""")
+def _(t):
+    d = FS.chunk_pieces(_payload_parts(t), piece=512)
+    # Plain text has pieces that look like base64 by chance only if it has no stops and blanks.
+    return d.select("payload_id", "piece", "offset", "encoded", F.when(F.col("payload_id") % 5 != 0, F.sha2("bytes", 256)).alias("digest"))
 
 
 @query("expire_stale", """

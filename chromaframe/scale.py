@@ -71,6 +71,20 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     return out.drop("__key", "__bucket", "__pos", "__before", "__total")
 
 
+def sum_before(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, value: Column, name: str) -> DataFrame:
+    """Sum of ``value`` over the rows of a key that come before, without one task per key.
+
+    As ``rank_within``: rows are summed inside (key, bucket) and shifted by the sums of earlier buckets.
+    """
+    tagged = df.withColumns({"__key": F.struct(*keys), "__bucket": F.struct(bucket.alias("b")), "__v": value.cast("long")})
+    sums = tagged.groupBy("__key", "__bucket").agg(F.sum("__v").alias("__s"))
+    before = W.partitionBy("__key").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select("__key", "__bucket", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
+    inside = W.partitionBy("__key", "__bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = tagged.withColumn("__own", F.coalesce(F.sum("__v").over(inside), F.lit(0))).join(offsets, ["__key", "__bucket"])
+    return out.withColumn(name, (F.col("__before") + F.col("__own")).cast("long")).drop("__key", "__bucket", "__v", "__before", "__own")
+
+
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int = 1,
                     rank: str | None = None) -> DataFrame:
     """Top ``n`` rows per key; Spark prunes to ``n`` per key before the shuffle."""

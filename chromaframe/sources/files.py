@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chromaframe.scale import cut_lineage, rank_within
+from chromaframe.scale import cut_lineage, rank_within, sum_before
 
 _GROUP = ["folder", "stem", "ext"]
 
@@ -82,23 +82,62 @@ def content_digests(spark, path: str) -> DataFrame:
     return d.select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"))
 
 
+#: Characters of encoded text in a piece: a multiple of four, so that every piece decodes on its own.
+PIECE = 4 * 49_152
+
+
+def _fragments(parts: DataFrame, keys: Sequence[str], name: str, body: str) -> DataFrame:
+    """Numbered fragments without white space; other names are no fragments."""
+    d = parts.withColumn("__n", F.regexp_extract(name, r"([0-9]+)\.b64$", 1)).where("__n <> ''")
+    clean = F.regexp_replace(F.coalesce(F.col(body), F.lit("")), r"\s+", "")
+    return d.select(*keys, F.col("__n").cast("long").alias("__n"), F.col(name).alias("__name"), clean.alias("__b"))
+
+
+def chunk_pieces(parts: DataFrame, keys: Sequence[str] = ("payload_id",), name: str = "name", body: str = "body",
+                 max_bytes: int | None = None, piece: int = PIECE) -> DataFrame:
+    """The payloads of numbered base64 fragments as ordered pieces: keys, ``piece``, ``offset``, ``encoded``, ``bytes``.
+
+    Fragments follow each other by number, then by name. A fragment's place in its payload is a sum over the fragments
+    before, taken in blocks of numbers; the text is cut at multiples of ``piece`` (a multiple of four)
+    characters and each piece decoded alone, so neither a row nor a task ever holds a payload. ``offset`` counts decoded bytes.
+    ``bytes`` is null where a piece is no base64; padding is only right at the very end. Payloads over ``max_bytes`` encoded bytes give no pieces.
+    """
+    if piece % 4 or piece <= 0:
+        raise ValueError("piece is a positive multiple of four")
+    keys = list(keys)
+    d = _fragments(parts, keys, name, body)
+    total = d.groupBy(*keys).agg(F.sum(F.char_length("__b")).alias("__all"), F.sum(F.octet_length("__b")).alias("__size"))
+    if max_bytes is not None:
+        total = total.where(F.col("__size") <= max_bytes)
+    at = sum_before(d, keys, ["__n", "__name", "__b"], F.floor(F.col("__n") / 1024), F.char_length("__b"), "__from").where("__b <> ''")
+    end = F.col("__from") + F.char_length("__b")
+    at = at.select(*keys, "__from", "__b", F.explode(F.sequence(F.floor(F.col("__from") / piece), F.floor((end - 1) / piece))).alias("piece"))
+    start = F.greatest(F.col("piece") * piece - F.col("__from"), F.lit(0))
+    stop = (F.col("piece") + 1) * piece - F.col("__from")
+    cut = at.select(*keys, "piece", (F.col("__from") + start).alias("__from"), F.substring("__b", (start + 1).cast("int"), (stop - start).cast("int")).alias("__b"))
+    # At most ``piece`` characters meet here.
+    text = cut.groupBy(*keys, "piece").agg(F.expr("listagg(__b, '') WITHIN GROUP (ORDER BY __from)").alias("encoded"))
+    text = text.join(total, keys)
+    last = F.col("piece") == F.floor((F.col("__all") - 1) / piece)
+    sound = F.when(last, F.col("encoded").rlike("^[A-Za-z0-9+/]*={0,2}$") & (F.char_length("encoded") % 4 == 0)).otherwise(F.col("encoded").rlike("^[A-Za-z0-9+/]*$"))
+    return text.select(*keys, "piece", (F.col("piece") * (piece // 4 * 3)).alias("offset"), "encoded", F.when(sound, F.unbase64("encoded")).alias("bytes"))
+
+
 def reassemble_chunks(parts: DataFrame, keys: Sequence[str] = ("payload_id",), name: str = "name", body: str = "body",
-                      max_bytes: int | None = None) -> DataFrame:
-    """Join numbered fragments in numeric order and decode base64.
+                      max_bytes: int | None = None, piece: int = PIECE) -> DataFrame:
+    """One row per payload of numbered fragments: ``fragments``, ``bytes`` (encoded), ``pieces``, ``decoded_bytes``, ``state``.
 
-    A payload becomes one row, which the 2 GB of a string bound. With ``max_bytes``, sizes are summed first and a payload
-    above is reported as oversized and not gathered.
+    The content is in ``chunk_pieces``; here are its sums. ``state`` is ok, not decodable, or oversized (over ``max_bytes``). An empty payload is ok.
     """
     keys = list(keys)
-    d = parts.withColumn("__n", F.regexp_extract(name, r"([0-9]+)\.b64$", 1)).where("__n <> ''").withColumn("__n", F.col("__n").cast("long"))
-    d = d.withColumn("__b", F.regexp_replace(body, r"\s+", ""))
-    size = d.groupBy(*keys).agg(F.sum(F.octet_length("__b")).alias("bytes"), F.count(F.lit(1)).alias("fragments"))
-    fits = d if max_bytes is None else d.join(size.where(F.col("bytes") <= max_bytes).select(*keys), keys, "left_semi")
-    joined = fits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__n", "__b"))).alias("__p"))
-    joined = joined.select(*keys, F.concat_ws("", F.transform("__p", lambda v: v["__b"])).alias("encoded"))
-    out = size.join(joined, keys, "left").withColumn("payload", F.try_to_binary("encoded", F.lit("base64")))
-    state = (F.when(F.col("encoded").isNull(), "oversized").when(F.col("payload").isNull(), "not decodable").otherwise("ok"))
-    return out.withColumn("state", state)
+    size = _fragments(parts, keys, name, body).groupBy(*keys).agg(F.sum(F.octet_length("__b")).alias("bytes"), F.count(F.lit(1)).alias("fragments"))
+    found = chunk_pieces(parts, keys, name, body, max_bytes, piece).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("pieces"), F.sum(F.octet_length("bytes")).alias("__decoded"), F.count_if(F.col("bytes").isNull()).alias("__bad"))
+    out = size.join(found, keys, "left")
+    over = F.lit(False) if max_bytes is None else F.col("bytes") > max_bytes
+    state = F.when(over, "oversized").when(F.col("__bad") > 0, "not decodable").otherwise("ok")
+    decoded = F.when(state == "ok", F.coalesce("__decoded", F.lit(0)).cast("long"))
+    return out.select(*keys, "fragments", "bytes", F.coalesce("pieces", F.lit(0).cast("long")).alias("pieces"), decoded.alias("decoded_bytes"), state.alias("state"))
 
 
 # Patterns of abandoned cache entries and their age limit in hours.

@@ -34,6 +34,77 @@ def test_merge_tiny_without_chains(spark):
         assert v == old, (x, y)
 
 
+def _merged_one_by_one(rows, max_area, max_rounds):
+    """The rule as it is told: fragments in id order, each looking at the map as it then is."""
+    grid = [list(r) for r in rows]
+    h, w = len(grid), len(grid[0])
+
+    def around(rid):
+        found = {}
+        for y in range(h):
+            for x in range(w):
+                if grid[y][x] > 0 and grid[y][x] != rid and any(
+                        0 <= y + b < h and 0 <= x + a < w and grid[y + b][x + a] == rid for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0))):
+                    found[grid[y][x]] = found.get(grid[y][x], 0) + 1
+        return found
+
+    def tiny():
+        flat = [v for r in grid for v in r if v > 0]
+        return [v for v in sorted(set(flat)) if flat.count(v) <= max_area]
+    for _ in range(max_rounds):
+        changed = False
+        for rid in tiny():
+            near = around(rid)
+            if near:
+                to = min(near, key=lambda k: (-near[k], k))
+                grid = [[to if v == rid else v for v in r] for r in grid]
+                changed = True
+        if not changed:
+            break
+    settled = not any(around(r) for r in tiny())
+    dense = {v: i for i, v in enumerate(sorted({v for r in grid for v in r if v > 0}), 1)}
+    return {(x, y): dense.get(v, 0) for y, r in enumerate(grid) for x, v in enumerate(r)}, settled
+
+
+def test_merge_tiny_follows_chains(spark):
+    rnd, want, cells = random.Random(17), {}, []
+    for page, (top, blanks) in enumerate(((16, 0), (7, 3), (12, 1), (4, 0))):
+        rows = [[0 if rnd.randrange(20) < blanks else rnd.randrange(1, top) for _ in range(7)] for _ in range(5)]
+        if page == 3:  # ids in reading order: every fragment waits for the one before
+            rows = [[y * 4 + x + 1 for x in range(4)] for y in range(2)]
+        want[page] = rows
+        cells += [(page, x, y, v) for y, r in enumerate(rows) for x, v in enumerate(r)]
+    df = spark.createDataFrame(cells, "page_id int, x int, y int, region_id int").repartition(5)
+    for rounds in (1, 3):
+        got = {}
+        for r in G.merge_tiny(df, 3, rounds).collect():
+            got.setdefault(r.page_id, {})[(r.x, r.y)] = (r.region_id, r.settled)
+        for page, rows in want.items():
+            picture, settled = _merged_one_by_one(rows, 3, rounds)
+            assert {k: v[0] for k, v in got[page].items()} == picture
+            assert {v[1] for v in got[page].values()} == {settled}
+
+
+def test_points_snap_like_a_full_search(spark):
+    from chromaframe.operators import spatial as S
+    rnd = random.Random(4)
+    cells = [(p, x, y, rnd.choice([0] * 30 + [1, 2, 3]) if x % 50 < 35 else 0) for p in (1, 2) for y in range(40) for x in range(130)]
+    points = [(rnd.choice((1, 2)), i, rnd.randrange(-3, 140), rnd.randrange(-2, 44)) for i in range(150)]
+    got = {r.point_id: r.region_id for r in S.points_to_regions(spark.createDataFrame(points, "page_id int, point_id int, x int, y int"),
+                                                                spark.createDataFrame(cells, "page_id int, x int, y int, region_id int")).collect()}
+    for page, i, x, y in points:
+        at = {(a, b): v for p, a, b, v in cells if p == page}
+        want = at.get((x, y), -1)
+        if want <= 0:
+            dist = {}
+            for (a, b), v in at.items():
+                if v > 0 and abs(a - x) <= 24 and abs(b - y) <= 24:
+                    dist[v] = min(dist.get(v, 10 ** 9), (a - x) ** 2 + (b - y) ** 2)
+            near = [v for v, d in dist.items() if d <= min(dist.values()) + 4] if want == 0 else []
+            want = min(near, key=lambda v: (sum(1 for q in at.values() if q == v), v)) if near else 0
+        assert got[i] == want, (page, x, y)
+
+
 def test_merge_tiny_invariants(spark):
     rnd = random.Random(5)
     rows = [[rnd.randrange(1, 40) for _ in range(14)] for _ in range(14)]

@@ -95,9 +95,44 @@ def test_fragments(spark):
     text = base64.b64encode(data).decode()
     parts = [(1, f"d/part-{i}.b64", text[i * 100:(i + 1) * 100] + "\n") for i in range(12)] + [(2, "d/part-1.b64", "***"), (3, "d/part-1.b64", "A" * 5000)]
     random.Random(0).shuffle(parts)
-    out = {r.payload_id: r for r in FS.reassemble_chunks(spark.createDataFrame(parts, "payload_id int, name string, body string"), max_bytes=2000).collect()}
-    assert bytes(out[1].payload) == data and out[1].state == "ok"
-    assert out[2].state == "not decodable" and out[3].state == "oversized" and out[3].encoded is None
+    df = spark.createDataFrame(parts, "payload_id int, name string, body string")
+    out = {r.payload_id: r for r in FS.reassemble_chunks(df, max_bytes=2000, piece=256).collect()}
+    assert out[1].state == "ok" and out[1].decoded_bytes == len(data) and out[1].pieces == 4 and out[1].fragments == 12
+    assert out[2].state == "not decodable" and out[3].state == "oversized" and out[3].pieces == 0 and out[3].decoded_bytes is None
+    pieces = FS.chunk_pieces(df, max_bytes=2000, piece=256).where("payload_id = 1").orderBy("piece").collect()
+    assert b"".join(bytes(r.bytes) for r in pieces) == data and [r.offset for r in pieces] == [0, 192, 384, 576]
+
+
+def test_fragments_of_a_large_payload(spark):
+    """One payload holds a third of the rows; cuts fall anywhere, and padding is only right at the very end."""
+    rnd, want, parts = random.Random(3), {}, []
+    for pid in range(25):
+        data = rnd.randbytes(rnd.randrange(0, 90) + (9000 if pid == 0 else 0))
+        text, at, n = base64.b64encode(data).decode(), 0, 0
+        if pid == 7:
+            text = base64.b64encode(b"ab").decode() * 300  # padding in the middle
+        if pid == 8:
+            text = text[:-1] + "="  if len(text) % 4 == 0 else text
+            text += "A"  # a length that no text has
+        while at < len(text) or n == 0:
+            step = rnd.choice([0, 1, 3, 40, 90])
+            parts.append((pid, f"x/part{'-' if n % 2 else ''}{n:03d}.b64" if pid else f"x/part-{n}.b64", f" {text[at:at + step]}\n" if step else None))
+            at, n = at + step, n + 1
+        try:
+            want[pid] = base64.b64decode(text, validate=True)
+        except ValueError:
+            want[pid] = None
+    assert want[7] is None and want[8] is None
+    parts += [(1, "x/readme.txt", "not a fragment")]
+    rnd.shuffle(parts)
+    df = spark.createDataFrame(parts, "payload_id int, name string, body string").repartition(5)
+    for piece in (4, 64, 196_608):
+        got = {r.payload_id: r for r in FS.reassemble_chunks(df, piece=piece).collect()}
+        assert {k: r.decoded_bytes for k, r in got.items()} == {k: None if v is None else len(v) for k, v in want.items()}
+        rows = sorted((r.payload_id, r.piece, bytes(r.bytes or b"")) for r in FS.chunk_pieces(df, piece=piece).collect())
+        for k, v in want.items():
+            if v is not None:
+                assert b"".join(r[2] for r in rows if r[0] == k) == v
 
 
 def test_selection_algebra(spark):
