@@ -245,7 +245,8 @@ bins AS (SELECT greatest(least(CAST(floor(score / 1000.0::DOUBLE) AS BIGINT), 30
          FROM texts JOIN scores USING (text) WHERE NOT asked AND NOT fit GROUP BY 1),
 cut AS (SELECT bin, sum(a) OVER w::DOUBLE / nullif((SELECT sum(a) FROM bins), 0)::DOUBLE - sum(r) OVER w::DOUBLE / nullif((SELECT sum(r) FROM bins), 0)::DOUBLE AS gain
         FROM bins WINDOW w AS (ORDER BY bin DESC ROWS UNBOUNDED PRECEDING)),
-least_bin AS (SELECT coalesce((SELECT bin FROM cut WHERE gain IS NOT NULL ORDER BY gain DESC, abs(bin), bin LIMIT 1), 0) AS b),
+best AS (SELECT bin FROM cut WHERE gain IS NOT NULL ORDER BY gain DESC, abs(bin), bin LIMIT 1),
+least_bin AS (SELECT coalesce((SELECT coalesce(floor((bin + (SELECT max(bin) FROM bins WHERE bins.bin < best.bin) + 1) / 2.0), bin) FROM best), 0) AS b),
 known AS (SELECT coalesce(sum(a) > 0 AND sum(r) > 0, false) AS known FROM texts WHERE fit)
 SELECT page_id, host, path, rule,
        coalesce(label, CASE WHEN NOT known THEN 'allow' WHEN floor(score / 1000.0::DOUBLE) >= b THEN 'allow' ELSE 'block' END) AS verdict,

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chromaframe.llm.base import text_of
-from chromaframe.scale import rank_within
+from chromaframe.scale import cut_lineage, rank_within
 
 #: Longer words are left to the tail, so that the broadcast head is bounded in bytes.
 HEAD_BYTES = 64
@@ -73,7 +73,7 @@ class Features:
 
 
 def frequent_features(styles: DataFrame, description: str, head_words: int, head_pairs: int, max_words: int) -> tuple[list[bytes], list[bytes]]:
-    """The most frequent words and pairs of all descriptions, counted exactly; at most ``head_words`` and ``head_pairs``."""
+    """The most frequent words and pairs of all descriptions, counted exactly; at most ``head_words`` and ``head_pairs``, in whole steps of counts."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
@@ -93,7 +93,18 @@ def frequent_features(styles: DataFrame, description: str, head_words: int, head
             yield handed()
     sums = (styles.select(text_of(description).alias("text")).mapInPandas(count, "feature binary, pair boolean, n long")
             .groupBy("feature", "pair").agg(F.sum("n").alias("n")))
-    top = lambda pair, k: [bytes(r["feature"]) for r in sums.where(F.col("pair") == pair).orderBy(F.desc("n"), "feature").limit(k).collect()] if k else []
+    sums = cut_lineage(sums.withColumn("step", F.floor(F.log2("n") * 16).cast("int")))
+    # At most 1,024 steps of counts: the head takes whole steps, so only words of the head are sent.
+    steps = sums.groupBy("pair", "step").agg(F.count(F.lit(1)).alias("words")).collect()
+
+    def top(pair: bool, most: int) -> list[bytes]:
+        least, room = None, most
+        for r in sorted((r for r in steps if r["pair"] == pair), key=lambda r: -r["step"]):
+            room -= r["words"]
+            if room < 0:
+                break
+            least = r["step"]
+        return [] if least is None else [bytes(r["feature"]) for r in sums.where((F.col("pair") == pair) & (F.col("step") >= least)).select("feature").collect()]
     return top(False, head_words), top(True, head_pairs) if max_words > 1 else []
 
 

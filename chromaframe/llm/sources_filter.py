@@ -99,8 +99,8 @@ def calibrated_threshold(scored: DataFrame) -> DataFrame:
     """One row, ``least``: the lowest score, in thousandths, that is accepted.
 
     ``scored`` has ``score`` and the accepted and rejected rows ``a`` and ``r``. Of all bins, the one that parts the two
-    best (share of accepted kept less share of rejected kept; ties: nearest zero, then lower). Without
-    rows of both kinds it is zero. Scores are counted in at most 60,001 bins before they meet.
+    best (share of accepted kept less share of rejected kept; ties: nearest zero, then lower); the threshold lies
+    half way to the next lower bin. Without rows of both kinds it is zero. Scores are counted in at most 60,001 bins before they meet.
     """
     at = F.least(F.greatest(F.floor(F.col("score") / BIN), F.lit(-30_000)), F.lit(30_000)).cast("long")
     bins = scored.groupBy(at.alias("bin")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
@@ -114,8 +114,10 @@ def calibrated_threshold(scored: DataFrame) -> DataFrame:
         gain = a / F.col("all_a") - r / F.col("all_r")
         now = F.struct(gain.alias("gain"), (-F.abs(b["bin"])).alias("near"), (-b["bin"]).alias("low"), b["bin"].alias("bin"))
         return F.struct(a.alias("a"), r.alias("r"), F.when(s["best"].isNull() | (now > s["best"]), now).otherwise(s["best"]).alias("best"))
-    best = F.aggregate("bins", start, step, lambda s: s["best"]["bin"])
-    return one.select(F.when((F.col("all_a") > 0) & (F.col("all_r") > 0), best).otherwise(F.lit(0).cast("long")).alias("least"))
+    one = one.withColumn("best", F.aggregate("bins", start, step, lambda s: s["best"]["bin"]))
+    below = F.array_max(F.filter(F.transform("bins", lambda b: b["bin"]), lambda b: b < F.col("best")))
+    least = F.coalesce(F.floor((F.col("best") + below + 1) / 2), F.col("best"))
+    return one.select(F.when((F.col("all_a") > 0) & (F.col("all_r") > 0), least).otherwise(F.lit(0)).cast("long").alias("least"))
 
 
 def judge_sources(downloads: DataFrame, rules: Sequence[Rule], source_url: str = "source_url", order: int = 5, strength: float = 2.0,
