@@ -45,8 +45,9 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 def _windows(text: Column, order: int) -> Column:
     """For each character and the end mark: the ``order`` characters that end with it."""
     chars = F.regexp_extract_all(F.concat(F.lit(START * (order - 1)), text, F.lit(END)), F.lit("(?s)."), F.lit(0))
-    n = F.size(chars) - (order - 1)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(*[F.get(chars, i + k) for k in range(order)]))
+    # The outer lambda holds the characters, so that they are cut once per text.
+    held = F.transform(F.array(chars), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - order), lambda i: F.concat(*[F.get(c, i + k) for k in range(order)])))
+    return F.get(held, F.lit(0))
 
 
 def _parts(window: Column, order: int) -> Column:
