@@ -47,16 +47,17 @@ def gram_counts(text: str, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def fit_languages(labelled: DataFrame, description: str = "description", lang: str = "lang", style_key: str = "style_key",
-                  max_rows: int = 3000, max_languages: int = 256, smooth: float = 0.5) -> LanguageModel:
+                  max_rows: int = 3000, max_languages: int | None = None, smooth: float = 0.5) -> LanguageModel:
     """N-gram frequencies per language from labelled rows.
 
     The fit reads a bounded sample: about ``max_rows`` rows of each language, picked by a hash of
-    the key, and the ``max_languages`` most frequent labels. Only counts
-    of hashed n-grams (at most 32,768 per language) reach the driver. Rows without
-    a label or a letter teach nothing; without any row the model knows no language.
+    the key; repeated rows share its fate. All labels are learned, or the ``max_languages`` most frequent ones (ties: by name).
+    Only counts of hashed n-grams (at most 32,768 per language) reach the driver, so labels should be a
+    list of languages, not free text. Rows without a label or a letter teach nothing; without any row the model knows no language.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(description).isNotNull())
-    sizes = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(max_languages).collect()
+    sizes = rows.groupBy(lang).count().orderBy(F.desc("count"), lang)
+    sizes = (sizes if max_languages is None else sizes.limit(max_languages)).collect()
     names = tuple(sorted(r[lang] for r in sizes))
     if not names:
         return LanguageModel((), np.zeros((DIM, 0), np.float32))
@@ -113,19 +114,22 @@ def choose_languages(p: np.ndarray, n: np.ndarray, penalty: float = 4.0, rounds:
     return sorted(((c, float(s)) for c, s in zip(chosen, shares)), key=lambda x: (-x[1], x[0]))
 
 
-def mixed_languages(styles: DataFrame, model: LanguageModel, description: str = "description") -> DataFrame:
-    """Style descriptions with ``lang_pred``, ``score`` and ``mixture``.
+def mixed_languages(styles: DataFrame, model: LanguageModel, description: str = "description", background: bool = False) -> DataFrame:
+    """Style descriptions with ``lang_pred``, ``score`` and ``mixture``; with ``background`` also ``unknown``.
 
     Expectation-maximisation finds each description's share of every known language from
     n-gram likelihoods over the whole text; a penalised likelihood selects
-    the languages in ``mixture``. ``lang_pred`` has the largest share, ``score`` is that share. Null
-    texts, texts without a letter, and any text under an empty model are ``und`` with score 0 and
-    no mixture. Row by row: ties, copies and repeated rows change nothing; columns
+    the languages in ``mixture``. ``lang_pred`` has the largest share, ``score`` is that share. With ``background`` the
+    mixture has one component more that finds every n-gram equally likely: its share,
+    ``unknown``, is what no known language explains (noise, other scripts), and where it takes all, ``lang_pred`` is
+    the likeliest language with score 0. Null texts, texts without a letter, and any text under an empty model are
+    ``und`` with score 0, no mixture and ``unknown`` 1. Row by row: ties, copies and repeated rows change nothing; columns
     named like the new ones are replaced.
     """
-    known = styles.sparkSession.sparkContext.broadcast((model.langs, model.grams))  # 32,768 x languages, at most 256
+    known = styles.sparkSession.sparkContext.broadcast((model.langs, model.grams))  # 32,768 x languages
+    schema = T.StructType([*RESULT.fields, *([T.StructField("unknown", T.DoubleType())] if background else [])])
 
-    @F.pandas_udf(RESULT)
+    @F.pandas_udf(schema)
     def infer(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         langs, grams = known.value
         letters = letter_table()
@@ -133,10 +137,13 @@ def mixed_languages(styles: DataFrame, model: LanguageModel, description: str =
         def one(text):
             at, n = gram_counts(text, letters) if text and langs else ((), ())
             if not len(at):
-                return UNKNOWN, 0.0, []
-            found = choose_languages(grams[at].astype(np.float64), n)
-            return langs[found[0][0]], min(1.0, found[0][1]), [{"lang": langs[i], "share": s} for i, s in found]
+                return UNKNOWN, 0.0, [], 1.0
+            p = grams[at].astype(np.float64)
+            found = choose_languages(np.hstack([p, np.full((len(at), 1), 1.0 / DIM)]) if background else p, n)
+            unknown = sum(s for i, s in found if i == len(langs))
+            found = [(i, s) for i, s in found if i < len(langs)] or [(int((n @ np.log(p)).argmax()), 0.0)]
+            return langs[found[0][0]], min(1.0, found[0][1]), [{"lang": langs[i], "share": s} for i, s in found], min(1.0, unknown)
         for texts in parts:
-            yield pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score", "mixture"])
-    keep = [c for c in styles.columns if c not in RESULT.names]
+            yield pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score", "mixture", "unknown"])[schema.names]
+    keep = [c for c in styles.columns if c not in schema.names]
     return styles.withColumn("__found", infer(F.col(description).cast("string"))).select(*keep, "__found.*")
