@@ -15,10 +15,15 @@ from chromaframe.llm.base import text_of
 PIECES = "start long, length long, tokens long, sequence_id long, offset long, sequence_tokens long, ids binary"
 
 
+#: A word of Latin letters, perhaps with signs after it: its ids are those of the lower-case letters and of the signs.
+SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?&$#*%)\\]-]*)")
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, word by word with a bounded memory of words.
 
     Words are cut at ASCII white space, which the tokenizer drops, so a text's ids are its words' ids.
+    The tokenizer lower-cases and parts letters from signs, so forms of one word are learned once.
     """
 
     def __init__(self, path: str, end_id: int, remember: int = 700_000):
@@ -30,11 +35,15 @@ class Encoder:
         self.mark = next((t.content for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items(), reverse=True) if t.special), None)
         self.mark_id = self.tokenizer.token_to_id(self.mark) if self.mark else None
         self.odd = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closes[i] = token.endswith("</w>")
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
+        """Words with letters and signs in any order: each between two special tokens."""
         if self.mark:
             plain = [w for w in words if not self.odd.search(w)]
             for at in range(0, len(plain), 4000):
@@ -47,6 +56,30 @@ class Encoder:
             if w not in self.known:
                 self.known[w] = self._ids(w)
 
+    def learn_stems(self, stems: list[str]) -> None:
+        """Words of small letters: each ends with the token that closes it."""
+        for at in range(0, len(stems), 4000):
+            some = stems[at:at + 4000]
+            ids = self._ids(" ".join(some))
+            ends = ((np.flatnonzero(self.closes[np.frombuffer(ids, "<u4")]) + 1) * 4).tolist()
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                self.learn(some)  # a tokenizer with other word ends
+                continue
+            self.known.update((w, ids[a:b]) for w, a, b in zip(some, [0, *ends], ends))
+
+    def learn_forms(self, words: list[str]) -> None:
+        forms, others = [], []
+        for w in words:
+            m = SIMPLE.fullmatch(w)
+            if m:
+                forms.append((w, m[1].lower(), m[2]))
+            else:
+                others.append(w)
+        known = self.known
+        self.learn([*others, *{sign for _, _, sign in forms if sign and sign not in known}])
+        self.learn_stems(list({stem for _, stem, _ in forms if stem not in known}))
+        known.update((w, known[stem] + known[sign] if sign else known[stem]) for w, stem, sign in forms)
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; words not seen before are encoded together."""
         # str.split also cuts at four separators that the tokenizer keeps.
@@ -56,13 +89,24 @@ class Encoder:
         known = self.known
         missing = {w for words in texts for w in words if w not in known}
         if missing:
-            self.learn(list(missing))
+            self.learn_forms(list(missing))
         return [b"".join(map(known.__getitem__, words)) + self.end for words in texts]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
 
+def worker_encoder(path: str, end_id: int) -> Encoder:
+    """One encoder a Python worker: tasks that follow each other keep its words."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("chromaframe_worker", types.ModuleType("chromaframe_worker")).__dict__
+    if (path, end_id) not in held:
+        held[path, end_id] = Encoder(path, end_id)
+    return held[path, end_id]
+
+
 class Lexical:
     """BM25 over the documents of a block; terms are token ids."""
 
@@ -180,16 +224,16 @@ def pack_styles(styles: DataFrame, tokenizer_path: str, style_key: str = "style_
     the end token alone; repeated rows and keys are documents of their own; other columns are ignored;
     an empty table gives no rows.
 
-    Shards are ranges of the texts' last word by spelling, then of the key, so texts with rare words in common
-    tend to meet, and one frequent word is still split. A shard is read in blocks of at most
+    Shards are ranges of a hash of one of the text's words, the one with the smallest hash, and then of the key: texts meet
+    as often as their word sets are alike, whatever their lengths, and one frequent word is still split. A shard is read in blocks of at most
     ``block_tokens`` tokens or ``block_docs`` texts (and one text more), each with its own inverted index;
     the open window goes on into the next block. A shard's last window is cut into powers of two,
     which need no padding. Sequence numbers start from the shard's number times 2^32.
     """
     rows = styles.select(F.col(style_key).alias("key"), text_of(description).alias("text"))
-    # Only the dealing uses this; whatever it is, every token is packed.
-    word = F.array_max(F.split("text", " "))
-    rows = rows.withColumns({"__word": F.substring(word, 1, 24), "__mix": F.xxhash64("key", "text")})
+    # Only the dealing uses this; whatever it is, every token is packed. The second hash frees it from the text's length.
+    least = F.array_min(F.transform(F.split("text", " "), lambda w: F.xxhash64(w)))
+    rows = rows.withColumns({"__word": F.xxhash64(least, F.lit(5)), "__mix": F.xxhash64("key", "text")})
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     shards = rows.repartitionByRange(max(1, -(-size // shard_bytes)), "__word", "__mix").sortWithinPartitions("__word", "__mix", "key")
     key_type = rows.schema["key"].dataType.simpleString()
@@ -197,7 +241,7 @@ def pack_styles(styles: DataFrame, tokenizer_path: str, style_key: str = "style_
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encoder, windows = Encoder(tokenizer_path, end_id), Windows(window, TaskContext.get().partitionId() << 32)
+        encoder, windows = worker_encoder(tokenizer_path, end_id), Windows(window, TaskContext.get().partitionId() << 32)
 
         def handfuls(part):
             """Texts of about a million characters at a time, and one text more."""
