@@ -185,17 +185,18 @@ def zero_shot_label(vectors: DataFrame, prototypes: DataFrame, id_col: str = "it
     return d.select(id_col, (-F.col("best")["neg"]).alias("label_id"), (F.lit(1.0) / F.col("mass")).alias("probability"))
 
 
-def resolve_overrides(assignments: DataFrame, profiles: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
+def resolve_overrides(assignments: DataFrame, profiles: DataFrame, keys: Sequence[str] = ("page_id",),
+                      profile_keys: Sequence[str] = ("char_id",)) -> DataFrame:
     """Colour per (character, attribute) over locked or forced rows, one row per distinct region.
 
-    The assignment's colour, else the profile's (columns ``hair_hex``, ``eyes_hex``); the
-    last forced row wins, else the first row, in ``ord`` order.
+    The assignment's colour, else the profile's (columns ``hair_hex``, ``eyes_hex``; found by ``profile_keys``, with
+    ``book_id`` among them where a library holds several books); the last forced row wins, else the first row, in ``ord`` order.
     """
     keys = list(keys)
     a = assignments.where(F.col("attribute").isin("hair", "eyes") & (F.col("lock_allowed") | F.col("forced"))
                           & F.col("char_id").isNotNull())
-    p = measured_broadcast(profiles.select("char_id", "hair_hex", "eyes_hex"))
-    d = a.join(p, "char_id", "left").withColumn("color", F.coalesce(
+    p = measured_broadcast(profiles.select(*profile_keys, "hair_hex", "eyes_hex"))
+    d = a.join(p, list(profile_keys), "left").withColumn("color", F.coalesce(
         "color", F.when(F.col("attribute") == "eyes", F.col("eyes_hex")).otherwise(F.col("hair_hex"))))
     d = d.where(C.hex_channel("color", 0).isNotNull())
     group = [*keys, "char_id", "attribute"]

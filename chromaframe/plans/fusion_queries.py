@@ -79,7 +79,7 @@ def _(t):
 _FUSE = f"""
 WITH {_PRIO}, w AS (SELECT source, CASE source WHEN 0 THEN 2.2 WHEN 1 THEN 1.8 WHEN 2 THEN 1.25 ELSE 1.45 END AS weight FROM votes GROUP BY 1),
 g AS (SELECT item_id, truth AS class_id FROM truth WHERE truth <> 255 AND item_id % 4 = 0),
-s AS (SELECT item_id, v.class_id, sum(prob * weight) AS s, max(prob) AS p FROM votes v JOIN w ON v.source = w.source WHERE prob > 0.6 OR v.item_id % 3 = 0 GROUP BY 1, 2),
+s AS (SELECT item_id, v.class_id, sum(prob * weight) AS s, max(prob) AS p FROM votes v JOIN w ON v.source = w.source GROUP BY 1, 2),
 a AS (SELECT coalesce(s.item_id, g.item_id) AS item_id, coalesce(s.class_id, g.class_id) AS class_id, coalesce(s, 0) + CASE WHEN g.class_id IN (3, 4, 5) THEN 18.0 WHEN g.class_id IS NOT NULL THEN 8.0 ELSE 0 END AS s,
    greatest(coalesce(p, 0), CASE WHEN g.class_id IS NOT NULL THEN 1.0 ELSE 0 END) AS p FROM s FULL JOIN g ON s.item_id = g.item_id AND s.class_id = g.class_id),
 n AS (SELECT item_id FROM g WHERE class_id IN (3, 4, 5)),
@@ -100,7 +100,7 @@ def _(t):
     weight = F.when(F.col("source") == 0, 2.2).when(F.col("source") == 1, 1.8).when(F.col("source") == 2, 1.25).otherwise(1.45)
     weights = t.votes.select("source").distinct().withColumn("weight", weight)
     gold = t.truth.where("truth <> 255 AND item_id % 4 = 0").select("item_id", F.col("truth").alias("class_id"))
-    d = U.fuse_votes(t.votes.where("prob > 0.6 OR item_id % 3 = 0"), weights, gold, 1, [3, 4, 5], [0, 9], _priority(t), n_classes=10)
+    d = U.fuse_votes(t.votes, weights, gold, 1, [3, 4, 5], [0, 9], _priority(t), n_classes=10)
     return d.select("item_id", "label", "promoted", r6("top_score", "top_score"), r6("margin", "margin"), r6("top_probability", "top_probability"))
 
 
@@ -123,11 +123,14 @@ def _(t):
     return U.replay_selection(t.edit_log)
 
 
+# Pages without any cue (every ninth) keep their regions; they fall back on priors.
 _EV = """
-SELECT page_id, region_id, CAST((region_id * 37 + page_id) % 101 AS DOUBLE) / 100 AS sem_hair, CAST((region_id * 53 + page_id * 3) % 67 AS DOUBLE) / 100 AS sem_eye,
-  CAST((region_id * 29 + page_id * 7) % 100 AS DOUBLE) / 100 AS sem_fg, CAST((region_id * 71 + page_id) % 100 AS DOUBLE) / 100 AS sem_bg, label AS clip_label, conf AS clip_conf,
+SELECT page_id, region_id, CASE WHEN page_id % 9 = 2 THEN 0 ELSE CAST((region_id * 37 + page_id) % 101 AS DOUBLE) / 100 END AS sem_hair,
+  CASE WHEN page_id % 9 = 2 THEN 0 ELSE CAST((region_id * 53 + page_id * 3) % 67 AS DOUBLE) / 100 END AS sem_eye,
+  CAST((region_id * 29 + page_id * 7) % 100 AS DOUBLE) / 100 AS sem_fg, CASE WHEN page_id % 9 = 2 THEN 0 ELSE CAST((region_id * 71 + page_id) % 100 AS DOUBLE) / 100 END AS sem_bg,
+  CASE WHEN page_id % 9 = 2 THEN 'skin' ELSE label END AS clip_label, conf AS clip_conf,
   0.6 + CAST((region_id * 13 + page_id) % 40 AS DOUBLE) / 100 AS sim_hair, 0.6 + CAST((region_id * 17 + page_id) % 40 AS DOUBLE) / 100 AS sim_eye,
-  region_id % 7 = 0 AS touches_border, frac * 10 AS area_ratio FROM regions WHERE page_id % 9 <> 2 OR label = 'skin'"""
+  region_id % 7 = 0 AS touches_border, frac * 10 AS area_ratio FROM regions"""
 
 
 @query("fuse_region_evidence", f"""

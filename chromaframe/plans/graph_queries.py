@@ -9,15 +9,16 @@ from chromaframe.plans.registry import query
 
 
 @query("connected_components", """
-WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey + p_size AS b FROM part WHERE p_size % 3 = 0 AND p_partkey + p_size <= (SELECT max(p_partkey) FROM part)),
+WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey - p_partkey % 100 + (p_partkey + p_size * 10) % 100 AS b FROM part WHERE p_partkey - p_partkey % 100 + (p_partkey + p_size * 10) % 100 IN (SELECT p_partkey FROM part)),
 u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 c(id, component) USING KEY (id) AS (SELECT p_partkey, p_partkey FROM part
   UNION (SELECT n.id, min(l.component) FROM c l JOIN u ON l.id = u.a JOIN recurring.c n ON n.id = u.b GROUP BY n.id, n.component HAVING min(l.component) < n.component))
 SELECT id, component FROM c""")
 def _(t):
-    top = t.part.agg(F.max("p_partkey")).scalar()
-    e = t.part.where("p_size % 3 = 0").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + F.col("p_size")).alias("dst"))
-    e = e.where(F.col("dst") <= top)
+    # Every part points at another of its hundred.
+    key = F.col("p_partkey")
+    e = t.part.select(key.alias("src"), (key - key % 100 + (key + F.col("p_size") * 10) % 100).alias("dst"))
+    e = e.join(t.part.select(key.alias("dst")), "dst", "left_semi")
     return G.connected_components(t.part.select(F.col("p_partkey").alias("id")), e)
 
 

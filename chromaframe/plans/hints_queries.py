@@ -42,11 +42,12 @@ def _(t):
 
 @query("override_by_region", """
 WITH o AS (SELECT page_id, region_id, max(seq) AS s FROM hints WHERE source = 'manual_region' AND region_id > 0 AND hint_id % 3 = 0 GROUP BY 1, 2)
-SELECT hint_id, 'auto' AS part FROM hints h WHERE source NOT IN ('manual', 'manual_region') AND NOT EXISTS (SELECT 1 FROM o WHERE o.page_id = h.page_id AND o.region_id = h.region_id)
+SELECT hint_id, 'auto' AS part FROM hints h WHERE NOT (source = 'manual_region' AND hint_id % 3 = 0) AND NOT EXISTS (SELECT 1 FROM o WHERE o.page_id = h.page_id AND o.region_id = h.region_id)
 UNION ALL SELECT s, 'region' FROM o""")
 def _(t):
-    auto = t.hints.where(~F.col("source").isin("manual", "manual_region"))
-    kept, last = H.override_by_region(auto, t.hints.where("source = 'manual_region' AND hint_id % 3 = 0"))
+    # Every hint has a role: a third of the region hints override, all others stand as automatic ones.
+    override = (F.col("source") == "manual_region") & (F.col("hint_id") % 3 == 0)
+    kept, last = H.override_by_region(t.hints.where(~override), t.hints.where(override))
     return kept.select("hint_id", F.lit("auto").alias("part")).unionByName(last.select("hint_id", F.lit("region").alias("part")))
 
 
@@ -95,7 +96,8 @@ _COMPOSE = f"""
 WITH m AS (SELECT * REPLACE (least(1.0, strength * CAST(1.13 AS DOUBLE)) AS strength, greatest(0.0005, radius_norm * CAST(1.31 AS DOUBLE)) AS radius_norm) FROM hints WHERE source IN ('manual', 'manual_region') AND hint_id % 4 = 0),
 ov AS (SELECT page_id, region_id, max(seq) AS s FROM m WHERE source = 'manual_region' AND region_id > 0 GROUP BY 1, 2),
 pt AS (SELECT * FROM m WHERE NOT (source = 'manual_region' AND region_id > 0)),
-au AS (SELECT * FROM hints a WHERE source NOT IN ('manual', 'manual_region', 'style_only') AND strength * confidence > 0.01
+rest AS (SELECT * REPLACE (CASE WHEN source IN ('manual', 'manual_region') THEN 'auto_instance' ELSE source END AS source) FROM hints WHERE NOT (source IN ('manual', 'manual_region') AND hint_id % 4 = 0)),
+au AS (SELECT * FROM rest a WHERE source <> 'style_only' AND strength * confidence > 0.01
   AND NOT EXISTS (SELECT 1 FROM ov WHERE ov.page_id = a.page_id AND ov.region_id = a.region_id)
   AND NOT EXISTS (SELECT 1 FROM pt m WHERE m.page_id = a.page_id AND (a.x_norm - m.x_norm) * (a.x_norm - m.x_norm) + (a.y_norm - m.y_norm) * (a.y_norm - m.y_norm)
      <= greatest(0.012, a.radius_norm + m.radius_norm) * greatest(0.012, a.radius_norm + m.radius_norm))
@@ -106,8 +108,11 @@ au AS (SELECT * FROM hints a WHERE source NOT IN ('manual', 'manual_region', 'st
 @query("compose_hints", _COMPOSE + """
 SELECT hint_id, 'automatic' AS part FROM cp WHERE rn <= 120 UNION ALL SELECT s, 'region' FROM ov UNION ALL SELECT hint_id, 'manual' FROM pt""")
 def _(t):
-    manual = t.hints.where("source IN ('manual', 'manual_region') AND hint_id % 4 = 0")
-    return H.compose_hints(_autos(t), manual, _frac(t), 0.6).select("hint_id", "part")
+    # Manual hints that are not taken as such count as automatic ones, so every hint has a role.
+    by_hand = F.col("source").isin("manual", "manual_region")
+    manual = by_hand & (F.col("hint_id") % 4 == 0)
+    autos = t.hints.where(~manual).withColumn("source", F.when(by_hand, "auto_instance").otherwise(F.col("source")))
+    return H.compose_hints(autos, t.hints.where(manual), _frac(t), 0.6).select("hint_id", "part")
 
 
 @query("expand_region_hints", """

@@ -100,21 +100,21 @@ def _(t):
 
 
 @query("resolve_overrides", f"""
-WITH pf AS (SELECT char_id, {hex_sql('hair_r', 'hair_g', 'hair_b')} AS hh, {hex_sql('hair_b', 'hair_r', 'hair_g')} AS eh FROM profiles WHERE book_id = 0),
+WITH pf AS (SELECT book_id, char_id, {hex_sql('hair_r', 'hair_g', 'hair_b')} AS hh, {hex_sql('hair_b', 'hair_r', 'hair_g')} AS eh FROM profiles),
 a AS (SELECT page_id % 9 AS page_id, a.char_id, attribute, region_id, forced, page_id * 100 + region_id AS ord,
      coalesce(CASE WHEN region_id % 3 <> 0 THEN {hex_sql('t_r', 't_g', 't_b')} END, CASE WHEN attribute = 'eyes' THEN eh ELSE hh END) AS color
-   FROM assignments a LEFT JOIN pf ON a.char_id = pf.char_id WHERE attribute IN ('hair', 'eyes') AND (lock_allowed OR forced)),
+   FROM assignments a LEFT JOIN pf ON a.char_id = pf.char_id AND a.page_id % 3 = pf.book_id WHERE attribute IN ('hair', 'eyes') AND (lock_allowed OR forced)),
 k AS (SELECT *, row_number() OVER (PARTITION BY page_id, char_id, attribute ORDER BY forced DESC, CASE WHEN forced THEN -ord ELSE ord END) AS rn FROM a WHERE color IS NOT NULL)
 SELECT DISTINCT a.page_id, a.char_id, a.attribute, a.region_id, k.color AS target FROM a JOIN k ON a.page_id = k.page_id AND a.char_id = k.char_id
   AND a.attribute = k.attribute AND k.rn = 1 WHERE a.color IS NOT NULL""".replace("SELECT page_id % 9 AS page_id", "SELECT a.page_id % 9 AS page_id"))
 def _(t):
-    pf = t.profiles.where("book_id = 0").select("char_id", C.rgb_to_hex("hair_r", "hair_g", "hair_b").alias("hair_hex"),
+    pf = t.profiles.select("book_id", "char_id", C.rgb_to_hex("hair_r", "hair_g", "hair_b").alias("hair_hex"),
                                                 C.rgb_to_hex("hair_b", "hair_r", "hair_g").alias("eyes_hex"))
     a = t.assignments.select(
-        (F.col("page_id") % 9).alias("page_id"), "char_id", "attribute", "region_id", "lock_allowed", "forced",
+        (F.col("page_id") % 9).alias("page_id"), (F.col("page_id") % 3).alias("book_id"), "char_id", "attribute", "region_id", "lock_allowed", "forced",
         (F.col("page_id") * 100 + F.col("region_id")).alias("ord"),
         F.when(F.col("region_id") % 3 != 0, C.rgb_to_hex("t_r", "t_g", "t_b")).alias("color"))
-    return I.resolve_overrides(a, pf)
+    return I.resolve_overrides(a, pf, profile_keys=("book_id", "char_id"))
 
 
 @query("choose_color_source", f"""
