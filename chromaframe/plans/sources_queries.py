@@ -92,6 +92,86 @@ def _(t):
     return hints.unionByName(forced).unionByName(chars)
 
 
+_PIECES = """
+c AS (SELECT conv_id AS project_id, turn, role, text FROM conversations),
+h AS (SELECT project_id, CAST(unnest(generate_series(0, turn % 3)) AS INT) AS hint_ord FROM c),
+pt AS (SELECT project_id, 'pages' AS part, count(*) AS n FROM c GROUP BY 1 UNION ALL SELECT project_id, 'hints', count(*) FROM h GROUP BY 1
+  UNION ALL SELECT project_id, 'characters', count(DISTINCT turn % 2) FROM c GROUP BY 1 UNION ALL SELECT project_id, 'settings', 1 FROM c GROUP BY 1),
+pc AS (SELECT project_id, part, unnest(range(CAST(ceil(n / 3.0) AS BIGINT))) AS piece, n FROM pt)"""
+
+
+@query("project_pieces", f"""
+WITH {_PIECES}
+SELECT project_id, part, piece, CAST(least(3, n - 3 * piece) AS BIGINT) AS "rows", 'ok' AS state FROM pc
+UNION ALL SELECT project_id, 'manifest', 0, CAST(sum(n) AS BIGINT), 'ok' FROM pt GROUP BY project_id""")
+def _(t):
+    pieces = PJ.save_pieces(*_project_tables(t), size=3)
+    return pieces.join(PJ.piece_states(pieces), "project_id").select("project_id", "part", "piece", "rows", "state")
+
+
+@query("load_project_pieces", """
+WITH c AS (SELECT conv_id AS project_id, turn, role, text FROM conversations), h AS (SELECT *, CAST(unnest(generate_series(0, turn % 3)) AS INT) AS hint_ord FROM c)
+SELECT 'page' AS part, project_id, CAST(turn AS INT) AS a, CAST(turn * 7 AS INT) AS b, CAST(project_id % 24 AS DOUBLE) AS v, '/books/' || project_id || '/page_' || turn || '.png' AS s,
+  text || CASE WHEN turn % 2 = 0 THEN 'ai.png' ELSE '' END AS t FROM c
+UNION ALL SELECT 'hint', project_id, CAST(turn AS INT), hint_ord, hint_ord / CAST(4 AS DOUBLE) + 0.5 * (length(text) % 256), CASE WHEN role = 'user' THEN 'manual' ELSE 'auto' END, 'manual' FROM h
+UNION ALL SELECT 'character', project_id, CAST(turn % 2 AS INT), CAST(count(*) AS INT), 0, 'c' || count(*), '#112233' FROM c GROUP BY project_id, turn % 2
+UNION ALL SELECT 'setting', project_id, NULL, NULL, 0, 'turns', CAST(max(turn) AS VARCHAR) FROM c GROUP BY project_id""")
+def _(t):
+    tables = _project_tables(t)
+    ddl = lambda d: ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in d.schema if f.name != "project_id")
+    d = PJ.load_pieces(PJ.save_pieces(*tables, size=3), dict(zip(("pages", "hints", "characters", "settings"), map(ddl, tables))))
+    nil, none = F.lit(None).cast("int"), F.lit(0.0)
+    anchor = F.map_keys("forced_character_matches")[0]
+    pages = d["pages"].select(F.lit("page").alias("part"), "project_id", F.col("page_ord").alias("a"), anchor.cast("int").alias("b"),
+                              F.map_values("forced_character_matches")[0].cast("double").alias("v"), F.col("path").alias("s"),
+                              F.concat(F.try_element_at("diagnostics", F.lit("text")), F.coalesce("ai_result", F.lit(""))).alias("t"))
+    hints = d["hints"].select(F.lit("hint").alias("part"), "project_id", F.col("page_ord").alias("a"), F.col("hint_ord").alias("b"),
+                              (F.col("x_norm") + F.col("y_norm") * F.get("rgb", F.lit(2))).alias("v"), F.col("kind").alias("s"), F.col("source").alias("t"))
+    chars = d["characters"].select(F.lit("character").alias("part"), "project_id", F.col("char_id").alias("a"), F.substring("name", 2, 9).cast("int").alias("b"), none.alias("v"),
+                                   F.col("name").alias("s"), F.try_element_at("colors", F.lit("hair")).alias("t"))
+    settings = d["settings"].select(F.lit("setting").alias("part"), "project_id", nil.alias("a"), nil.alias("b"), none.alias("v"), F.col("key").alias("s"), F.col("value").alias("t"))
+    return pages.unionByName(hints).unionByName(chars).unionByName(settings)
+
+
+_GRID = """
+g AS (SELECT page_id, CAST(i % 32 AS INT) AS x, CAST(i // 32 AS INT) AS y FROM (SELECT DISTINCT page_id FROM px) p, range(1024) r(i)),
+full_px AS (SELECT g.page_id, g.x, g.y, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM g LEFT JOIN px ON px.page_id = g.page_id AND px.x = g.x AND px.y = g.y)"""
+_GRAY = "CAST(floor((299 * r + 587 * full_px.g + 114 * b + 500) / 1000.0) AS INT) AS gray, r, full_px.g AS g, b"
+
+
+@query("explode_pixels", f"WITH {_GRID} SELECT page_id, x, y, {_GRAY} FROM full_px")
+def _(t):
+    return PG.explode_pixels(PG.pack_pixels(t.px, 32, 32))
+
+
+def _containers(t):
+    """Raw rasters of four pages each; every seventh page has no header, which hides those behind it, and some last ones are cut short."""
+    raw = F.concat(F.encode(F.lit("P6\n# page\n32 32\n255\n"), "US-ASCII"), F.col("image.data"))
+    cut = F.when(F.col("page_id") % 7 == 5, F.concat(F.encode(F.lit("lost"), "US-ASCII"), raw)).when(F.col("page_id") % 12 == 3, F.substring(raw, 1, 2000)).otherwise(raw)
+    page = PG.pack_pixels(t.px.select("page_id", "x", "y", F.col("b").alias("r"), "g", F.col("r").alias("b")), 32, 32).select("page_id", cut.alias("raw"))  # a raster has red first
+    files = page.groupBy(F.floor(F.col("page_id") / 4).alias("file")).agg(F.array_sort(F.collect_list(F.struct("page_id", "raw"))).alias("p"))
+    body = F.aggregate(F.col("p"), F.unhex(F.lit("")), lambda acc, v: F.concat(acc, v["raw"]))
+    return files.select(F.col("file").cast("string").alias("path"), F.col("p")["page_id"].alias("pages"), body.alias("content"))
+
+
+_READ = f"""{_GRID},
+pg AS (SELECT page_id, page_id // 4 AS file, row_number() OVER (PARTITION BY page_id // 4 ORDER BY page_id) - 1 AS nth FROM (SELECT DISTINCT page_id FROM px) z),
+bad AS (SELECT file, min(nth) AS first_bad, arg_min(CASE WHEN page_id % 7 = 5 THEN 'no raster' ELSE 'cut short' END, nth) AS reason FROM pg WHERE page_id % 7 = 5 OR page_id % 12 = 3 GROUP BY file)"""
+
+
+@query("read_rasters", f"WITH {_READ} SELECT full_px.page_id, x, y, {_GRAY} FROM full_px JOIN pg ON full_px.page_id = pg.page_id LEFT JOIN bad ON bad.file = pg.file WHERE nth < coalesce(first_bad, 9)")
+def _(t):
+    files = _containers(t)
+    good, _ = PG.read_rasters(files)
+    names = files.select("path", F.posexplode("pages").alias("nth", "page_id"))
+    return PG.explode_pixels(good.join(names, ["path", "nth"]))
+
+
+@query("rejected_rasters", f"WITH {_READ} SELECT CAST(file AS VARCHAR) AS path, CAST(first_bad AS INT) AS nth, reason FROM bad")
+def _(t):
+    return PG.read_rasters(_containers(t))[1].select("path", "nth", "reason")
+
+
 @query("migrate_style", """
 SELECT c_custkey, CASE WHEN coalesce(nullif(c_custkey % 6, 0), 1) < 4 THEN 4 ELSE CAST(c_custkey % 6 AS INT) END AS version,
   CASE WHEN c_custkey % 5 = 0 THEN 0.5 WHEN coalesce(nullif(c_custkey % 6, 0), 1) < 4 THEN 0.2 END AS ambience,

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from chromaframe.functions import color as C
 from chromaframe.functions.plugins import embed_with, map_pages
 from chromaframe.operators import stats as A
 from chromaframe.plans.registry import lab_cols, query
+from chromaframe.scale import ensure_checkpoint_dir
 from chromaframe.streaming import state as T
+from chromaframe.streaming.log import append_latest, read_latest
 
 
 @query("tone_memory")
@@ -85,6 +89,18 @@ def _(t):
     return T.page_status(_status(t))
 
 
+@query("status_log", f"""
+WITH s AS ({_STATUS}), k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY seq DESC) AS rn FROM s)
+SELECT page_id, status, message, seq FROM k WHERE rn = 1""")
+def _(t):
+    """The log as a stream would leave it: five commits by sequence number, compacted on the way."""
+    rows = _status(t)
+    path = f"{ensure_checkpoint_dir(t.spark)}/status-{uuid.uuid4().hex}"
+    for number in range(5):
+        append_latest(rows.where(F.floor(F.col("seq") / 500) % 5 == number), path, number, T.page_status, fan=3)
+    return read_latest(t.spark, path, T.page_status)
+
+
 @query("batch_totals", f"""
 WITH s AS ({_STATUS}), k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY seq DESC) AS rn FROM s), l AS (SELECT * FROM k WHERE rn = 1)
 SELECT count(*) AS pages, count(*) FILTER (WHERE status = 'done') AS done, count(*) FILTER (WHERE status = 'skipped') AS skipped,

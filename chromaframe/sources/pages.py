@@ -29,6 +29,67 @@ def scan_pages(spark: SparkSession, path: str, exts: Sequence[str] = IMAGE_EXTEN
     return rows.where("image.nChannels > 0"), rows.where("image.nChannels <= 0").select("path")
 
 
+#: Header of a raw page raster: kind (5 grey, 6 colour), width, height, largest value; comments run to the end of a line.
+RASTER_HEADER = rb"P([56])\s(?:\s*#[^\n]*\n)*\s*(\d{1,9})\s(?:\s*#[^\n]*\n)*\s*(\d{1,9})\s(?:\s*#[^\n]*\n)*\s*(\d{1,5})\s"
+
+
+def read_rasters(files: DataFrame, path: str = "path", content: str = "content") -> tuple[DataFrame, DataFrame]:
+    """Pages of raw raster containers (binary PGM and PPM, one image after another): path, nth, image; and what could not be read.
+
+    ``files`` comes from ``spark.read.format("binaryFile")`` or any table with bytes, so every store that Spark reads will do.
+    ``image`` has the columns of Spark's image source (blue, green, red). A broken image ends its container: what
+    came before is kept, and the rest is one row of path, nth and reason.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+
+        header = re.compile(RASTER_HEADER)
+        names = ["path", "nth", "height", "width", "nChannels", "data", "reason"]
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data, at, nth = memoryview(body.as_buffer() if body.is_valid else b""), 0, 0
+                while at < len(data) or nth == 0:
+                    m = header.match(data[at:at + 4096])
+                    row, reason = None, None
+                    if not m:
+                        reason = "no raster"
+                    elif int(m[4]) != 255:
+                        reason = "not 8 bits"
+                    else:
+                        c, w, h = 3 if m[1] == b"6" else 1, int(m[2]), int(m[3])
+                        start = at + m.end()
+                        if w * h == 0 or start + w * h * c > len(data):
+                            reason = "cut short"
+                        else:
+                            pixels = np.frombuffer(data[start:start + w * h * c], np.uint8).reshape(h, w, c)[..., ::-1]
+                            row = (h, w, c, pixels.tobytes())
+                            at = start + w * h * c
+                    values = [name, nth, *(row or (None,) * 4), reason]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in zip(values, kinds)], names=names)
+                    nth += 1
+                    if reason:
+                        break
+    rows = files.select(F.col(path).cast("string"), F.col(content)).mapInArrow(
+        run, "path string, nth int, height int, width int, nChannels int, data binary, reason string")
+    image = F.struct(F.col("path").alias("origin"), "height", "width", "nChannels", F.lit(16).alias("mode"), "data")
+    return rows.where("reason IS NULL").select("path", "nth", image.alias("image")), rows.where("reason IS NOT NULL").select("path", "nth", "reason")
+
+
+def pack_pixels(px: DataFrame, width: int, height: int, page_id: str = "page_id") -> DataFrame:
+    """Inverse of ``explode_pixels``: page_id and image; pixels that are missing are black. A page is one image, so its pixels meet in one row."""
+    black = [F.lit(0).alias(c) for c in "bgr"]
+    spots = px.select(page_id).distinct().select(page_id, F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"))
+    spots = spots.select(page_id, "y", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"), *black)
+    inside = F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)
+    full = px.where(inside).select(page_id, "y", "x", "b", "g", "r").unionByName(spots).groupBy(page_id, "y", "x").agg(*[F.max(c).alias(c) for c in "bgr"])
+    pixel = F.concat(*[F.lpad(F.hex(F.col(c).cast("long")), 2, "0") for c in "bgr"]).alias("bgr")
+    rows = full.groupBy(page_id).agg(F.array_sort(F.collect_list(F.struct("y", "x", pixel))).alias("__p"))
+    data = F.unhex(F.array_join(F.transform("__p", lambda v: v["bgr"]), ""))
+    image = F.struct(F.lit("").alias("origin"), F.lit(height).alias("height"), F.lit(width).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), data.alias("data"))
+    return rows.select(page_id, image.alias("image"))
+
+
 def explode_pixels(pages: DataFrame, page_id: str = "page_id", stride: int = 1) -> DataFrame:
     """One row per (sampled) pixel: page_id, x, y, gray, r, g, b. No shuffle.
 

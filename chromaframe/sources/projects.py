@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chromaframe import schema as SC
+from chromaframe.scale import cut_lineage, rank_within
 
 
-def parse_projects(docs: DataFrame, project: str, body: str) -> DataFrame:
-    """project, doc (typed), broken (true when the text is no project document)."""
-    d = docs.select(F.col(project), F.from_json(body, SC.PROJECT, {"mode": "PERMISSIVE"}).alias("doc"))
+def parse_projects(docs: DataFrame, project: str, body: str, *keep: str) -> DataFrame:
+    """project, the columns to keep, doc (typed), broken (true when the text is no project document)."""
+    d = docs.select(project, *keep, F.from_json(body, SC.PROJECT, {"mode": "PERMISSIVE"}).alias("doc"))
     return d.withColumn("broken", F.col("doc").isNull() | F.col("doc.version").isNull() & F.col("doc.pages").isNull())
 
 
@@ -28,9 +32,7 @@ def load_project(docs: DataFrame, project: str = "project_id", body: str = "body
     table prunes the parse to the fields it reads.
     """
     src = docs if base is None else docs.withColumn("__base", base)
-    d = parse_projects(src, project, body)
-    if base is not None:
-        d = d.join(src.select(project, "__base"), project)
+    d = parse_projects(src, project, body, *(["__base"] if base is not None else []))
     keep = [project] + (["__base"] if base is not None else [])
     root = F.col("__base") if base is not None else None
     p = d.select(*keep, F.posexplode("doc.pages").alias("page_ord", "page"))
@@ -99,6 +101,72 @@ def save_project(pages: DataFrame, hints: DataFrame | None = None, characters: D
     return doc.select(project, F.to_json(F.struct(*parts)).alias("body"))
 
 
+# --- projects in pieces -------------------------------------------------------
+
+#: Rows of a piece. A piece is a JSON array, a few hundred kilobytes of text at most in practice.
+PIECE_ROWS = 256
+#: How the rows of each part follow each other.
+PARTS = {"pages": ("page_ord",), "hints": ("page_ord", "kind", "hint_ord"), "characters": ("char_id",), "settings": ("key",)}
+
+
+def _range_of(part: str) -> Column:
+    """Grows with the order of the part and splits a large project, and a page with many hints, into ranges."""
+    if part == "hints":
+        return F.struct("page_ord", "kind", F.floor(F.col("hint_ord") / 4096).alias("range"))
+    if part == "settings":
+        return F.substring("key", 1, 2)
+    return F.floor(F.col("page_ord" if part == "pages" else "char_id") / 4096)
+
+
+def save_pieces(pages: DataFrame, hints: DataFrame | None = None, characters: DataFrame | None = None, settings: DataFrame | None = None,
+                project: str = "project_id", size: int = PIECE_ROWS) -> DataFrame:
+    """Projects as documents in pieces: ``project``, ``part``, ``piece``, ``rows``, ``crc``, ``body``.
+
+    A part's rows, in order, are cut into pieces of ``size``; each is a JSON array, so no row holds a
+    project or a page's hints, however large. The row of part ``manifest`` names every part with its rows, pieces and sum
+    of checksums. Columns are kept as they are; see ``load_pieces``.
+    """
+    out = []
+    for part, df in (("pages", pages), ("hints", hints), ("characters", characters), ("settings", settings)):
+        if df is None:
+            continue
+        ranked = rank_within(df, [project], list(PARTS[part]), _range_of(part))
+        fields = F.struct(*[c for c in df.columns if c != project])
+        rows = ranked.select(project, "rank", F.floor((F.col("rank") - 1) / size).alias("piece"), F.to_json(fields).alias("__row"))
+        texts = F.array_sort(F.collect_list(F.struct("rank", "__row")))  # at most ``size`` rows
+        body = F.concat(F.lit("["), F.array_join(F.transform(texts, lambda r: r["__row"]), ","), F.lit("]"))
+        out.append(rows.groupBy(project, "piece").agg(F.count(F.lit(1)).alias("rows"), body.alias("body")).select(
+            project, F.lit(part).alias("part"), "piece", "rows", F.crc32("body").alias("crc"), "body"))
+    pieces = cut_lineage(reduce(DataFrame.unionByName, out))
+    sums = pieces.groupBy(project, "part").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("pieces"), F.sum("crc").alias("crc"))
+    listed = F.array_sort(F.collect_list(F.struct("part", "rows", "pieces", "crc")))  # at most four parts
+    manifest = sums.groupBy(project).agg(F.to_json(F.struct(F.lit(3).alias("version"), listed.alias("parts"))).alias("body"), F.sum("rows").alias("rows"))
+    manifest = manifest.select(project, F.lit("manifest").alias("part"), F.lit(0).cast("long").alias("piece"), "rows", F.crc32("body").alias("crc"), "body")
+    return pieces.unionByName(manifest)
+
+
+def piece_states(pieces: DataFrame, project: str = "project_id") -> DataFrame:
+    """``project`` and ``state``: ok, incomplete (a part does not add up to its manifest) or no manifest."""
+    parts = "struct<version: int, parts: array<struct<part: string, rows: bigint, pieces: bigint, crc: bigint>>>"
+    want = pieces.where("part = 'manifest'").select(project, F.inline(F.from_json("body", parts)["parts"]))
+    sound = F.crc32("body") == F.col("crc")
+    have = pieces.where("part <> 'manifest'").groupBy(project, "part").agg(
+        F.sum("rows").alias("h_rows"), F.count(F.lit(1)).alias("h_pieces"), F.sum("crc").alias("h_crc"), F.bool_and(sound).alias("sound"))
+    met = want.join(have, [project, "part"], "full")
+    fits = F.coalesce((F.col("rows") == F.col("h_rows")) & (F.col("pieces") == F.col("h_pieces")) & (F.col("crc") == F.col("h_crc")) & F.col("sound"), F.lit(False))
+    state = met.groupBy(project).agg(F.bool_and(fits).alias("__fits"), F.bool_or(F.col("rows").isNotNull()).alias("__named"))
+    return state.select(project, F.when(~F.col("__named"), "no manifest").when(F.col("__fits"), "ok").otherwise("incomplete").alias("state"))
+
+
+def load_pieces(pieces: DataFrame, schemas: Mapping[str, str], project: str = "project_id") -> dict[str, DataFrame]:
+    """The tables of a document in pieces; ``schemas`` has the columns of each part, without the project, as DDL.
+
+    Every piece is parsed on its own; which pieces a table needs is a filter on ``part``.
+    """
+    read = lambda part, ddl: pieces.where(F.col("part") == part).select(project, F.inline(F.from_json("body", f"array<struct<{ddl}>>")))
+    return {part: read(part, ddl) for part, ddl in schemas.items()}
+
+
 def _notes(*parts: Column) -> Column:
     return F.filter(F.array(*parts), lambda v: v.isNotNull())
 

@@ -1,6 +1,7 @@
 """Files written by the test, and the naming, document and fragment rules."""
 
 import base64
+import json
 import os
 import random
 import re
@@ -48,6 +49,31 @@ def test_scan_and_explode(spark, tmp_path):
     assert sorted((r.x, r.y) for r in thin) == [(x, y) for x in (0, 2, 4, 6) for y in (0, 2, 4)]
 
 
+def test_raster_containers(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    colour, grey = rng.integers(0, 256, (5, 7, 3), dtype=np.uint8), rng.integers(0, 256, (4, 3), dtype=np.uint8)
+    p6 = b"P6\n# by hand\n7 5\n255\n" + colour.tobytes()
+    p5 = b"P5 3 4 255\n" + grey.tobytes()
+    (tmp_path / "two.ppm").write_bytes(p6 + p5)
+    (tmp_path / "cut.ppm").write_bytes(p5 + p6[:-1])
+    (tmp_path / "deep.pgm").write_bytes(b"P5 1 1 65535\n\0\0")
+    (tmp_path / "text.pgm").write_bytes(b"no raster at all")
+    (tmp_path / "huge.pgm").write_bytes(b"P5 999999999 999999999 255\n12")
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select(PG.file_of(F.col("path")).alias("path"), "content")
+    files = files.unionByName(spark.createDataFrame([("empty.pgm", bytearray(b"")), ("none.pgm", None)], "path string, content binary"))
+    good, bad = PG.read_rasters(files)
+    assert sorted(map(tuple, bad.collect())) == [("cut.ppm", 1, "cut short"), ("deep.pgm", 0, "not 8 bits"), ("empty.pgm", 0, "no raster"),
+                                                 ("huge.pgm", 0, "cut short"), ("none.pgm", 0, "no raster"), ("text.pgm", 0, "no raster")]
+    px = PG.explode_pixels(good.withColumn("page_id", F.concat("path", F.lit("/"), "nth"))).collect()
+    got = {(r.page_id, r.x, r.y): (r.r, r.g, r.b) for r in px}
+    want = {("two.ppm/0", x, y): tuple(int(v) for v in colour[y, x]) for y in range(5) for x in range(7)}
+    want |= {(n, x, y): (int(grey[y, x]),) * 3 for n in ("two.ppm/1", "cut.ppm/0") for y in range(4) for x in range(3)}
+    assert got == want
+    page = spark.createDataFrame(px).where("page_id = 'two.ppm/0' AND NOT (x = 2 AND y = 1)")
+    again = {(r.x, r.y): (r.r, r.g, r.b) for r in PG.explode_pixels(PG.pack_pixels(page, 7, 5)).collect()}
+    assert again == {k[1:]: (0, 0, 0) if k[1:] == (2, 1) else v for k, v in want.items() if k[0] == "two.ppm/0"}
+
+
 def test_natural_order(spark):
     names = ["page10.png", "page2.png", "Page1.png", "page02b.png", "2.png", "10.png", "a.png", "page.png", "page2a10.png", "page2a9.png"]
     rows = [(f"/x/{n}",) for n in names] + [("/b/z1.png",), ("/b/z12.png",), ("/b/z3.png",)]
@@ -90,6 +116,32 @@ def test_project_round_trip(spark):
     assert sorted(r.project_id for r in broken.collect()) == [7, 8]
 
 
+def test_projects_in_pieces(spark):
+    """One project has a third of all pages, and one of its pages a third of all hints."""
+    rnd = random.Random(6)
+    pages = [(0, i, f"/b/0/{i}.png", None if i % 3 else "ai") for i in range(60)] + [(p, i * 9000, f"/b/{p}/{i}", "x\"y") for p in range(1, 31) for i in range(4)]
+    hints = [(0, 5, k, i, i / 7.0) for k in ("auto", "manual") for i in range(40)] + [(p, 0, "manual", i, 0.5) for p in range(1, 31) for i in range(5)]
+    chars = [(p, c, f"n{c}") for p in range(0, 31, 2) for c in range(3)]
+    settings = [(p, k, str(p)) for p in range(31) for k in ("width", "mode")]
+    for rows in (pages, hints, chars, settings):
+        rnd.shuffle(rows)
+    ddl = {"pages": "page_ord int, path string, ai_result string", "hints": "page_ord int, kind string, hint_ord int, x_norm double",
+           "characters": "char_id int, name string", "settings": "key string, value string"}
+    tables = [spark.createDataFrame(rows, "project_id int, " + d) for rows, d in zip((pages, hints, chars, settings), ddl.values())]
+    pieces = PJ.save_pieces(*tables, size=7)
+    assert pieces.where("rows > 7 AND part <> 'manifest'").count() == 0
+    back = PJ.load_pieces(pieces, {k: v.replace(" ", ": ").replace(",:", ",") for k, v in ddl.items()})
+    for (part, rows) in zip(ddl, (pages, hints, chars, settings)):
+        assert sorted(map(tuple, back[part].collect()), key=str) == sorted(rows, key=str)
+    bodies = pieces.where("project_id = 0 AND part = 'pages'").orderBy("piece").collect()
+    assert [q["page_ord"] for b in bodies for q in json.loads(b.body)] == list(range(60))
+    assert {r.state for r in PJ.piece_states(pieces).collect()} == {"ok"}
+    hurt = pieces.where("NOT (project_id = 0 AND part = 'pages' AND piece = 3) AND NOT (project_id = 2 AND part = 'manifest')")
+    hurt = hurt.withColumn("body", F.when((F.col("project_id") == 4) & (F.col("part") == "settings"), "[]").otherwise(F.col("body")))
+    states = {r.project_id: r.state for r in PJ.piece_states(hurt).collect()}
+    assert states == {p: {0: "incomplete", 2: "no manifest", 4: "incomplete"}.get(p, "ok") for p in range(31)}
+
+
 def test_fragments(spark):
     data = bytes(range(256)) * 3
     text = base64.b64encode(data).decode()

@@ -1,5 +1,6 @@
 """The same rules as batch and as stream, late rows, and the status upsert."""
 
+import os
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chromaframe.streaming import runner as R
 from chromaframe.streaming import state as T
+from chromaframe.streaming.log import append_latest, commits, manifest
 
 LOG = "page_id int, seq long, kind string, payload int"
 
@@ -70,6 +72,19 @@ def test_batch_result_does_not_depend_on_partitions(spark, parts):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
+def test_a_page_may_be_cut_by_a_batch(spark, tmp_path):
+    rnd = random.Random(2)
+    rows = sorted((1, "hair", s, i, float(rnd.randrange(256))) for s in range(4) for i in range(5))
+    schema = "book_id int, label string, seq long, region_id int, mean_gray double"
+    rule = T.tone_memory_rule()
+    order = sorted(range(len(rows)), key=lambda k: [dict(zip(("book_id", "label", "seq", "region_id", "mean_gray"), rows[k]))[c] for c in rule.order])
+    df = spark.createDataFrame([(*rows[k], n) for n, k in enumerate(order)], schema + ", nth int")
+    st = _stream(spark, tmp_path, df, ["nth < 7", "nth >= 7 AND nth < 13", "nth >= 13"], schema + ", nth int")
+    got = _run(spark, R.stream_rule(rule, st), "cut_stream", tmp_path)
+    assert got.where("late").count() == 0
+    assert sorted(map(tuple, got.drop("late").collect())) == sorted(map(tuple, T.run_batch(rule, df).collect()))
+
+
 def test_status_upsert(spark, tmp_path):
     rows = [(p, s, ["done", "skipped", "error"][(p + s) % 3], f"m{s}") for s in range(30) for p in [s % 6]]
     schema = "page_id int, seq long, status string, message string"
@@ -78,6 +93,31 @@ def test_status_upsert(spark, tmp_path):
     out = str(tmp_path / "status")
     q = R.upsert_status(st, out, str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    last = spark.read.parquet(f"{out}/version=1")
+    assert q.exception() is None
+    last = R.read_status(spark, out)
     assert sorted(map(tuple, last.select("page_id", "status", "message", "seq").collect())) == sorted(
         map(tuple, T.page_status(df).collect()))
+
+
+def test_status_log_writes_what_changed(spark, tmp_path):
+    out, schema = str(tmp_path / "log"), "page_id int, seq long, status string, message string"
+    first = [(p, 0, "done", "first") for p in range(500)]
+    later = [[(7, s, "error", f"m{s}"), (1000 + s, s, "done", None), (7, s - 1, "done", "older")] for s in range(1, 8)]
+    put = lambda rows, n: append_latest(spark.createDataFrame(rows, schema), out, n, T.page_status, buckets=2, fan=3)
+    want = {}
+    for n, rows in enumerate([first, *later]):
+        put(rows, n)
+        if n in (3, 5):
+            put(rows, n)  # a batch that is run again
+        for p, s, status, message in rows:
+            if p not in want or want[p][1] <= s:
+                want[p] = (p, s, status, message)
+        got = R.read_status(spark, out).select("page_id", "seq", "status", "message").collect()
+        assert sorted(map(tuple, got)) == sorted(want.values())
+        sizes = {r["name"]: r["rows"] for r in manifest(spark, out, n)}
+        assert sizes.get(f"delta-{n}", 2) == (500 if n == 0 else 2) and len(sizes) <= 3
+        kept = {d for d in os.listdir(out) if not d.startswith(".")} - {"manifest"}
+        before = {r["name"] for r in manifest(spark, out, n - 1)} if n else set()
+        assert kept == set(sizes) | before and commits(spark, out) == ([n - 1, n] if n else [0])
+    append_latest(spark.createDataFrame([], schema), out, 8, T.page_status, buckets=2, fan=3)
+    assert R.read_status(spark, out).count() == len(want)
