@@ -224,16 +224,16 @@ def pack_styles(styles: DataFrame, tokenizer_path: str, style_key: str = "style_
     the end token alone; repeated rows and keys are documents of their own; other columns are ignored;
     an empty table gives no rows.
 
-    Shards are ranges of a hash of one of the text's words, the one with the smallest hash, and then of the key: texts meet
-    as often as their word sets are alike, whatever their lengths, and one frequent word is still split. A shard is read in blocks of at most
+    Shards are ranges of a hash of the text's first word of seven letters or more, and then of the key: copies of a text
+    mostly meet, lengths do not matter, and one frequent word is still split. A shard is read in blocks of at most
     ``block_tokens`` tokens or ``block_docs`` texts (and one text more), each with its own inverted index;
     the open window goes on into the next block. A shard's last window is cut into powers of two,
     which need no padding. Sequence numbers start from the shard's number times 2^32.
     """
     rows = styles.select(F.col(style_key).alias("key"), text_of(description).alias("text"))
-    # Only the dealing uses this; whatever it is, every token is packed. The second hash frees it from the text's length.
-    least = F.array_min(F.transform(F.split("text", " "), lambda w: F.xxhash64(w)))
-    rows = rows.withColumns({"__word": F.xxhash64(least, F.lit(5)), "__mix": F.xxhash64("key", "text")})
+    # Only the dealing uses this; whatever it is, every token is packed. The first long word is found early in a text, and
+    # its hash, unlike a largest or smallest word, does not depend on how long the text is.
+    rows = rows.withColumns({"__word": F.xxhash64(F.regexp_extract("text", r"\p{L}{7,}", 0)), "__mix": F.xxhash64("key", "text")})
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     shards = rows.repartitionByRange(max(1, -(-size // shard_bytes)), "__word", "__mix").sortWithinPartitions("__word", "__mix", "key")
     key_type = rows.schema["key"].dataType.simpleString()
