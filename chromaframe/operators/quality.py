@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chromaframe.functions import color as C
+from chromaframe.operators.selection import exact_percentile
 from chromaframe.scale import cover_cells, point_cell
 
 HUE_BINS = 12
@@ -224,8 +225,10 @@ def _around(points: DataFrame, px: DataFrame, bound, core, ring, cell: int = 8)
 
 def blob_report(contrast: DataFrame, keys: Sequence[str] = ("page_id",), threshold: float = 14.0) -> DataFrame:
     """80th percentile of the page's contrasts, suspicious count, and the retry flag."""
-    s = contrast.groupBy(*keys).agg(F.expr("percentile(round(contrast, 4), 0.8)").alias("blob_score"),
-                                    F.count_if("suspicious").alias("suspicious"), F.count(F.lit(1)).alias("checked"))
+    rounded = contrast.withColumn("contrast", F.round("contrast", 4))
+    score = exact_percentile(rounded, keys, "contrast", 0.8, "blob_score")
+    s = contrast.groupBy(*keys).agg(F.count_if("suspicious").alias("suspicious"), F.count(F.lit(1)).alias("checked")).join(score, list(keys))
+    s = s.select(*keys, "blob_score", "suspicious", "checked")
     return s.withColumn("retry", (F.col("checked") >= 2) & (F.col("blob_score") >= threshold))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chromaframe.functions import color as C
 from chromaframe.functions.color import clip
+from chromaframe.operators.selection import exact_percentile
 from chromaframe.scale import cut_lineage, first_per_group
 
 PAGE = ("page_id",)
@@ -446,10 +447,12 @@ def circular_mean(df: DataFrame, keys: Sequence[str], hue: str = "hue", weight:
 def percentile_normalize(df: DataFrame, value: str, p: float = 97.0, keys=PAGE, approx: bool = False) -> DataFrame:
     """Divide by the page's p-th percentile and clip to 0..1; zero when the scale vanishes.
 
-    Exact for whole-number values with few levels; ``approx`` suits many-valued doubles.
+    Exact for any numbers and any page size (``exact_percentile``); ``approx`` trades a pass for an error bound.
     """
-    fn = f"percentile_approx({value}, {p / 100.0}, 10000)" if approx else f"percentile({value}, {p / 100.0})"
-    scale = df.groupBy(*keys).agg(F.expr(fn).cast("double").alias("__scale"))
+    if approx:
+        scale = df.groupBy(*keys).agg(F.expr(f"percentile_approx({value}, {p / 100.0}, 10000)").cast("double").alias("__scale"))
+    else:
+        scale = exact_percentile(df, list(keys), value, p / 100.0, "__scale")
     return (df.join(scale, list(keys))
             .withColumn("normalized", F.when(F.col("__scale") <= 1e-6, 0.0)
                         .otherwise(clip(F.col(value) / F.col("__scale"), 0.0, 1.0))).drop("__scale"))
