@@ -15,18 +15,19 @@ from chromaframe.llm.base import text_of
 PIECES = "start long, length long, tokens long, sequence_id long, offset long, sequence_tokens long, ids binary"
 
 
-#: A word of Latin letters, perhaps with signs after it: its ids are those of the lower-case letters and of the signs.
-SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?&$#*%)\\]-]*)")
+#: Texts of ASCII and Latin letters fall into the tokenizer's own pieces (contractions, letters, digits, signs), whose ids follow each other.
+FAST = re.compile("[\x09-\x0d\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+PIECE = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes, word by word with a bounded memory of words.
+    """Token ids of texts as little-endian 32-bit bytes, piece by piece with a bounded memory of pieces.
 
-    Words are cut at ASCII white space, which the tokenizer drops, so a text's ids are its words' ids.
-    The tokenizer lower-cases and parts letters from signs, so forms of one word are learned once.
+    Most texts are cut into the tokenizer's own pieces after lower-casing, as it does itself. Others are cut at
+    ASCII white space, which it drops. Either way a text's ids are those of its parts.
     """
 
-    def __init__(self, path: str, end_id: int, remember: int = 700_000):
+    def __init__(self, path: str, end_id: int, remember: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -56,10 +57,10 @@ class Encoder:
             if w not in self.known:
                 self.known[w] = self._ids(w)
 
-    def learn_stems(self, stems: list[str]) -> None:
+    def learn_letters(self, words: list[str]) -> None:
         """Words of small letters: each ends with the token that closes it."""
-        for at in range(0, len(stems), 4000):
-            some = stems[at:at + 4000]
+        for at in range(0, len(words), 4000):
+            some = words[at:at + 4000]
             ids = self._ids(" ".join(some))
             ends = ((np.flatnonzero(self.closes[np.frombuffer(ids, "<u4")]) + 1) * 4).tolist()
             if len(ends) != len(some) or ends[-1] != len(ids):
@@ -67,30 +68,23 @@ class Encoder:
                 continue
             self.known.update((w, ids[a:b]) for w, a, b in zip(some, [0, *ends], ends))
 
-    def learn_forms(self, words: list[str]) -> None:
-        forms, others = [], []
-        for w in words:
-            m = SIMPLE.fullmatch(w)
-            if m:
-                forms.append((w, m[1].lower(), m[2]))
-            else:
-                others.append(w)
-        known = self.known
-        self.learn([*others, *{sign for _, _, sign in forms if sign and sign not in known}])
-        self.learn_stems(list({stem for _, stem, _ in forms if stem not in known}))
-        known.update((w, known[stem] + known[sign] if sign else known[stem]) for w, stem, sign in forms)
+    def parts(self, text: str) -> list[str]:
+        if FAST.fullmatch(text) and not self.odd.search(text):
+            return PIECE.findall(text.lower())
+        # str.split also cuts at four separators that the tokenizer keeps.
+        return re.split("[ \t\n\r\x0b\x0c]+", text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; words not seen before are encoded together."""
-        # str.split also cuts at four separators that the tokenizer keeps.
-        texts = [re.split("[ \t\n\r\x0b\x0c]+", t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        """Ids of each text; parts not seen before are encoded together."""
+        cut = [self.parts(t) for t in texts]
         if len(self.known) > self.remember:
             self.known.clear()
         known = self.known
-        missing = {w for words in texts for w in words if w not in known}
-        if missing:
-            self.learn_forms(list(missing))
-        return [b"".join(map(known.__getitem__, words)) + self.end for words in texts]
+        missing = {w for words in cut for w in words if w not in known}
+        letters = [w for w in missing if w.isalpha() and FAST.fullmatch(w)]
+        self.learn_letters(letters)
+        self.learn([w for w in missing if w not in known])
+        return [b"".join(map(known.__getitem__, words)) + self.end for words in cut]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
