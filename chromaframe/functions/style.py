@@ -108,28 +108,50 @@ def profile_to_descriptor(df: DataFrame, extra_warm=0.0, sat_mult=1.0) -> DataFr
     return df.select("*", *[v.alias(k) for k, v in out.items()])
 
 
-def descriptor_to_preset(df: DataFrame) -> DataFrame:
-    """Grading preset of a descriptor's global statistics (clipped linear rules)."""
+# Smoothing of a preset made from a descriptor, and the version of a style document.
+PRESET_DENOISE = 15
+STYLE_VERSION = 3
+
+
+def _given(df: DataFrame, name: str, kind: str) -> Column:
+    """A column of the table, or null where it has none."""
+    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+
+def descriptor_to_preset(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Grading preset of a descriptor's global statistics (clipped linear rules), with its key, label and description.
+
+    ``key`` names a column with the wanted keys; where it is null, the key is made from the name.
+    """
     ambience = clip(F.coalesce(F.col("global_ambience"), F.lit(0.20)), 0.0, 1.0)
     con = F.col("contrast")
-    return df.select(
-        "*",
-        F.concat(F.lit("descriptor_"), F.replace(F.lower("name"), F.lit(" "), F.lit("_"))).alias("preset_key"),
-        clip((F.col("saturation") - 0.7) * 0.45 + 1.0, 0.85, 1.35).alias("saturation_boost"),
-        clip((con * 25 + 210).cast("int"), 205, 238).alias("white_threshold"),
-        clip((F.col("shadow_strength") * 25 + 20).cast("int"), 15, 45).alias("black_threshold"),
-        clip(F.lit(1.15) - con * 0.3, 0.85, 1.15).alias("l_gamma"),
-        ((temperature_shift("temperature", 3.0) + F.col("global_warm_cool") * 0.25) * ambience)
-        .alias("chroma_warm_shift"),
-        clip(F.col("gradient") * 0.3 + 0.25, 0.25, 0.6).alias("neutral_fade_floor"))
-
-
-def convert_style(df: DataFrame, to: str) -> DataFrame:
+    made = F.concat(F.lit("descriptor_"), F.replace(F.lower("name"), F.lit(" "), F.lit("_")))
+    wanted = F.nullif(F.col(key), F.lit("")) if key else F.lit(None).cast("string")
+    out = {
+        "preset_key": F.coalesce(wanted, made), "label": F.concat("name", F.lit(" (descriptor)")),
+        "preset_description": F.coalesce(F.nullif(_given(df, "description", "string"), F.lit("")), F.col("name")),
+        "saturation_boost": clip((F.col("saturation") - 0.7) * 0.45 + 1.0, 0.85, 1.35),
+        "white_threshold": clip((con * 25 + 210).cast("int"), 205, 238),
+        "black_threshold": clip((F.col("shadow_strength") * 25 + 20).cast("int"), 15, 45),
+        "l_gamma": clip(F.lit(1.15) - con * 0.3, 0.85, 1.15),
+        "chroma_warm_shift": (temperature_shift("temperature", 3.0) + F.col("global_warm_cool") * 0.25) * ambience,
+        "preset_cel_flatten": clip(F.coalesce(_given(df, "cel_flatten", "double"), F.lit(0.0)), 0.0, 0.85),
+        "neutral_fade_floor": clip(F.col("gradient") * 0.3 + 0.25, 0.25, 0.6), "denoise_sigma": F.lit(PRESET_DENOISE)}
+    return df.select("*", *[v.alias(k) for k, v in out.items()])
+
+
+def descriptor_to_profile(df: DataFrame) -> DataFrame:
+    """The style profile inside a descriptor, with its palette, description, source and document version."""
+    return df.select("name", _given(df, "palette", "map<string,string>").alias("palette"), "saturation", "contrast", "temperature", "shadow_strength", "gradient",
+                     _given(df, "description", "string").alias("description"), _given(df, "source", "string").alias("source"), F.lit(STYLE_VERSION).alias("version"))
+
+
+def convert_style(df: DataFrame, to: str, key: str | None = None) -> DataFrame:
     """Convert profile rows to 'descriptor', or descriptor rows to 'profile' or 'preset'."""
     if to == "descriptor":
         return profile_to_descriptor(df)
     if to == "preset":
-        return descriptor_to_preset(df)
+        return descriptor_to_preset(df, key)
     if to == "profile":
-        return df.select("name", "saturation", "contrast", "temperature", "shadow_strength", "gradient")
+        return descriptor_to_profile(df)
     raise ValueError(f"unknown target: {to}")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,26 +58,34 @@ def log_ratio(p, q, floor: float, scale: float) -> Column:
     return F.least(one, F.abs(F.log(ratio)) / scale)
 
 
+# Weights of the distance terms, by the cosine terms that both sides have.
+FEATURE_WEIGHTS = {
+    ("embedding", "lineart"): {"embedding": 0.42, "lineart": 0.28, "tone": 0.10, "hist": 0.10, "aspect": 0.06, "area_frac": 0.04},
+    ("embedding",): {"embedding": 0.56, "tone": 0.14, "hist": 0.15, "aspect": 0.10, "area_frac": 0.05},
+    ("lineart",): {"lineart": 0.55, "tone": 0.16, "hist": 0.16, "aspect": 0.08, "area_frac": 0.05},
+    (): {"tone": 0.30, "hist": 0.35, "aspect": 0.22, "area_frac": 0.13},
+}
+# Tone difference of distance 1; floor and scale of the logarithmic terms.
+TONE_SCALE = 100.0
+LOG_TERMS = {"aspect": (1e-3, 1.7), "area_frac": (1e-6, 3.2)}
+
+
 def feature_distance(query, profile) -> Column:
-    """Mix of tone, histogram, shape and up to two cosine terms.
+    """Mix of tone, histogram, shape and up to two cosine terms, by ``FEATURE_WEIGHTS``.
 
     ``query`` and ``profile`` map the names tone, hist, aspect, area_frac, embedding,
-    lineart (and optionally embedding_norm, lineart_norm) to columns. Which weights
-    apply depends on which cosine terms exist.
+    lineart (and optionally embedding_norm, lineart_norm) to columns.
     """
     q, p = query, profile
-    tone = F.least(F.lit(1.0), F.abs(p["tone"] - q["tone"]) / 100.0)
-    hist = hellinger(p["hist"], q["hist"])
-    aspect = log_ratio(q["aspect"], p["aspect"], 1e-3, 1.7)
-    area = log_ratio(q["area_frac"], p["area_frac"], 1e-6, 3.2)
-    seen = cosine_half(p["embedding"], q["embedding"], p.get("embedding_norm"), q.get("embedding_norm"))
-    line = cosine_half(p["lineart"], q["lineart"], p.get("lineart_norm"), q.get("lineart_norm"))
-    terms = F.struct(tone.alias("t"), hist.alias("h"), aspect.alias("a"), area.alias("f"), seen.alias("s"), line.alias("l"))
+    terms = {"tone": F.least(F.lit(1.0), F.abs(p["tone"] - q["tone"]) / TONE_SCALE), "hist": hellinger(p["hist"], q["hist"])}
+    terms |= {k: log_ratio(q[k], p[k], floor, scale) for k, (floor, scale) in LOG_TERMS.items()}
+    terms |= {k: cosine_half(p[k], q[k], p.get(f"{k}_norm"), q.get(f"{k}_norm")) for k in ("embedding", "lineart")}
 
     def mix(v):
-        t, h, a, f, s, l = (v[k] for k in "thafsl")
-        return (F.when(s.isNotNull() & l.isNotNull(), s * 0.42 + l * 0.28 + t * 0.10 + h * 0.10 + a * 0.06 + f * 0.04)
-                .when(s.isNotNull(), s * 0.56 + t * 0.14 + h * 0.15 + a * 0.10 + f * 0.05)
-                .when(l.isNotNull(), l * 0.55 + t * 0.16 + h * 0.16 + a * 0.08 + f * 0.05)
-                .otherwise(t * 0.30 + h * 0.35 + a * 0.22 + f * 0.13))
-    return let(terms, mix)
+        out = F.lit(None).cast("double")
+        for known, weights in reversed(FEATURE_WEIGHTS.items()):
+            total = reduce(add, [v[k] * w for k, w in weights.items()])
+            cond = reduce(and_, [v[k].isNotNull() for k in known], F.lit(True))
+            out = F.when(cond, total).otherwise(out)
+        return out
+    return let(F.struct(*[c.alias(k) for k, c in terms.items()]), mix)

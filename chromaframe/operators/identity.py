@@ -314,8 +314,9 @@ def drift_report(assignments: DataFrame, observed: DataFrame, profiles: DataFram
     cut = lambda rows: rows if n is None else rows.limit(n)
     if keys:
         return d if n is None else first_per_group(d, keys, order, n)
-    if d.isEmpty():
-        blank = [F.lit(0).cast(d.schema[c].dataType).alias(c) if c != "attributes" else
-                 F.array().cast("array<string>").alias(c) for c in d.columns if c not in ("char_id", "name")]
-        return profiles.select("char_id", "name", *blank).select(*d.columns).orderBy("char_id").transform(cut)
-    return d.orderBy(*order).transform(cut)
+    blank = [F.lit(0).cast(d.schema[c].dataType).alias(c) if c != "attributes" else
+             F.array().cast("array<string>").alias(c) for c in d.columns if c not in ("char_id", "name")]
+    # The plain list stands only where not one profile is active: one row decides.
+    some = act.select(F.lit(True).alias("__some")).limit(1)
+    plain = profiles.select("char_id", "name", *blank).select(*d.columns).join(F.broadcast(some), F.col("__some"), "left_anti")
+    return d.unionByName(plain).orderBy(*order).transform(cut)

@@ -384,3 +384,31 @@ def _(t):
     return d.select("style_id", "preset_key", r6("saturation_boost", "saturation_boost"), "white_threshold",
                     "black_threshold", r6("l_gamma", "l_gamma"), r6("chroma_warm_shift", "chroma_warm_shift"),
                     r6("neutral_fade_floor", "neutral_fade_floor"))
+
+
+_STYLE_EXTRA = """CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS description, CASE WHEN c_custkey % 2 = 0 THEN 'mixed' ELSE 'reference' END AS source,
+       CAST(c_custkey % 10 AS DOUBLE) / 8 AS cel_flatten, CASE WHEN c_custkey % 4 = 1 THEN 'own_' || c_custkey ELSE '' END AS wanted"""
+
+
+def _styles(t):
+    extra = _PROFILE_SQL.replace("\nFROM customer", ", " + _STYLE_EXTRA + ", map('hair', concat('#', lpad(hex(c_custkey % 4096), 6, '0'))) AS palette\nFROM {customer}")
+    return t.spark.sql(extra, customer=t.customer)
+
+
+_STYLES_SQL = _PROFILE_SQL.replace("\nFROM customer", ", " + _STYLE_EXTRA + ", '#' || lpad(to_hex(c_custkey % 4096), 6, '0') AS hair\nFROM customer")
+
+
+@query("preset_fields", f"""
+WITH p AS ({_STYLES_SQL})
+SELECT style_id, coalesce(nullif(wanted, ''), 'descriptor_' || replace(lower(name), ' ', '_')) AS preset_key, name || ' (descriptor)' AS label, coalesce(nullif(description, ''), name) AS description,
+  round(greatest(0.0, least(0.85, cel_flatten)), 6) AS cel_flatten, 15 AS denoise_sigma FROM p""")
+def _(t):
+    d = S.convert_style(_styles(t), "preset", key="wanted")
+    return d.select("style_id", "preset_key", "label", F.col("preset_description").alias("description"), r6("preset_cel_flatten", "cel_flatten"), "denoise_sigma")
+
+
+@query("descriptor_to_profile", f"""
+WITH p AS ({_STYLES_SQL}) SELECT name, hair, saturation, contrast, temperature, shadow_strength, gradient, description, source, 3 AS version FROM p""")
+def _(t):
+    d = S.convert_style(_styles(t), "profile")
+    return d.select("name", F.try_element_at("palette", F.lit("hair")).alias("hair"), "saturation", "contrast", "temperature", "shadow_strength", "gradient", "description", "source", "version")

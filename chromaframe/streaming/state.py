@@ -6,14 +6,16 @@ the key's state (not its rows) in memory.
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
 from collections.abc import Callable
+from dataclasses import dataclass
+from itertools import islice
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromaframe.functions import color as C
+from chromaframe.functions.vectors import FEATURE_WEIGHTS, LOG_TERMS, TONE_SCALE
 from chromaframe.operators.stats import robust_median
 from chromaframe.streaming import colors as K
 from chromaframe.streaming.fold import keyed_fold
@@ -87,63 +89,72 @@ def seed_slots(px: DataFrame, regions: DataFrame, label: str, n: int = 8) -> lis
 
 # --- profiles ----------------------------------------------------------------
 
-def _hist_distance(a, b) -> float:
-    if not a or not b or len(a) != len(b):
-        return 0.5
-    return math.sqrt(max(0.0, 1.0 - sum(math.sqrt(p * q) for p, q in zip(a, b))))
-
-
-def _cos_half(a, b) -> float | None:
-    if not a or not b or len(a) != len(b):
-        return None
-    scale = math.sqrt(sum(p * p for p in a)) * math.sqrt(sum(q * q for q in b))
-    if scale <= 1e-8:
-        return None
-    return max(0.0, min(2.0, 1.0 - sum(p * q for p, q in zip(a, b)) / scale)) / 2.0
-
-
-def _feature_gap(p: dict, q: dict) -> float:
-    ratio = lambda k, floor, scale: min(1.0, abs(math.log(max(q[k], floor) / max(p[k], floor))) / scale)
-    tone = min(1.0, abs(p["tone"] - q["tone"]) / 100.0)
-    hist, aspect, area = _hist_distance(p["hist"], q["hist"]), ratio("aspect", 1e-3, 1.7), ratio("area_frac", 1e-6, 3.2)
-    seen, line = _cos_half(p["embedding"], q["embedding"]), _cos_half(p["lineart"], q["lineart"])
-    if seen is not None and line is not None:
-        return 0.42 * seen + 0.28 * line + 0.10 * tone + 0.10 * hist + 0.06 * aspect + 0.04 * area
-    if seen is not None:
-        return 0.56 * seen + 0.14 * tone + 0.15 * hist + 0.10 * aspect + 0.05 * area
-    if line is not None:
-        return 0.55 * line + 0.16 * tone + 0.16 * hist + 0.08 * aspect + 0.05 * area
-    return 0.30 * tone + 0.35 * hist + 0.22 * aspect + 0.13 * area
-
-
-def _unit_mix(a, b, w):
-    if not a:
-        return list(b)
-    if not b or len(a) != len(b):
-        return list(a)
-    v = [p * (1.0 - w) + q * w for p, q in zip(a, b)]
-    size = math.sqrt(sum(e * e for e in v))
-    return [e / size for e in v] if size > 1e-8 else v
-
-
-def _merge_profile(best: dict, new: dict) -> None:
-    w = 1.0 / (max(1, best["samples"]) + 1.0)
-    for k in ("tone", "aspect", "area_frac"):
-        best[k] = best[k] * (1.0 - w) + new[k] * w
-    if best["hist"] and len(best["hist"]) == len(new["hist"]):
-        h = [p * (1.0 - w) + q * w for p, q in zip(best["hist"], new["hist"])]
-        total = max(sum(h), 1e-8)
-        best["hist"] = [e / total for e in h]
-    elif new["manual"] and new["hist"]:
-        best["hist"] = list(new["hist"])
+def _bank(profiles: list[dict], field: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A field of all profiles as rows, and which of them have it in this size."""
+    has = np.array([size > 0 and len(p[field]) == size for p in profiles])
+    rows = np.zeros((len(profiles), size))
+    rows[has] = [p[field] for p, h in zip(profiles, has) if h]
+    return rows, has
+
+
+def feature_gaps(profiles: list[dict], new: dict) -> np.ndarray:
+    """Distance of a candidate to every profile of its book at once; the weights are those of ``feature_distance``."""
+    column = lambda k: np.array([p[k] for p in profiles], float)
+    terms = {"tone": np.minimum(1.0, np.abs(column("tone") - new["tone"]) / TONE_SCALE)}
+    for k, (floor, scale) in LOG_TERMS.items():
+        terms[k] = np.minimum(1.0, np.abs(np.log(max(new[k], floor) / np.maximum(column(k), floor))) / scale)
+    rows, has = _bank(profiles, "hist", len(new["hist"]))
+    overlap = np.sqrt(rows * np.array(new["hist"], float)).sum(axis=1)
+    terms["hist"] = np.where(has, np.sqrt(np.maximum(0.0, 1.0 - overlap)), 0.5)
     for k in ("embedding", "lineart"):
-        best[k] = _unit_mix(best[k], new[k], w)
-    cap, lift = (0.38, 0.12) if new["manual"] else (0.4, 0.15)
+        rows, has = _bank(profiles, k, len(new[k]))
+        mine = np.array(new[k], float)
+        scale = np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((mine * mine).sum())
+        sound = has & (scale > 1e-8)
+        terms[k] = np.where(sound, np.clip(1.0 - rows @ mine / np.where(sound, scale, 1.0), 0.0, 2.0) / 2.0, np.nan)
+    out = np.full(len(profiles), np.nan)
+    for known, weights in FEATURE_WEIGHTS.items():
+        mix = sum(terms[k] * w for k, w in weights.items())
+        out = np.where(np.isnan(out) & ~np.isnan(mix), mix, out)
+    return out
+
+
+def _mean(old: float, new: float, w: float) -> float:
+    return old * (1.0 - w) + new * w
+
+
+def _mixed(old: list, new: list, w: float, size) -> list:
+    """Weighted mean of two lists, scaled by ``size``; an empty side gives way, unlike lengths keep the old one."""
+    if not old or not new:
+        return list(old or new)
+    if len(old) != len(new):
+        return list(old)
+    v = np.array(old, float) * (1.0 - w) + np.array(new, float) * w
+    s = size(v)
+    return (v / s if s > 1e-8 else v).tolist()
+
+
+#: How each measured field of a profile takes in another sample.
+FIELD_RULES = {"tone": _mean, "aspect": _mean, "area_frac": _mean,
+               "embedding": lambda a, b, w: _mixed(a, b, w, np.linalg.norm), "lineart": lambda a, b, w: _mixed(a, b, w, np.linalg.norm)}
+# What a sample adds to its weight in a colour, and the most it may have there, for found and for manual ones.
+COLOR_LIFT = {False: (0.15, 0.40), True: (0.12, 0.38)}
+
+
+def _take_in(profile: dict, new: dict) -> None:
+    w = 1.0 / (max(1, profile["samples"]) + 1.0)
+    profile |= {field: rule(profile[field], new[field], w) for field, rule in FIELD_RULES.items()}
+    # Only a manual sample may bring a histogram that the profile lacks or has in another size.
+    if profile["hist"] and len(profile["hist"]) == len(new["hist"]):
+        profile["hist"] = _mixed(profile["hist"], new["hist"], w, np.sum)
+    elif new["manual"] and new["hist"]:
+        profile["hist"] = list(new["hist"])
+    lift, most = COLOR_LIFT[new["manual"]]
     for attr, color in new["colors"].items():
-        have = best["colors"].get(attr)
-        best["colors"][attr] = K.blend(have, color, min(cap, w + lift)) if have else color
-        best["slots"][attr] = K.merge_slots(best["slots"].get(attr), [color])
-    best["samples"] += 1
+        old = profile["colors"].get(attr)
+        profile["colors"][attr] = K.blend(old, color, min(most, w + lift)) if old else color
+        profile["slots"][attr] = K.merge_slots(profile["slots"].get(attr), [color])
+    profile["samples"] += 1
 
 
 def profile_upsert_rule(max_profiles: int = 24, merge_at: float = 0.18) -> Rule:
@@ -164,15 +175,16 @@ def profile_upsert_rule(max_profiles: int = 24, merge_at: float = 0.18) -> Rule:
             if new["name"]:
                 target = next((p for p in all_ if p["name"].casefold() == new["name"].casefold()), None)
         elif all_:
-            gap, i = min((_feature_gap(p, new), i) for i, p in enumerate(all_))
-            if gap <= merge_at:
+            gaps = feature_gaps(all_, new)
+            i = int(gaps.argmin())
+            if gaps[i] <= merge_at:
                 ds = [d for k in ("hair", "eyes", "skin")
                       if (d := K.distance(new["colors"].get(k), all_[i]["colors"].get(k))) is not None]
                 hair = K.distance(new["colors"].get("hair"), all_[i]["colors"].get("hair"))
                 if (hair is None or hair <= 18.0) and (not ds or sum(ds) / len(ds) <= 26.0):
                     target = all_[i]
         if target is not None:
-            _merge_profile(target, new)
+            _take_in(target, new)
             action, p = "merged", target
         elif len(all_) >= max_profiles:
             return [(int(row.book_id), int(row.seq), "refused", -1, 0, None, state["revision"])]
@@ -243,29 +255,38 @@ def learn_identity_rule(strength: float = 1.0) -> Rule:
 # --- points ------------------------------------------------------------------
 
 def dedupe_points_rule(window: int = 16, max_samples: int = 8) -> Rule:
-    """Merge a point into one of the last 16 alike and near; else append and thin its colour to 8."""
+    """Merge a point into one of the last 16 alike and near; else append and thin its colour to 8.
+
+    Live points are kept in order under their sequence numbers, and listed by region and colour,
+    so a row looks at the last ``window`` points and at one list of at most ``max_samples`` + 1.
+    """
     def step(state, row):
-        pts, rad = state["points"], max(0.001, float(row.radius_norm))
+        points, alike = state["points"], state["alike"]
         x, y = (max(0.0, min(1.0, float(v))) for v in (row.x_norm, row.y_norm))
-        region = None if row.region_id is None or row.region_id != row.region_id else int(row.region_id)
-        kind = [region, [int(row.r), int(row.g), int(row.b)], row.source]
+        rad = max(0.001, float(row.radius_norm))
+        region = "" if row.region_id is None or row.region_id != row.region_id else int(row.region_id)
+        kind = f"{region}|{int(row.r)},{int(row.g)},{int(row.b)}"
         reach = max(0.003, rad * 0.65)
-        for p in reversed(pts[-window:]):
-            if p["kind"] == kind and (p["x"] - x) ** 2 + (p["y"] - y) ** 2 <= reach * reach:
-                p["x"], p["y"], p["rad"] = (p["x"] + x) * 0.5, (p["y"] + y) * 0.5, max(p["rad"], rad)
-                return [(int(row.page_id), int(row.seq), "merged", p["id"], p["x"], p["y"], p["rad"], len(pts))]
-        pts.append({"id": int(row.seq), "kind": kind, "x": x, "y": y, "rad": rad})
-        alike = [i for i, p in enumerate(pts) if p["kind"][:2] == kind[:2]]
-        if len(alike) > max_samples:
-            step_ = (len(alike) - 1) / (max_samples - 1)
-            keep = {int(i * step_) for i in range(max_samples - 1)} | {len(alike) - 1}
-            gone = {alike[i] for i in range(len(alike)) if i not in keep}
-            state["points"] = [p for i, p in enumerate(pts) if i not in gone]
-        return [(int(row.page_id), int(row.seq), "added", int(row.seq), x, y, rad, len(state["points"]))]
+        for name in islice(reversed(points), window):
+            p = points[name]
+            if (p["kind"], p["source"]) == (kind, row.source) and (p["x"] - x) ** 2 + (p["y"] - y) ** 2 <= reach * reach:
+                p |= {"x": (p["x"] + x) * 0.5, "y": (p["y"] + y) * 0.5, "rad": max(p["rad"], rad)}
+                return [(int(row.page_id), int(row.seq), "merged", int(name), p["x"], p["y"], p["rad"], len(points))]
+        me = str(int(row.seq))
+        points[me] = {"kind": kind, "source": row.source, "x": x, "y": y, "rad": rad}
+        names = alike.setdefault(kind, [])
+        names.append(me)
+        if len(names) > max_samples:
+            pace = (len(names) - 1) / (max_samples - 1)
+            stay = {*(names[int(i * pace)] for i in range(max_samples - 1)), me}
+            for gone in [n for n in names if n not in stay]:
+                del points[gone]
+            alike[kind] = [n for n in names if n in stay]
+        return [(int(row.page_id), int(row.seq), "added", int(row.seq), x, y, rad, len(points))]
     cols = ("page_id", "seq", "x_norm", "y_norm", "r", "g", "b", "radius_norm", "source", "region_id")
     return Rule(("page_id",), ("seq",), cols,
                 "page_id int, seq long, action string, point_seq long, x_norm double, y_norm double, radius_norm double, live int",
-                lambda: {"points": []}, step)
+                lambda: {"points": {}, "alike": {}}, step)
 
 
 # --- undo --------------------------------------------------------------------
