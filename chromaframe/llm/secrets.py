@@ -77,8 +77,11 @@ def _scanner():
     hexes = re.compile(r"[0-9a-f]{24,}")
     pem = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
     token = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-    coded = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-    coded_hex = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
+    # The shortest text with a base finding has 12 characters: 16 in base64, 24 hex digits.
+    coded = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
+    folded = re.compile(r"[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]{4,}+={0,2})+")
+    coded_hex = re.compile(r"[0-9a-fA-F]{24,}+")
+    plain = re.compile(rb"[\x20-\x7e]{12,}+")
 
     def unbase(s: str) -> bytes | None:
         body = s.rstrip("=").replace("-", "+").replace("_", "/")
@@ -108,17 +111,28 @@ def _scanner():
             out += [("access", *m.span()) for m in access.finditer(text) if m.end() - m.start() >= 20]
         return out
 
+    def tells(inner: str) -> bool:
+        return bool(base(inner) or any(map(signed, token.finditer(inner))))
+
     def held(data: bytes | None, kind: str) -> str | None:
-        """The kind of finding that decoded bytes are: a key, a text with a base finding or signed token, or none."""
+        """The kind of finding that decoded bytes are: a key, bytes with a text that has a base finding or signed token, or none."""
         if not data:
             return None
         if der_private_key(data) or openssh_key(data):
             return kind
-        try:
-            inner = data.decode("ascii")
-        except UnicodeDecodeError:
-            return None
-        return "wrapped" if inner.isprintable() and (base(inner) or any(map(signed, token.finditer(inner)))) else None
+        return "wrapped" if any(tells(m[0].decode("ascii")) for m in plain.finditer(data)) else None
+
+    def held_coded(run: str) -> str | None:
+        """A run may begin before its code: each of the four shifts is decoded."""
+        body = run.rstrip("=")
+        for shift in range(4):
+            part = body[shift:]
+            if kind := held(unbase(part[:len(part) - (len(part) % 4 == 1)]), "key64"):
+                return kind
+        return None
+
+    def held_hex(run: str) -> str | None:
+        return next((k for shift in (0, 1) if (k := held(bytes.fromhex(run[shift:len(run) - (len(run) - shift) % 2]), "keyhex"))), None)
 
     def scan(text: str | None) -> list[tuple[str, int, int]]:
         text = text or ""
@@ -130,12 +144,14 @@ def _scanner():
                     out.append(("pem", *m.span()))
         if "eyJ" in text:
             out += [("token", *m.span()) for m in token.finditer(text) if signed(m)]
-        for m in coded_hex.finditer(text):
-            if kind := held(bytes.fromhex(m[0]), "keyhex"):
-                out.append((kind, *m.span()))
-        for m in coded.finditer(text):
-            if kind := held(unbase(m[0]), "key64"):
-                out.append((kind, *m.span()))
+        out += [(kind, *m.span()) for m in coded_hex.finditer(text) if (kind := held_hex(m[0]))]
+        out += [(kind, *m.span()) for m in coded.finditer(text) if (kind := held_coded(m[0]))]
+        if "\n" in text:
+            inside = [f[1:] for f in out]
+            for m in folded.finditer(text):
+                # Lines that tell nothing alone are decoded together.
+                if not any(m.start() <= a and b <= m.end() for a, b in inside) and (kind := held_coded("".join(m[0].split()))):
+                    out.append((kind, *m.span()))
         rank = {k: i for i, k in enumerate(KINDS)}
         return sorted(set(out), key=lambda f: (f[1], rank[f[0]], f[2]))
     return scan
@@ -154,8 +170,8 @@ def confirm_secrets(files: DataFrame, text: str = "text", findings: str = "findi
     Positions are code points of the whole text, ends exclusive; findings are sorted by
     start and then by kind. ``assign``, ``access`` and ``hex`` are pattern spans. The others are reported only
     after their content was decoded and its structure parsed: ``pem``
-    blocks and base64 (``key64``) or hex (``keyhex``) runs that hold a private key whose nested
-    lengths fill it exactly; ``token``: three parts whose header is a JSON object
+    blocks and base64 (``key64``, also over several lines) or hex (``keyhex``) runs that hold a private key whose nested
+    lengths fill it exactly, wherever in the run the code begins; ``token``: three parts whose header is a JSON object
     with an algorithm; ``wrapped``: coded text that holds an assignment, access key or signed token.
     A projection, row by row: copies, ties and repeated rows change nothing; null counts as empty and has no finding; a column named like
     ``findings`` is replaced.

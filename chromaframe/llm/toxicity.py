@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -100,14 +102,15 @@ def _counted(sample: DataFrame, description: str, toxic: str, keys) -> pd.DataFr
 
 
 def fit_lexicon(labelled: DataFrame, style_key: str = "style_key", description: str = "description", toxic: str = "toxic",
-                max_rows: int = 20_000, max_terms: int = 5000, min_texts: int = 4, min_share: float = 0.005, exceptions: Sequence[str] = ()) -> Lexicon:
+                max_rows: int = 20_000, max_terms: int | None = None, min_texts: int = 4, min_share: float = 0.005, exceptions: Sequence[str] = ()) -> Lexicon:
     """Weighted terms, exception phrases and calibration from rows labelled 0 or 1.
 
     The fit reads a bounded sample of about ``max_rows`` rows per class, picked by a
     hash of the key. A term is a folded word, or beginning of words, in at least ``min_texts`` and ``min_share`` of
-    the toxic texts whose log odds are positive beyond two and a half standard errors; the ``max_terms`` heaviest stay. A phrase of a
+    the toxic texts whose log odds are positive beyond two and a half standard errors (with ``max_terms``, the heaviest; ties by spelling). A phrase of a
     term and its neighbour that clean texts have at least ``min_texts`` times, and ten times as often
-    as toxic ones, is an exception, besides those given.
+    as toxic ones, is an exception, besides those given. Null labels and texts teach nothing, repeated rows share their key's fate, and an
+    empty table gives a lexicon without terms.
     """
     rows = labelled.where(F.col(toxic).isNotNull()).select(style_key, description, toxic)
     sample = sample_labels(rows, style_key, toxic, max_rows)
@@ -116,7 +119,8 @@ def fit_lexicon(labelled: DataFrame, style_key: str = "style_key", description:
     weight = F.log((F.col("bad") + 0.5) / (bad_all + 1.0)) - F.log((F.col("good") + 0.5) / (good_all + 1.0))
     error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     words = _counted(sample, description, toxic, lambda ws: [k for w in set(ws) for k in (w, *(w[:n] + "*" for n in STEMS if len(w) > n))]).where(F.col("bad") >= max(min_texts, min_share * bad_all)).withColumn("w", weight)
-    top = words.where((F.col("w") > 2.5 * error) & (F.col("w") > 2.5)).orderBy(F.desc("w"), "key").limit(max_terms).collect()
+    top = words.where((F.col("w") > 2.5 * error) & (F.col("w") > 2.5)).orderBy(F.desc("w"), "key")
+    top = (top if max_terms is None else top.limit(max_terms)).collect()  # at most the sample's words
     terms = {r["key"]: float(r["w"]) for r in top}
     known = set(terms)
 
@@ -126,7 +130,8 @@ def fit_lexicon(labelled: DataFrame, style_key: str = "style_key", description:
     benign: list[str] = []
     if known:
         found = _counted(sample, description, toxic, phrases).where((F.col("good") >= min_texts) & (F.col("good") >= 10 * F.col("bad")))
-        benign = [r["key"] for r in found.orderBy(F.desc("good"), "key").limit(max_terms).collect()]
+        found = found.orderBy(F.desc("good"), "key")
+        benign = [r["key"] for r in (found if max_terms is None else found.limit(max_terms)).collect()]
     fold = make_folder()
     lexicon = Lexicon(terms, tuple(sorted({*benign, *(" ".join(fold(e)) for e in exceptions)} - {""})), (0.0, 0.0, 0.0))
     scored = _scored(sample, lexicon, description).select(F.col(toxic).alias("y"), "__hit.*").groupBy(
@@ -153,7 +158,7 @@ def _calibrate(rows: pd.DataFrame, ridge: float = 0.05, rounds: int = 50) -> tup
 
 def _scored(styles: DataFrame, lexicon: Lexicon, description: str) -> DataFrame:
     """Adds ``__hit``: strength (log of summed weights) and density (weight a hundred words, log), hits and weight."""
-    shared = styles.sparkSession.sparkContext.broadcast((lexicon.terms, lexicon.exceptions))  # at most max_terms of each
+    shared = styles.sparkSession.sparkContext.broadcast((lexicon.terms, lexicon.exceptions))  # words of the bounded sample
     kind = T.StructType([T.StructField("strength", T.DoubleType()), T.StructField("density", T.DoubleType()),
                          T.StructField("hits", T.IntegerType()), T.StructField("weight", T.DoubleType())])
 
@@ -174,10 +179,13 @@ def _scored(styles: DataFrame, lexicon: Lexicon, description: str) -> DataFrame:
             words = fold(text)
             line = f" {' '.join(words)} "
             found = list(machine.iter(line)) if len(machine) else []
-            spared = [(end - n, end) for end, (n, w) in found if w is None]
+            # Of the exception phrases that begin no later than a hit, the one that reaches farthest decides.
+            spared = sorted((end - n, end) for end, (n, w) in found if w is None)
+            starts, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
             hits = {}  # of the terms that begin at one word, the heaviest
             for end, (n, w) in found:
-                if w is not None and not any(a <= end - n and end <= b for a, b in spared):
+                k = bisect_right(starts, end - n)
+                if w is not None and not (k and reach[k - 1] >= end):
                     hits[end - n] = max(w, hits.get(end - n, 0.0))
             total = sum(hits.values())
             return np.log1p(total), np.log1p(100 * total / max(20, len(words))), len(hits), total

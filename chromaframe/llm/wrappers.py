@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -39,25 +41,52 @@ ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl")
         "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "body": ("head", "html")}
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
 
-TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+# Every alternative is possessive and stops at "<" where it may, so a broken tag costs no more than its own length.
+TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|</([a-zA-Z][^\s/<>]*+)[^<>]*+>|<([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 DEPTH = 150
 MIN_PAGES = 5
+#: A node with more slots than this forgets those on at most a twentieth of its pages; no such slot is template.
 MAX_SLOTS = 512
+#: Two lists of slots whose lengths have a greater product are aligned between slots that are unique in both.
+WIDE = 65_536
+#: Blocks that a name hides only if it is the whole name; of others, a part of it will do.
+TEXTUAL = frozenset("article main p h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption".split())
+#: Names that begin so tell what a block goes without or beside.
+NEUTRAL = frozenset("no not with without has is show hide js".split())
 
 
 class Node:
-    """A block of a page: label, whether it is chrome or a content landmark, texts and blocks in order."""
+    """A block of a page: label, whether it is chrome or a content landmark, texts and blocks in order.
 
-    __slots__ = ("chrome", "content", "kids", "label", "tag")
+    ``named`` is 1 if a part of a name suggests chrome and 2 if a whole name does; ``holds`` is 1 with an article
+    and 2 with the main content below (or for html and body). A name hides what holds less than it says.
+    """
+
+    __slots__ = ("chrome", "content", "holds", "kids", "label", "named", "tag")
+
+    def __init__(self, tag: str, label: str, chrome: bool = False, content: int = 0, named: int = 0):
+        self.tag, self.label, self.chrome, self.content, self.named, self.kids = tag, label, chrome, content, named, []
+        self.holds = 2 if tag in ("html", "body") else 0
+
+    def hidden(self) -> bool:
+        return self.chrome or self.named > self.holds or self.named == 2 and self.holds < 2
 
-    def __init__(self, tag: str, label: str, chrome: bool, content: bool):
-        self.tag, self.label, self.chrome, self.content, self.kids = tag, label, chrome, content, []
+
+def _named(tag: str, name: str, inside: bool) -> int:
+    """How much a class or id suggests chrome: 0, 1 for a part of it, 2 for all of it."""
+    if inside and name in ("header", "entry-header", "article-header", "post-header"):
+        return 0
+    parts = [p for p in re.split(r"[-_\d]+", name) if p]
+    if "".join(parts) in CHROME_NAMES:
+        return 2
+    return int(tag not in TEXTUAL and bool(parts) and parts[0] not in NEUTRAL and not CHROME_NAMES.isdisjoint(parts))
 
 
 def _node(tag: str, attrs: str, inside: bool) -> Node:
     """``inside``: within an article, where a header is part of it."""
-    chrome, content, label = tag in CHROME or tag == "header" and not inside, tag in ("article", "main"), tag
+    chrome, label, named = tag in CHROME or tag == "header" and not inside, tag, 0
+    content = 2 if tag == "main" else int(tag == "article")
     if attrs and attrs.strip("/ "):
         names: list[str] = []
         for m in ATTR.finditer(attrs):
@@ -65,22 +94,26 @@ def _node(tag: str, attrs: str, inside: bool) -> Node:
             if key in ("class", "id"):
                 names += value.split()
             elif key == "role":
-                chrome, content = chrome or value in CHROME_ROLES, content or value in ("main", "article")
+                chrome, content = chrome or value in CHROME_ROLES, max(content, 2 * (value == "main"), int(value == "article"))
             elif key == "itemprop":
-                content = content or value == "articlebody"
+                content = max(content, 2 * (value == "articlebody"))
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                 chrome = True
         for n in names:
-            if not CHROME_NAMES.isdisjoint(re.split(r"[-_\d]+", n)) and not (inside and n in ("header", "entry-header", "article-header", "post-header")):
-                chrome = True
-            content = content or re.sub(r"[-_]", "", n) in CONTENT_NAMES
+            named = max(named, _named(tag, n, inside))
+            plain = re.sub(r"[-_]", "", n)
+            content = max(content, int(plain in CONTENT_NAMES) + (plain in ("main", "maincontent")))
         label += "".join(sorted({"." + re.sub(r"\d+", "", n) for n in names}))
-    return Node(tag, label, chrome, content and not chrome)
+    return Node(tag, label, chrome, 0 if chrome or named else content, named)
 
 
 def parse_page(html: str) -> Node:
-    """The tree of a page's blocks. Inline elements melt into text; character references are decoded."""
-    root = Node("#root", "#root", False, False)
+    """The tree of a page's blocks. Inline elements melt into text; character references are decoded.
+
+    Time follows the length of the page, whatever is left open in it. Below ``DEPTH`` blocks melt into the one above them.
+    """
+    root = Node("#root", "#root")
+    root.holds = 2
     stack, at, size = [root], 0, len(html)
     inside = 0
 
@@ -91,13 +124,20 @@ def parse_page(html: str) -> Node:
     def pop_to(n: int) -> None:
         nonlocal inside
         for x in stack[n:]:
-            inside -= x.content
+            inside -= x.content > 0
         del stack[n:]
+    # Behind the last ">" no tag ends.
+    ends = html.rfind(">") + 1
     while at < size:
-        m = TAG.search(html, at)
+        m = TAG.search(html, at, ends) if at < ends else None
         if not m:
-            text(re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", html[at:]))
+            rest = html[at:]
+            open_tag = re.search(r"<[a-zA-Z/!?]", html[max(at, ends):])
+            text(rest if open_tag is None else rest[:max(at, ends) - at + open_tag.start()])
             break
+        if m[0].startswith("<!--") and not m[0].endswith(">"):
+            text(html[at:m.start()])
+            break  # a comment that never ends
         text(html[at:m.start()])
         at = m.end()
         if m[2]:
@@ -133,8 +173,12 @@ def parse_page(html: str) -> Node:
                 continue
             if node is not None and len(stack) < DEPTH:
                 stack[-1].kids.append(node)
+                for above in reversed(stack if node.content else []):
+                    if above.holds >= node.content:
+                        break
+                    above.holds = node.content
                 stack.append(node)
-                inside += node.content
+                inside += node.content > 0
         elif m[1]:
             tag = m[1].lower()
             if tag in BLOCKS:
@@ -199,6 +243,8 @@ def align(a: list, b: list) -> list[tuple[int, int, int]]:
     """Pairs (index in a, index in b, slots matched) of the best order-preserving matching of two lists of slots."""
     if [x[0] for x in a] == [x[0] for x in b]:
         return [(i, i, 1) for i in range(len(a))]
+    if len(a) * len(b) > WIDE:
+        return _align_wide(a, b)
     w = [[matched(x, y) for y in b] for x in a]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):
@@ -216,8 +262,49 @@ def align(a: list, b: list) -> list[tuple[int, int, int]]:
     return out[::-1]
 
 
+def _align_wide(a: list, b: list) -> list[tuple[int, int, int]]:
+    """Slots with a label and text that is unique on both sides anchor the alignment; what lies between is aligned by itself.
+
+    Without such anchors, slots of one label are paired in order.
+    """
+    name = lambda k: (k[0], k[2])
+    times, where = Counter(map(name, b)), {name(k): j for j, k in enumerate(b)}
+    own = Counter(map(name, a))
+    pairs = [(i, where[name(k)]) for i, k in enumerate(a) if own[name(k)] == 1 and times.get(name(k)) == 1]
+    tails, links, before = [], [], {}
+    for i, j in pairs:  # longest run that grows on both sides
+        at = bisect_left(tails, j)
+        before[j] = links[at - 1] if at else None
+        tails[at:at + 1], links[at:at + 1] = [j], [j]
+    chosen, j, back = [], links[-1] if links else None, {j: i for i, j in pairs}
+    while j is not None:
+        chosen.append((back[j], j))
+        j = before[j]
+    out, i0, j0 = [], 0, 0
+    for i, j in [*chosen[::-1], (len(a), len(b))]:
+        x, y = a[i0:i], b[j0:j]
+        if len(x) * len(y) <= WIDE:
+            out += [(i0 + p, j0 + q, w) for p, q, w in align(x, y)]
+        else:
+            spots: dict[str, deque] = {}
+            for q, k in enumerate(y):
+                spots.setdefault(k[0], deque()).append(q)
+            last = -1
+            for p, k in enumerate(x):
+                free = spots.get(k[0], ())
+                while free and free[0] <= last:
+                    free.popleft()
+                if free:
+                    last = free.popleft()
+                    out.append((i0 + p, j0 + last, 1))
+        if i < len(a):
+            out.append((i, j, 1))
+        i0, j0 = i + 1, j + 1
+    return out
+
+
 def merge(a: list, b: list, pages: bool = True) -> list:
-    """One wrapper for what both cover; slots without a partner keep their place. Slots over the limit lose the rarest."""
+    """One wrapper for what both cover; slots without a partner keep their place."""
     kids, i, j = [], 0, 0
     for x, y, _ in [*align(a[4], b[4]), (len(a[4]), len(b[4]), 0)]:
         kids += a[4][i:x] + b[4][j:y]
@@ -225,8 +312,7 @@ def merge(a: list, b: list, pages: bool = True) -> list:
             kids.append(merge(a[4][x], b[4][y], pages))
         i, j = x + 1, y + 1
     if len(kids) > MAX_SLOTS:
-        rare = sorted(k[1] for k in kids)[-MAX_SLOTS]
-        kids = [k for k in kids if k[1] > rare] or kids[:MAX_SLOTS]
+        kids = [k for k in kids if 20 * k[1] > a[1] + b[1]]
     return [a[0], a[1] + b[1] if pages else max(a[1], b[1]), a[2], int(a[3] or b[3] or a[2] != b[2]), kids]
 
 
@@ -245,9 +331,9 @@ def main_text(html: str | None, wrapper: list | None) -> str:
     out: list[tuple[bool, str]] = []
 
     def walk(node: Node, slot: list | None, inside: bool) -> None:
-        if node.chrome:
+        if node.hidden():
             return
-        inside = inside or node.content
+        inside = inside or node.content > 0
         runs = groups(node)
         below: dict[int, list] = {}
         if slot is not None:
@@ -289,7 +375,8 @@ def induce_wrappers(bodies: DataFrame, url: str = "url", body: str = "body", mos
 
     Each task folds its pages into one wrapper per host (handing on what it has after
     ``most_hosts`` hosts); the partial wrappers of a host meet in ``seats`` groups and then in one,
-    so a host with most of the pages sends a wrapper per task, not its pages.
+    so a host with most of the pages sends a wrapper per task, not its pages. Null bodies teach nothing, null urls belong to the
+    empty host, repeated pages count as often as they come, an empty table gives no wrapper.
     """
     shape = "host string, seat int, wrapper string"
 

@@ -1,4 +1,5 @@
 import json
+import time
 
 from chromaframe.llm.wrappers import align, extract_pages, fold, induce_wrappers, main_text, merge, parse_page
 
@@ -41,3 +42,36 @@ def test_simple_tree_matching():
     tree = lambda html: fold(parse_page(html))[4]
     a, b = tree("<h1>x</h1><ul><li>1</ul><p>y</p>"), tree("<div>n</div><h1>z</h1><p>w</p>")
     assert [(a[i][0], b[j][0]) for i, j, _ in align(a, b)] == [("h1", "h1"), ("p", "p")]
+
+
+def test_names_alone_do_not_hide_an_article():
+    art = "<article><h1>T</h1><p>One two</p></article>"
+    for html in (f"<body class='no-sidebar'>{art}", f"<div class='post with-comments'>{art}</div>", f"<div class='content-sidebar-wrap'><main>{art}</main></div>",
+                 f"<html class='social-ready'><body class='ad-free menu'>{art}", f"<div class='widget-area'>{art}</div>"):
+        assert main_text(html, None) == "T\n\nOne two", html
+    assert main_text("<article><p class='share-price'>It rose</p><p>by <a class='widget-link'>nine</a></p></article>", None) == "It rose\n\nby nine"
+    comments = "<div id='comments'><article class='comment-body'>reader</article></div>"
+    assert main_text(f"<p>Body</p>{comments}<p class='ad'>buy</p><div class='cookie-note'>c</div>", None) == "Body"
+
+
+def test_broken_pages_take_no_longer_than_their_length():
+    began = time.time()
+    for piece in ("<div", "<a <b c ", "</p ", "<!-- x", "<a 'b", '<a "', "<!x ", "< "):
+        main_text(piece * 120_000, None)
+        main_text("<p>ok</p>" + piece * 60_000 + ">", None)
+    assert main_text("<p>ok</p>" + "<div" * 1000, None) == "ok"
+    assert time.time() - began < 40
+
+
+def test_wide_hosts_keep_their_template():
+    body = "".join(f"<div class='{a}{b}'>fixed {a}{b}</div>" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwx")
+    pages = [f"<body><p>own {i}</p>{body}<div class='z{chr(97 + i)}q'>only {i}</div>" for i in range(8)]
+    wrapper = fold(parse_page(pages[0]))
+    for p in pages[1:]:
+        wrapper = merge(wrapper, fold(parse_page(p)))
+    assert main_text(pages[3], wrapper) == "own 3\n\nonly 3"
+    slots = lambda names: [[n, 1, 0, 0, []] for n in names]
+    a, b = [f"s{i}" for i in range(400)], [f"s{i}" for i in range(400) if i % 7] + ["new"]
+    b[10:10] = ["x", "x"]
+    assert [(a[i], b[j]) for i, j, _ in align(slots(a), slots(b))] == [(n, n) for n in a if int(n[1:]) % 7]
+
