@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chromaframe.llm.base import text_of
 
@@ -215,7 +216,8 @@ def pack_styles(styles: DataFrame, tokenizer_path: str, style_key: str = "style_
     Returns ``style_key``, ``start`` (tokens of its document before the piece), ``length``,
     ``tokens`` (of the document, end token included), ``sequence_id``, ``offset`` (within the
     sequence), ``sequence_tokens`` and ``ids`` (little-endian 32-bit). Null texts count as empty and have
-    the end token alone; repeated rows and keys are documents of their own; other columns are ignored;
+    the end token alone; repeated rows and keys are documents of their own; other columns are ignored; a key column called like
+    a result column comes back with ``_key`` behind its name;
     an empty table gives no rows.
 
     Shards are ranges of a hash of the text's first word of seven letters or more, and then of the key: copies of a text
@@ -231,6 +233,9 @@ def pack_styles(styles: DataFrame, tokenizer_path: str, style_key: str = "style_
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     shards = rows.repartitionByRange(max(1, -(-size // shard_bytes)), "__word", "__mix").sortWithinPartitions("__word", "__mix", "key")
     key_type = rows.schema["key"].dataType.simpleString()
+    # Whole numbers travel as text: one null among them would make pandas round the others.
+    as_text = isinstance(rows.schema["key"].dataType, (T.IntegralType, T.DecimalType))
+    passed = "string" if as_text else key_type
 
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -262,5 +267,6 @@ def pack_styles(styles: DataFrame, tokenizer_path: str, style_key: str = "style_
         pack_block(keys, docs, windows)
         windows.close()
         yield from ready()
-    out = shards.select("key", "text").mapInPandas(pack, f"key {key_type}, {PIECES}")
-    return out.withColumnRenamed("key", style_key)
+    out = shards.select(F.col("key").cast(passed).alias("key"), "text").mapInPandas(pack, f"key {passed}, {PIECES}")
+    pieces = [c.split()[0] for c in PIECES.split(", ")]
+    return out.select(F.col("key").cast(key_type).alias(f"{style_key}_key" if style_key in pieces else style_key), *pieces)

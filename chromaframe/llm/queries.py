@@ -80,13 +80,15 @@ u AS (
   FROM documents d JOIN p ON d.source IS NOT DISTINCT FROM p.source, LATERAL (SELECT unnest(generate_series(1, p.parts)) AS part)),
 t AS (SELECT doc_id, u.source, CAST(count(*) AS BIGINT) AS times FROM u JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source AND u.u >= cdf.c GROUP BY doc_id, u.source),
 x AS (SELECT doc_id, source, CAST(unnest(generate_series(0, times - 1)) AS INT) AS copy FROM t)
-SELECT doc_id, source, copy, substr(md5('{MIX_SEED}-place:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(copy AS VARCHAR)), 1, 16) AS place FROM x"""
+SELECT x.doc_id, x.source, copy, substr(md5('{MIX_SEED}-place:' || coalesce(CAST(x.doc_id AS VARCHAR), '') || ':' || CAST(copy AS VARCHAR)), 1, 16) AS place,
+  sha256(coalesce(text, '')) AS text_sha256 FROM x JOIN documents d ON d.doc_id = x.doc_id"""
 
 
 @query("op6_mixing", MIX_SQL)
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mix_styles(docs, MIX_WEIGHTS, 1.0, "doc_id", "source", seed=MIX_SEED)
+    """Whole documents are repeated and shuffled; a digest tells what has arrived."""
+    mixed = mix_styles(table(spark, sf_dir, "documents"), MIX_WEIGHTS, 1.0, "doc_id", "source", seed=MIX_SEED)
+    return mixed.select("doc_id", "source", "copy", "place", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 @query("op7_simhash")

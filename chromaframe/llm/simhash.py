@@ -144,17 +144,19 @@ def similar_styles(styles: DataFrame, style_key: str = "style_key", description:
     shingle, a text without words is zero). Fingerprints link at two or fewer differing
     bits; ``component_id`` is the smallest key that can be reached. Copies collapse into
     one fingerprint before any join, null descriptions count as empty, null keys get a component but
-    never name one, repeated rows stay, an empty table gives none.
+    never name one, repeated rows stay, an empty table gives none. A key column that is itself called
+    ``fp`` or ``component_id`` comes back with ``_key`` behind its name.
     """
-    marked = cut_lineage(styles.select(style_key, simhash64(text_of(description)).alias("fp")))
-    prints = cut_lineage(marked.groupBy("fp").agg(F.min(style_key).alias("low")))
+    name = f"{style_key}_key" if style_key in ("fp", "component_id") else style_key
+    marked = cut_lineage(styles.select(F.col(style_key).alias("__key"), simhash64(text_of(description)).alias("fp")))
+    prints = cut_lineage(marked.groupBy("fp").agg(F.min("__key").alias("low")))
     links = fingerprint_links(prints)
     parts = connected_components(prints, links, "fp", "a", "b")
     parts = cut_lineage(parts.select("fp", "low", "component"))
     lows = parts.groupBy("component").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
     # Lone fingerprints carry their own key already.
     many = parts.join(lows.where("n > 1"), "component", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return marked.join(many, "fp").select(style_key, "fp", "component_id")
+    return marked.join(many, "fp").select(F.col("__key").alias(name), "fp", "component_id")
 
 
 def one_per_component(styles: DataFrame, style_key: str = "style_key", description: str = "description") -> DataFrame:

@@ -114,7 +114,8 @@ def fingerprint_against(files: DataFrame, text: str, others: Sequence[str], floo
     """Audited files with the ``fingerprint`` of ``text``, and ``against``: fingerprint and likeness of each other text.
 
     Like ``fingerprint_files`` and ``likeness`` on every pair, but each text is read once and no
-    fingerprint travels back to be compared; with ``shown``, only the texts named there give theirs. Columns named like the new ones are replaced.
+    fingerprint travels back to be compared; with ``shown``, only the texts named there give theirs. Null texts count as empty, texts of any length
+    are read whole, repeated rows stay, an empty table gives none. Columns named like the new ones are replaced.
     """
     near = T.StructType([T.StructField("fingerprint", T.StringType()), T.StructField("near", T.DoubleType())])
     kind = T.StructType([T.StructField("fingerprint", T.StringType()), T.StructField("against", T.ArrayType(near))])
@@ -151,6 +152,7 @@ def with_next(files: DataFrame, key: str, text: str, name: str = "next_text") ->
     Rows are dealt to ranges of keys, bounded by approximate quantiles; the first key of a range
     visits the range before too, so each range is a window of its own and texts are
     shuffled once. A null key stands before all others. The one row of a table is its own next.
+    A column named like ``name`` is replaced; an empty table gives no rows.
     """
     parts = 2 * shuffle_width(files)
     order = F.coalesce(F.col(key), F.lit(-(1 << 63)))
@@ -166,9 +168,10 @@ def with_next(files: DataFrame, key: str, text: str, name: str = "next_text") ->
         guest = F.when(F.col("__order") == first, F.lit(part)).otherwise(guest) if len(before) <= 8 else guest
     if len(before) > 8:
         guest = F.try_element_at(F.create_map(*[F.lit(v) for pair in before.items() for v in pair]), F.col("__order")).cast("int")
-    seats = F.array(F.struct(F.col("__part").alias("part"), F.lit(False).alias("guest")), F.struct(guest.alias("part"), F.lit(True).alias("guest")))
-    dealt = own.select(*files.columns, "__order", F.inline(F.filter(seats, lambda s: s["part"].isNotNull())))
+    seats = F.array(F.struct(F.col("__part").alias("__seat"), F.lit(False).alias("__guest")), F.struct(guest.alias("__seat"), F.lit(True).alias("__guest")))
+    dealt = own.select(*files.columns, "__order", F.inline(F.filter(seats, lambda s: s["__seat"].isNotNull())))
     # A guest comes after its host range, also where the first row visits the last.
-    turn = W.partitionBy("part").orderBy("guest", "__order", text)
+    turn = W.partitionBy("__seat").orderBy("__guest", "__order", text)
     # The plain column is led: an expression would travel through the shuffle beside it.
-    return dealt.withColumn(name, F.lead(text).over(turn)).where("NOT guest").select(*files.columns, F.coalesce(name, F.lit("")).alias(name))
+    keep = [c for c in files.columns if c != name]
+    return dealt.withColumn("__next", F.lead(text).over(turn)).where("NOT __guest").select(*keep, F.coalesce("__next", F.lit("")).alias(name))

@@ -93,3 +93,15 @@ def test_packing_round_trip(spark):
             got += [ids[i:i + total] for i in range(0, len(ids), total)]
         assert sorted(got) == want
     assert pack_styles(df.limit(0), tokenizer_path()).count() == 0
+
+
+def test_names_that_clash(spark):
+    from chromaframe.llm.simhash import similar_styles
+    rows = [(2 ** 60 + i, None if i == 1 else f"text number {i} of the table", i, "g") for i in range(6)] + [(None, "lone", 7, "g")]
+    df = spark.createDataFrame(rows, "style_key long, description string, part int, guest string").selectExpr("*", "style_key AS start", "style_key AS fp", "'old' AS next_text")
+    led = with_next(df, "style_key", "description").orderBy("style_key").collect()
+    assert [r.next_text for r in led][:2] == ["text number 0 of the table", ""] and [r.part for r in led] == [7, 0, 1, 2, 3, 4, 5]
+    packed = pack_styles(df, tokenizer_path(), "start")
+    assert "start_key" in packed.columns and {r.start_key for r in packed.collect()} == {r[0] for r in rows}
+    alike = similar_styles(df, "fp")
+    assert alike.columns == ["fp_key", "fp", "component_id"] and {r.fp_key for r in alike.collect()} == {r[0] for r in rows}
