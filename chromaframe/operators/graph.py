@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chromaframe.functions import geometry as G
 from chromaframe.operators.windows import dense_relabel
-from chromaframe.scale import cover_cells, cut_lineage
+from chromaframe.scale import cut_lineage
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", src: str = "src", dst: str = "dst") -> DataFrame:
@@ -78,50 +78,89 @@ def label_regions(px: DataFrame, connectivity: int = 4, fill: str = "fillable")
     return comp.select("id.page_id", F.explode(F.sequence("id.x0", "x1")).alias("x"), "id.y", F.col("component.y").alias("root_y"), F.col("component.x0").alias("root_x"))
 
 
-def cluster_boxes(boxes: DataFrame, cell: float = 256.0) -> DataFrame:
-    """Clusters of boxes that are near each other, with merged box, sums and score.
+def _boxes_near(a: Column, b: Column) -> Column:
+    """Whether two box structs are near; the box with the lower id is the first of the rule."""
+    def rule(p, q):
+        kin = F.coalesce(p["parent"] == q["parent"], F.lit(False))
+        big = F.greatest(p["side"], q["side"])
+        loose = (F.abs(p["cx"] - q["cx"]) <= big * 1.08) & (F.abs(p["cy"] - q["cy"]) <= big * 0.96)
+        box = lambda v: tuple(v[c] for c in "xywh")
+        return F.when(kin, G.bbox_near(box(p), box(q), 1.05)).otherwise(G.bbox_near(box(p), box(q), 0.72) | loose)
+    return F.when(a["id"] < b["id"], rule(a, b)).otherwise(rule(b, a))
 
-    Equal boxes collapse to one node. Boxes of one size class whose centres share a small
-    cell are near by definition and link as a star; only the rest are compared, inside
-    shared grid cells. ``boxes``: page_id, box_id, x, y, w, h, parent (nullable), area,
-    score, matched.
+
+def box_clusters(boxes: DataFrame) -> DataFrame:
+    """Boxes with ``cluster_id``, the smallest box of those that chains of near boxes connect on a page.
+
+    Boxes of one size class whose centres share a small cell are near by definition: they are one spot, and spots are the
+    nodes. Two spots meet in a grid as coarse as the larger one's class, where it visits nine cells and the other its own.
+    Their extreme boxes are compared first, in the row; only pairs of spots that are still in
+    different components are then compared box by box. ``boxes``: page_id, box_id, x, y, w, h, parent (nullable).
     """
-    shape = ["page_id", "x", "y", "w", "h", "parent"]
     side = F.greatest("w", "h").cast("double")
-    size = F.floor(F.log2(F.greatest(side, F.lit(1.0))))
-    step = F.pow(F.lit(2.0), size) * 0.9
+    cls = F.floor(F.log2(F.greatest(side, F.lit(1.0)))).cast("int")
+    step = F.pow(F.lit(2.0), cls) * 0.9
     b = boxes.withColumns({"cx": F.col("x") + F.col("w") * 0.5, "cy": F.col("y") + F.col("h") * 0.5, "side": side})
-    b = b.withColumn("spot", F.struct(size.alias("k"), F.floor(F.col("cx") / step).alias("i"), F.floor(F.col("cy") / step).alias("j")))
-    uniq = b.groupBy(*shape, "cx", "cy", "side", "spot").agg(F.min("box_id").alias("box_id"))
-    uniq = cut_lineage(uniq)
-    name = lambda c: F.struct(F.col("page_id"), F.col(c).alias("box"))
-    star = uniq.groupBy("page_id", "spot").agg(F.min("box_id").alias("__hub"))
-    hub = uniq.join(star, ["page_id", "spot"]).select(name("box_id").alias("src"), F.struct("page_id", F.col("__hub").alias("box")).alias("dst"))
-    reach = F.col("side") * 1.08
-    wide = cover_cells(uniq, F.col("x") - reach, F.col("y") - reach, F.col("w") + reach * 2, F.col("h") + reach * 2, cell)
-    l, r = wide.alias("l"), wide.alias("r")
-    same_cell = ((F.col("l.page_id") == F.col("r.page_id")) & (F.col("l.__cx") == F.col("r.__cx"))
-                 & (F.col("l.__cy") == F.col("r.__cy")) & (F.col("l.box_id") < F.col("r.box_id"))
-                 & (F.col("l.spot") != F.col("r.spot")))
-    box = lambda p: tuple(F.col(f"{p}.{c}") for c in "xywh")
-    kin = F.coalesce(F.col("l.parent") == F.col("r.parent"), F.lit(False))
-    big = F.greatest("l.side", "r.side")
-    loose = (F.abs(F.col("l.cx") - F.col("r.cx")) <= big * 1.08) & (F.abs(F.col("l.cy") - F.col("r.cy")) <= big * 0.96)
-    near = F.when(kin, G.bbox_near(box("l"), box("r"), 1.05)).otherwise(G.bbox_near(box("l"), box("r"), 0.72) | loose)
-    pairs = l.join(r, same_cell).where(near).select(
-        F.struct(F.col("l.page_id").alias("page_id"), F.col("l.box_id").alias("box")).alias("src"),
-        F.struct(F.col("r.page_id").alias("page_id"), F.col("r.box_id").alias("box")).alias("dst")).distinct()
-    comp = connected_components(uniq.select(name("box_id").alias("id")), hub.unionByName(pairs))
-    comp = comp.select(F.col("id.page_id").alias("page_id"), F.col("id.box").alias("__rep"), F.col("component.box").alias("cluster_id"))
-    place = [c for c in shape if c != "parent"]
-    u = uniq.select(*place, F.coalesce("parent", F.lit(-1)).alias("__p"), F.col("box_id").alias("__rep"))
-    rep = b.withColumn("__p", F.coalesce("parent", F.lit(-1))).join(u, [*place, "__p"])
-    d = rep.join(comp, ["page_id", "__rep"])
+    b = b.withColumn("spot", F.struct(cls.alias("k"), F.floor(F.col("cx") / step).alias("i"), F.floor(F.col("cy") / step).alias("j")))
+    shape = ["page_id", "x", "y", "w", "h", "parent", "cx", "cy", "side", "spot"]
+    uniq = cut_lineage(b.groupBy(*shape).agg(F.min("box_id").alias("id")))  # equal boxes are one
+    box = F.struct("id", "x", "y", "w", "h", "cx", "cy", "side", "parent")
+    right, low = F.col("x") + F.col("w"), F.col("y") + F.col("h")
+    ends = [f(box, c) for c in (F.col("x"), F.col("y"), right, low, F.col("cx"), F.col("cy"), F.col("side")) for f in (F.min_by, F.max_by)]
+    spots = cut_lineage(uniq.groupBy("page_id", "spot").agg(
+        F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(right).alias("x1"), F.max(low).alias("y1"), F.max("side").alias("reach"), F.array_distinct(F.array(*ends)).alias("ends")))
+    # Near boxes have centres within 2.05 sides of the larger, a side is below 2^(k + 1), and a box's centre lies
+    # within half of that of the middle of its spot.
+    size = lambda k: F.pow(F.lit(2.0), k + 1) * 3.2
+    at = lambda lo, hi, k: F.floor((F.col(lo) + F.col(hi)) * 0.5 / size(k))
+    around = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    grids = spots.groupBy("page_id").agg(F.array_sort(F.collect_set("spot.k")).alias("grids"))  # at most 31 classes
+    name = F.struct("page_id", "spot")
+    body = ("x0", "y0", "x1", "y1", "reach", "ends")
+    own = spots.select(name.alias("a"), "page_id", F.col("spot.k").alias("grid"), F.struct(*body).alias("p"), "x0", "x1", "y0", "y1", F.inline(around))
+    own = own.withColumns({"gx": at("x0", "x1", F.col("grid")) + F.col("di"), "gy": at("y0", "y1", F.col("grid")) + F.col("dj")})
+    visit = spots.join(grids, "page_id").select(name.alias("b"), "page_id", F.col("spot.k").alias("kb"), F.struct(*body).alias("q"), "x0", "x1", "y0", "y1",
+                                                F.explode(F.filter("grids", lambda g: g >= F.col("spot.k"))).alias("grid"))
+    visit = visit.withColumns({"gx": at("x0", "x1", F.col("grid")), "gy": at("y0", "y1", F.col("grid"))})
+    keys = ["page_id", "grid", "gx", "gy"]
+    pad = F.greatest(F.col("p.reach"), F.col("q.reach")) * 1.08
+    apart = ((F.col("p.x1") + pad < F.col("q.x0")) | (F.col("q.x1") + pad < F.col("p.x0")) | (F.col("p.y1") + pad < F.col("q.y0")) | (F.col("q.y1") + pad < F.col("p.y0")))
+    met = own.select(*keys, "a", "p").join(visit.select(*keys, "b", "kb", "q"), keys).where(((F.col("kb") < F.col("grid")) | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b")) & ~apart)
+    touch = F.exists("p.ends", lambda u: F.exists("q.ends", lambda v: _boxes_near(u, v)))
+    pairs = cut_lineage(met.select("a", "b", touch.alias("near")))
+    nodes = spots.select(name.alias("id"))
+    comp = cut_lineage(connected_components(nodes, pairs.where("near").select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    left = comp.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+    other = comp.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    open_ = cut_lineage(pairs.where("NOT near").select("a", "b").join(left, "a").join(other, "b").where("ca <> cb"))
+    held = uniq.select(name.alias("spot"), box.alias("box"))
+    each = open_.join(held.select(F.col("spot").alias("a"), F.col("box").alias("u")), "a").join(held.select(F.col("spot").alias("b"), F.col("box").alias("v")), "b")
+    late = each.where(_boxes_near(F.col("u"), F.col("v"))).select(F.col("ca").alias("src"), F.col("cb").alias("dst")).distinct()
+    roots = comp.select("component").distinct()
+    final = connected_components(roots.select(F.col("component").alias("id")), late).select(F.col("id").alias("component"), F.col("component").alias("root"))
+    placed = comp.join(final, "component").select("id.page_id", "id.spot", "root")
+    out = b.drop("cx", "cy", "side").join(placed, ["page_id", "spot"])
+    lowest = out.groupBy("page_id", "root").agg(F.min("box_id").alias("cluster_id"))
+    return out.join(lowest, ["page_id", "root"]).select(*boxes.columns, "cluster_id")
+
+
+def cluster_boxes(boxes: DataFrame) -> DataFrame:
+    """Clusters of boxes that are near each other, with merged box, sums, score and rank on the page.
+
+    ``boxes``: as for ``box_clusters``, with area, score, matched, and perhaps area_fraction and ``face`` (a box struct, whose smallest is kept).
+    Rank: matched first, then by score, then by area, then by id.
+    """
+    d = box_clusters(boxes)
     x, y, w, h = G.bbox_union(("x", "y", "w", "h"))
-    return d.groupBy("page_id", "cluster_id").agg(
+    more = [F.sum("area_fraction").alias("area_fraction")] if "area_fraction" in boxes.columns else []
+    if "face" in boxes.columns:
+        more.append(F.min_by("face", F.struct(F.col("face.w") * F.col("face.h"), "box_id")).alias("face"))
+    out = d.groupBy("page_id", "cluster_id").agg(
         x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"), F.sum("area").alias("area"),
         F.max("matched").alias("matched"), F.count(F.lit(1)).alias("members"),
-        (F.max("score") + F.count(F.lit(1)) * 0.18 + F.when(F.max("matched"), 0.22).otherwise(0.0)).alias("score"))
+        (F.max("score") + F.count(F.lit(1)) * 0.18 + F.when(F.max("matched"), 0.22).otherwise(0.0)).alias("score"), *more)
+    order = [F.desc("matched"), F.desc(F.round("score", 9)), F.desc("area"), "cluster_id"]
+    return out.withColumn("rank", F.row_number().over(W.partitionBy("page_id").orderBy(*order)))
 
 
 def region_adjacency(labels: DataFrame, region: str = "region_id") -> DataFrame:

@@ -45,19 +45,39 @@ _NEAR = lambda p: (f"NOT (l.x + l.w < r.x - greatest(r.w, r.h) * CAST({p} AS DOU
                    f"OR l.y + l.h < r.y - greatest(r.w, r.h) * CAST({p} AS DOUBLE) OR l.y > r.y + r.h + greatest(r.w, r.h) * CAST({p} AS DOUBLE))")
 
 
-@query("cluster_boxes", f"""
-WITH RECURSIVE b AS (SELECT page_id, region_id AS id, x, y, CAST(floor(w / 2) AS INT) AS w, CAST(floor(h / 2) AS INT) AS h, CASE WHEN region_id % 3 = 0 THEN region_id % 5 END AS par, area, conf, region_id % 4 = 0 AS matched FROM regions),
+_CLUSTERS = f"""
+WITH RECURSIVE b AS (SELECT page_id, region_id AS id, x, y, CAST(floor(w / 2) AS INT) AS w, CAST(floor(h / 2) AS INT) AS h, CASE WHEN region_id % 3 = 0 THEN region_id % 5 END AS par, area, frac, conf, region_id % 4 = 0 AS matched FROM regions),
 e AS (SELECT l.page_id, l.id AS a, r.id AS z FROM b l JOIN b r ON l.page_id = r.page_id AND l.id < r.id WHERE CASE WHEN l.par = r.par THEN {_NEAR(1.05)}
    ELSE {_NEAR(0.72)} OR (abs(l.x + l.w * 0.5 - r.x - r.w * 0.5) <= greatest(l.w, l.h, r.w, r.h) * 1.08 AND abs(l.y + l.h * 0.5 - r.y - r.h * 0.5) <= greatest(l.w, l.h, r.w, r.h) * 0.96) END),
 u AS (SELECT page_id, a, z FROM e UNION ALL SELECT page_id, z, a FROM e),
 c(page_id, id, root) USING KEY (page_id, id) AS (SELECT page_id, id, id FROM b
-  UNION (SELECT n.page_id, n.id, min(k.root) FROM c k JOIN u ON k.page_id = u.page_id AND k.id = u.a JOIN recurring.c n ON n.page_id = u.page_id AND n.id = u.z GROUP BY n.page_id, n.id, n.root HAVING min(k.root) < n.root))
-SELECT b.page_id, root AS cluster_id, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, CAST(sum(area) AS BIGINT) AS area, bool_or(matched) AS matched, count(*) AS members,
-  round(max(conf) + 0.18 * count(*) + CASE WHEN bool_or(matched) THEN 0.22 ELSE 0 END, 6) AS score FROM b JOIN c ON b.page_id = c.page_id AND b.id = c.id GROUP BY 1, 2""")
+  UNION (SELECT n.page_id, n.id, min(k.root) FROM c k JOIN u ON k.page_id = u.page_id AND k.id = u.a JOIN recurring.c n ON n.page_id = u.page_id AND n.id = u.z GROUP BY n.page_id, n.id, n.root HAVING min(k.root) < n.root)),
+g AS (SELECT b.page_id, root AS cluster_id, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, CAST(sum(area) AS BIGINT) AS area, bool_or(matched) AS matched, count(*) AS members,
+  round(max(conf) + 0.18 * count(*) + CASE WHEN bool_or(matched) THEN 0.22 ELSE 0 END, 6) AS score, round(sum(frac), 6) AS area_fraction, arg_min(w, w * h * 1000 + b.id) AS face_w FROM b JOIN c ON b.page_id = c.page_id AND b.id = c.id GROUP BY 1, 2)
+"""
+
+
+def _boxes(t):
+    return t.regions.selectExpr("page_id", "region_id AS box_id", "x", "y", "CAST(floor(w / 2) AS INT) AS w", "CAST(floor(h / 2) AS INT) AS h",
+                                "CASE WHEN region_id % 3 = 0 THEN region_id % 5 END AS parent", "area", "frac AS area_fraction", "conf AS score", "region_id % 4 = 0 AS matched")
+
+
+@query("cluster_boxes", _CLUSTERS + "SELECT page_id, cluster_id, x, y, w, h, area, matched, members, score FROM g")
+def _(t):
+    d = G.cluster_boxes(_boxes(t)).withColumn("score", F.round("score", 6))
+    return d.select("page_id", "cluster_id", "x", "y", "w", "h", "area", "matched", "members", "score")
+
+
+@query("ranked_clusters", _CLUSTERS + """
+SELECT page_id, cluster_id, area_fraction, face_w, CAST(row_number() OVER (PARTITION BY page_id ORDER BY matched DESC, score DESC, area DESC, cluster_id) AS INT) AS rank FROM g""")
+def _(t):
+    d = G.cluster_boxes(_boxes(t).withColumn("face", F.struct("x", "y", "w", "h")))
+    return d.select("page_id", "cluster_id", F.round("area_fraction", 6).alias("area_fraction"), F.col("face.w").alias("face_w"), "rank")
+
+
+@query("box_clusters", _CLUSTERS + "SELECT page_id, id AS box_id, root AS cluster_id FROM c")
 def _(t):
-    b = t.regions.selectExpr("page_id", "region_id AS box_id", "x", "y", "CAST(floor(w / 2) AS INT) AS w", "CAST(floor(h / 2) AS INT) AS h",
-                             "CASE WHEN region_id % 3 = 0 THEN region_id % 5 END AS parent", "area", "conf AS score", "region_id % 4 = 0 AS matched")
-    return G.cluster_boxes(b).withColumn("score", F.round("score", 6))
+    return G.box_clusters(_boxes(t)).select("page_id", "box_id", "cluster_id")
 
 
 _ADJ = """

@@ -105,6 +105,43 @@ def test_points_snap_like_a_full_search(spark):
         assert got[i] == want, (page, x, y)
 
 
+def test_box_clusters_equal_pairwise_links(spark):
+    rnd, rows = random.Random(31), []
+    for page in (1, 2, 3):
+        for i in range(140):
+            scale = rnd.choice([2, 2, 7, 30, 120]) if page < 3 else 3
+            x, y = (rnd.randrange(2600), rnd.randrange(2600)) if page == 1 else (rnd.choice([100, 130, 900, 1500]) + rnd.randrange(60), rnd.choice([50, 400, 900]) + rnd.randrange(60))
+            rows.append((page, i, x, y, 1 + rnd.randrange(scale), 1 + rnd.randrange(scale), rnd.choice([None, None, 1, 2])))
+    rows += [(2, 500 + i, 105, 55, 3, 3, None) for i in range(60)]  # equal boxes
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "page_id int, box_id int, x int, y int, w int, h int, parent int").repartition(4)
+    got = {(r.page_id, r.box_id): r.cluster_id for r in G.box_clusters(df).collect()}
+
+    def near(p, q):
+        pad = max(q[4], q[5]) * (1.05 if p[6] is not None and p[6] == q[6] else 0.72)
+        if not (p[2] + p[4] < q[2] - pad or p[2] > q[2] + q[4] + pad or p[3] + p[5] < q[3] - pad or p[3] > q[3] + q[5] + pad):
+            return True
+        big = max(p[4], p[5], q[4], q[5])
+        dx, dy = abs(p[2] + p[4] * 0.5 - q[2] - q[4] * 0.5), abs(p[3] + p[5] * 0.5 - q[3] - q[5] * 0.5)
+        return not (p[6] is not None and p[6] == q[6]) and dx <= big * 1.08 and dy <= big * 0.96
+    want = {}
+    for page in (1, 2, 3):
+        own = sorted(r for r in rows if r[0] == page)
+        root = {r[1]: r[1] for r in own}
+
+        def find(a):
+            while root[a] != a:
+                a = root[a]
+            return a
+        for i, p in enumerate(own):
+            for q in own[i + 1:]:
+                if near(p, q):
+                    a, b = sorted((find(p[1]), find(q[1])))
+                    root[b] = a
+        want |= {(page, r[1]): find(r[1]) for r in own}
+    assert got == want
+
+
 def test_merge_tiny_invariants(spark):
     rnd = random.Random(5)
     rows = [[rnd.randrange(1, 40) for _ in range(14)] for _ in range(14)]
