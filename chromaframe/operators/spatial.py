@@ -76,19 +76,30 @@ def hints_to_tiles(hints: DataFrame, tiles: DataFrame, page_w: int, page_h: int,
 
 
 def suppress_near(auto: DataFrame, manual: DataFrame, floor: float = 0.012) -> DataFrame:
-    """Drop automatic points within max(0.012, r1 + r2) of a manual point of the page."""
-    reach_a = auto.agg(F.max("radius_norm")).first()[0] or 0.0
-    reach_m = manual.agg(F.max("radius_norm")).first()[0] or 0.0
-    cell = max(floor, reach_a + reach_m)
-    m = manual.select("page_id", F.col("x_norm").alias("mx"), F.col("y_norm").alias("my"), F.col("radius_norm").alias("mr"))
-    m = cover_cells(m, F.col("mx") - cell, F.col("my") - cell, F.lit(2 * cell), F.lit(2 * cell), cell)
-    a = point_cell(auto, F.col("x_norm"), F.col("y_norm"), cell).alias("a")
-    m = m.alias("m")
-    dx, dy = F.col("a.x_norm") - F.col("m.mx"), F.col("a.y_norm") - F.col("m.my")
-    rad = F.greatest(F.lit(floor), F.col("a.radius_norm") + F.col("m.mr"))
-    same = ((F.col("a.page_id") == F.col("m.page_id")) & (F.col("a.__cx") == F.col("m.__cx"))
-            & (F.col("a.__cy") == F.col("m.__cy")))
-    return a.join(m, same & (dx * dx + dy * dy <= rad * rad), "left_anti").drop("__cx", "__cy")
+    """Drop automatic points within max(0.012, r1 + r2) of a manual point of the page.
+
+    Points belong to size classes by twice their radius. Two points meet in the grid of the larger class, where
+    the one of that class visits nine cells and the other its own, so one wide point does not
+    make cells wide for all. Whether a point goes depends on its place and radius alone.
+    """
+    size = lambda k: F.pow(F.lit(2.0), k) * floor
+    cls = lambda r: F.ceil(F.log2(F.greatest(F.lit(floor), F.col(r) * 2) / floor)).cast("int")
+    place = ["page_id", "x_norm", "y_norm", "radius_norm"]
+    a = auto.select(*place).distinct().withColumn("k", cls("radius_norm"))
+    m = manual.select("page_id", F.col("x_norm").alias("mx"), F.col("y_norm").alias("my"), F.col("radius_norm").alias("mr")).distinct().withColumn("mk", cls("mr"))
+    kinds = lambda d, k, name: d.groupBy("page_id").agg(F.collect_set(k).alias(name))  # noqa: E731  a few classes
+    around = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+
+    def cell(d, x, y, wide):
+        d = d.select("*", F.inline(around)) if wide else d.withColumns({"di": F.lit(0), "dj": F.lit(0)})
+        return d.withColumns({"cx": F.floor(F.col(x) / size(F.col("grid"))) + F.col("di"), "cy": F.floor(F.col(y) / size(F.col("grid"))) + F.col("dj")}).drop("di", "dj")
+    grids = lambda d, other, k, name, at_least: d.join(kinds(other, name, "ks"), "page_id").withColumn("grid", F.explode(F.filter("ks", at_least))).drop("ks")
+    pairs = [(cell(grids(a, m, "k", "mk", lambda g: g >= F.col("k")), "x_norm", "y_norm", False), cell(m.withColumn("grid", F.col("mk")), "mx", "my", True)),
+             (cell(a.withColumn("grid", F.col("k")), "x_norm", "y_norm", True), cell(grids(m, a, "mk", "k", lambda g: g > F.col("mk")), "mx", "my", False))]
+    dx, dy = F.col("x_norm") - F.col("mx"), F.col("y_norm") - F.col("my")
+    rad = F.greatest(F.lit(floor), F.col("radius_norm") + F.col("mr"))
+    near = [p.join(q, ["page_id", "grid", "cx", "cy"]).where(dx * dx + dy * dy <= rad * rad).select(*place) for p, q in pairs]
+    return auto.join(near[0].unionByName(near[1]).distinct(), place, "left_anti").select(*auto.columns)
 
 
 def pair_regions(candidates: DataFrame, anchors: DataFrame, cell: float = 256.0) -> DataFrame:
