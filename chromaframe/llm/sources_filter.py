@@ -112,7 +112,7 @@ def calibrated_threshold(scored: DataFrame) -> DataFrame:
 
     def step(s, b):
         a, r = s["a"] + b["a"], s["r"] + b["r"]
-        gain = a / F.col("all_a") - r / F.col("all_r")
+        gain = F.try_divide(a, F.col("all_a")) - F.try_divide(r, F.col("all_r"))  # null without rows of both kinds
         now = F.struct(gain.alias("gain"), (-F.abs(b["bin"])).alias("near"), (-b["bin"]).alias("low"), b["bin"].alias("bin"))
         return F.struct(a.alias("a"), r.alias("r"), F.when(s["best"].isNull() | (now > s["best"]), now).otherwise(s["best"]).alias("best"))
     one = one.withColumn("best", F.aggregate("bins", start, step, lambda s: s["best"]["bin"]))

@@ -107,3 +107,6 @@ def test_without_examples_the_default_holds(spark):
     assert {r.verdict for r in judge_sources(df, RULES, default="block").collect()} == {"block"}
     assert {r.verdict for r in judge_sources(df, ()).collect()} == {"allow"}
     assert judge_sources(df.limit(0), RULES).count() == 0
+    # Examples of one kind only, some of them kept for the threshold.
+    one = spark.createDataFrame([(f"http://art.org/{i}",) for i in range(40)] + [("http://pics.net/b",)], "source_url string")
+    assert {r.verdict for r in judge_sources(one, RULES).collect()} == {"allow"}
