@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,16 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_finished(df: DataFrame) -> DataFrame:
+    """The same rows; shuffle files and checkpoints that nothing refers to any more leave the disks now.
+
+    Spark drops them when the driver's JVM collects its garbage, which a driver with room to spare seldom does by itself.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def join_small(df: DataFrame, table: DataFrame, keys: Sequence[str], spread: Column, how: str = "inner",
                max_rows: int = 20_000, max_bytes: int = 32 << 20, salts: int = 32) -> DataFrame:
     """Join a side that is usually small, at any size and with any share of rows under one key.
