@@ -93,7 +93,8 @@ def _bank(profiles: list[dict], field: str, size: int) -> tuple[np.ndarray, np.n
     """A field of all profiles as rows, and which of them have it in this size."""
     has = np.array([size > 0 and len(p[field]) == size for p in profiles])
     rows = np.zeros((len(profiles), size))
-    rows[has] = [p[field] for p, h in zip(profiles, has) if h]
+    if has.any():
+        rows[has] = [p[field] for p, h in zip(profiles, has) if h]
     return rows, has
 
 
