@@ -91,15 +91,16 @@ class Encoder:
         return self.encode_all([text])[0]
 
 
-def worker_encoder(path: str, end_id: int) -> Encoder:
+def worker_encoder(path: str, end_id: int, remember: int) -> Encoder:
     """One encoder a Python worker: tasks that follow each other keep its words."""
     import sys
     import types
 
     held = sys.modules.setdefault("chromaframe_worker", types.ModuleType("chromaframe_worker")).__dict__
-    if (path, end_id) not in held:
-        held[path, end_id] = Encoder(path, end_id)
-    return held[path, end_id]
+    name = (path, end_id, remember)
+    if name not in held:
+        held[name] = Encoder(path, end_id, remember)
+    return held[name]
 
 
 class Lexical:
@@ -210,7 +211,8 @@ def pack_block(keys: list, docs: list[np.ndarray], windows: Windows) -> None:
 
 
 def pack_styles(styles: DataFrame, tokenizer_path: str, style_key: str = "style_key", description: str = "description", window: int = 4096,
-                end_id: int = 2, shard_bytes: int = 24 << 20, block_tokens: int = 1_500_000, block_docs: int = 4096) -> DataFrame:
+                end_id: int = 2, shard_bytes: int = 24 << 20, block_tokens: int = 1_500_000, block_docs: int = 4096,
+                remember: int = 450_000) -> DataFrame:
     """Descriptions cut into pieces of token sequences: one row per piece.
 
     Returns ``style_key``, ``start`` (tokens of its document before the piece), ``length``,
@@ -224,7 +226,8 @@ def pack_styles(styles: DataFrame, tokenizer_path: str, style_key: str = "style_
     mostly meet, lengths do not matter, and one frequent word is still split. A shard is read in blocks of at most
     ``block_tokens`` tokens or ``block_docs`` texts (and one text more), each with its own inverted index;
     the open window goes on into the next block. A shard's last window is cut into powers of two,
-    which need no padding. Sequence numbers start from the shard's number times 2^32.
+    which need no padding. Sequence numbers start from the shard's number times 2^32. A Python worker remembers the ids
+    of about ``remember`` parts of texts, also after its task; fewer cost time and spare memory.
     """
     rows = styles.select(F.col(style_key).alias("key"), text_of(description).alias("text"))
     # Only the dealing uses this; whatever it is, every token is packed. The first long word is found early in a text, and
@@ -240,7 +243,7 @@ def pack_styles(styles: DataFrame, tokenizer_path: str, style_key: str = "style_
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encoder, windows = worker_encoder(tokenizer_path, end_id), Windows(window, TaskContext.get().partitionId() << 32)
+        encoder, windows = worker_encoder(tokenizer_path, end_id, remember), Windows(window, TaskContext.get().partitionId() << 32)
 
         def handfuls(part):
             """Texts of about a million characters at a time, and one text more."""
