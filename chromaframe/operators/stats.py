@@ -272,12 +272,12 @@ def corpus_palette(px: DataFrame, max_colors: int = 8) -> DataFrame:
 
 
 def color_clusters(px: DataFrame, key: str, max_colors: int, rounds: int = 25, still: float = 0.5, one_key: bool = False) -> DataFrame:
-    """k-means per key over all pixels: ``key``, ``cluster``, ``color``, ``pixels``.
+    """k-means per key over all pixels: ``key``, ``cluster``, ``color``, ``pixels``, ``settled``.
 
     A key with fewer than 16 pixels has no row; it gets a cluster per 64 pixels, at most ``max_colors``. Pixels
     are first counted by colour, so a key has at most 2^24 weighted points. Seeds are picked farthest
     first from the mean (ties: the smallest colour); the steps end for a key when no centre
-    moves by ``still``, or after ``rounds``. Sums are whole numbers: the result does not
+    moves by ``still``, or after ``rounds``, and ``settled`` tells which. Sums are whole numbers: the result does not
     depend on the partitioning. ``one_key``: ``key`` is a constant, so the centres are one row.
     """
     spots = cut_lineage(px.groupBy(key, "r", "g", "b").agg(F.count(F.lit(1)).alias("n")))
@@ -310,9 +310,9 @@ def color_clusters(px: DataFrame, key: str, max_colors: int, rounds: int = 25, s
             (known & (step >= still)).alias("moving")))
         if state.where("moving").isEmpty():
             break
-    out = state.select(key, F.posexplode(F.arrays_zip("centers", "sizes")).alias("cluster", "__c")).where("__c.sizes > 0")
-    out = out.select(key, "cluster", *[F.floor(F.col("__c.centers")[x]).cast("int").alias(x) for x in "rgb"], F.col("__c.sizes").alias("pixels"))
-    return out.select(key, "cluster", C.rgb_to_hex("r", "g", "b").alias("color"), "pixels")
+    out = state.select(key, (~F.col("moving")).alias("settled"), F.posexplode(F.arrays_zip("centers", "sizes")).alias("cluster", "__c")).where("__c.sizes > 0")
+    out = out.select(key, "settled", "cluster", *[F.floor(F.col("__c.centers")[x]).cast("int").alias(x) for x in "rgb"], F.col("__c.sizes").alias("pixels"))
+    return out.select(key, "cluster", C.rgb_to_hex("r", "g", "b").alias("color"), "pixels", "settled")
 
 
 def page_palettes(px: DataFrame, key: str = "page_id", max_colors: int = 8) -> DataFrame:

@@ -124,7 +124,37 @@ def _(t):
                                 F.concat_ws(",", P.normalize_palette(arr)).alias("palette"))
 
 
-@query("merge_palette")
+def _hex_channels(column: str, prefix: str) -> str:
+    return ", ".join(f"CAST('0x' || substr({column}, {2 * i + 2}, 2) AS INT) AS {prefix}{c}" for i, c in enumerate("rgb"))
+
+
+def _lab_gap(p: str, q: str) -> str:
+    return f"sqrt({' + '.join(f'CAST({p}lab_{c} - {q}lab_{c} AS DOUBLE) ** 2' for c in 'lab')})"
+
+
+def _merge_step(k: int) -> str:
+    """The list after the k-th candidate: blended into the nearest slot, added, or left out."""
+    prev = f"p{k - 1}"
+    return f"""
+u{k} AS (SELECT page_id, region_id, cands[{k}] AS c, slots[1] AS f, unnest(slots) AS s, unnest(range(1, len(slots) + 1)) AS pos FROM {prev} WHERE cands[{k}] IS NOT NULL AND NOT list_contains(slots, cands[{k}])),
+h{k} AS (SELECT *, {_hex_channels('s', 's')}, {_hex_channels('c', 'c')}, {_hex_channels('f', 'f')} FROM u{k}),
+l{k} AS (SELECT *, {lab_cols('sr', 'sg', 'sb', 's_')}, {lab_cols('cr', 'cg', 'cb', 'c_')}, {lab_cols('fr', 'fg', 'fb', 'f_')} FROM h{k}),
+d{k} AS (SELECT *, {_lab_gap('s_', 'c_')} AS d, {_lab_gap('s_', 'f_')} AS df, row_number() OVER (PARTITION BY page_id, region_id ORDER BY {_lab_gap('s_', 'c_')}, pos) AS rn FROM l{k}),
+m{k} AS (SELECT *, CAST(CASE WHEN d <= 12 THEN 0.35 ELSE 0.45 END AS DOUBLE) AS wt, {', '.join(f"floor(s_lab_{c} * (1.0 - wt) + c_lab_{c} * wt) AS m{c}" for c in 'lab')} FROM d{k} WHERE rn = 1),
+o{k} AS (SELECT *, {rgb_cols('ml', 'ma', 'mb')} FROM m{k}),
+p{k} AS (SELECT q.page_id, q.region_id, q.cands, CASE WHEN o.pos IS NULL THEN q.slots
+   WHEN d <= 12 OR (len(q.slots) >= 3 AND d < coalesce(nullif(df, 0), 999)) THEN list_transform(range(1, len(q.slots) + 1), lambda i: CASE WHEN i = o.pos THEN {hex_sql('o_r', 'o_g', 'o_b')} ELSE q.slots[i] END)
+   WHEN len(q.slots) < 3 THEN list_append(q.slots, o.c) ELSE q.slots END AS slots FROM {prev} q LEFT JOIN o{k} o ON o.page_id = q.page_id AND o.region_id = q.region_id)"""
+
+
+_FIRST_SEEN = lambda v: f"list_filter({v}, lambda e, i: list_position({v}, e) = i)[1:3]"
+
+
+@query("merge_palette", f"""
+WITH a AS (SELECT page_id, region_id, [{hex_sql('t_r', 't_g', 't_b')}, {hex_sql('t_b', 't_r', 't_g')}] AS s0,
+   [{hex_sql('t_r + 3', 't_g', 't_b')}, {hex_sql('t_g', 't_b', 't_r')}, {hex_sql('t_g', 't_b + 9', 't_r')}] AS c0 FROM assignments),
+p0 AS (SELECT page_id, region_id, {_FIRST_SEEN('c0')} AS cands, {_FIRST_SEEN('s0')} AS slots FROM a),{_merge_step(1)},{_merge_step(2)},{_merge_step(3)}
+SELECT page_id, region_id, array_to_string({_FIRST_SEEN('slots')}, ',') AS palette FROM p3""")
 def _(t):
     near = C.rgb_to_hex(F.col("t_r") + 3, "t_g", "t_b")
     slots = F.array(C.rgb_to_hex("t_r", "t_g", "t_b"), C.rgb_to_hex("t_b", "t_r", "t_g"))

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from chromaframe.plans.fixtures import TABLES
 
 SF = "/root/testdata/sf0.001"
-NO_SQL = {"corpus_palette", "dedupe_points", "embed_with", "identity_match_strict", "learn_identity", "merge_palette", "page_palettes",
+NO_SQL = {"corpus_palette", "dedupe_points", "embed_with", "identity_match_strict", "learn_identity", "page_palettes",
           "profile_upsert", "score_clusters", "tone_memory", "undo_redo"}
 TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 

@@ -226,5 +226,7 @@ def test_clusters_equal_sequential_steps(spark):
         want |= {(page, i): ("#%02x%02x%02x" % tuple(int(v) for v in centers[i]), owner.count(i)) for i in range(k) if i in owner}
     df = spark.createDataFrame(rows, "page_id int, r int, g int, b int")
     for parts in (1, 7):
-        got = {(r.page_id, r.cluster): (r.color, r.pixels) for r in A.color_clusters(df.repartition(parts), "page_id", 4).collect()}
-        assert got == want
+        rows = A.color_clusters(df.repartition(parts), "page_id", 4).collect()
+        assert {(r.page_id, r.cluster): (r.color, r.pixels) for r in rows} == want
+    cut = A.color_clusters(df.where("page_id = 1"), "page_id", 4, rounds=1).collect()
+    assert {r.settled for r in cut} == {False} and {r.settled for r in A.color_clusters(df.where("page_id = 6"), "page_id", 4).collect()} == {True}
